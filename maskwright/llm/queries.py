@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import bpe, chat, topk, warc
 
-QUERIES = {"op9_warc": warc.op9_warc}
-ORACLES = {"op9_warc": warc.OP9_SQL}
+QUERIES = {"op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op9_warc": warc.op9_warc, "op10_topk": topk.op10_topk}
+ORACLES = {"op4_chat": chat.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_topk": topk.OP10_SQL}
