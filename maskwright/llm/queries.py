@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, topk, warc
+from . import bpe, chat, langid, secrets, topk, toxicity, warc
 
-QUERIES = {"op2_bpe": bpe.op2_bpe, "op4_chat": chat.op4_chat, "op9_warc": warc.op9_warc, "op10_topk": topk.op10_topk}
+QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
+    "op3_langid": langid.op3_langid,
+    "op4_chat": chat.op4_chat,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_warc": warc.op9_warc,
+    "op10_topk": topk.op10_topk,
+}
 ORACLES = {"op4_chat": chat.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_topk": topk.OP10_SQL}
