@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, secrets, topk, toxicity, warc
+from . import bpe, chat, langid, minhash, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_langid": langid.op3_langid,
     "op4_chat": chat.op4_chat,
+    "op5_minhash": minhash.op5_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_secrets": secrets.op8_secrets,
     "op9_warc": warc.op9_warc,
