@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, minhash, secrets, topk, toxicity, warc
+from . import bpe, chat, decontaminate, langid, minhash, repeats, secrets, topk, toxicity, warc
 
 QUERIES = {
+    "op1_repeats": repeats.op1_repeats,
     "op2_bpe": bpe.op2_bpe,
     "op3_langid": langid.op3_langid,
     "op4_chat": chat.op4_chat,
     "op5_minhash": minhash.op5_minhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_secrets": secrets.op8_secrets,
     "op9_warc": warc.op9_warc,
