@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, chat, decontaminate, langid, minhash, repeats, secrets, topk, toxicity, warc
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_warc": warc.op9_warc,
     "op10_topk": topk.op10_topk,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op4_chat": chat.OP4_SQL, "op9_warc": warc.OP9_SQL, "op10_topk": topk.OP10_SQL}
