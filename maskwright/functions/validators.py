@@ -72,7 +72,7 @@ def digit_count(v: Column) -> Column:
 
 
 def is_luhn(v: Column) -> Column:
-    return digit_count(v).between(13, 19) & F.luhn_check(digits_of(v))
+    return digit_count(v).between(13, 19) & F.call_function("luhn_check", digits_of(v))
 
 
 def is_ssn(v: Column) -> Column:

@@ -5,6 +5,440 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dates, labels, validators
+from ..operators import detect, evaluate, intervals, ocr, render, stats, synth, windows
+from ..streaming import vaults
+from .notes import CATEGORY_SQL, WITH_NOTES, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+# --- detection and rewriting -----------------------------------------------------------------------------------------
+
+
+@query()
+def redact_documents(spark, sf_dir):
+    found = detect.detect(detect.spread(read(spark, sf_dir, "documents", "doc_id", "text")))
+    return render.tag_redacted(found, "doc_id").select("doc_id", "redacted", F.size("spans").cast("bigint").alias("n_spans"), F.size("possible").cast("bigint").alias("n_possible"))
+
+
+PATTERNS = {"EMAIL": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "IP": r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b"}
+
+
+@query("SELECT category, sum(n)::BIGINT AS n_spans FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS category, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for c, p in PATTERNS.items()) + ") GROUP BY category")
+def document_spans(spark, sf_dir):
+    found = detect.detect(detect.spread(read(spark, sf_dir, "documents", "doc_id", "text"))).select("doc_id", "spans")
+    return detect.long_spans(found).where(F.col("category").isin(*PATTERNS)).groupBy("category").agg(F.count("*").alias("n_spans"))
+
+
+@query(f"{WITH_NOTES} SELECT note_id AS doc_id, start AS span_start, end_ AS span_end, {CATEGORY_SQL} AS category FROM gold")
+def detect_notes(spark, sf_dir):
+    docs, _, _ = tables(spark, sf_dir)
+    found = detect.long_spans(detect.detect(detect.spread(docs.select("doc_id", "text"))).select("doc_id", "spans"))
+    return found.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "category")
+
+
+@query(f"""{WITH_NOTES}, c AS (SELECT g.note_id, start, end_, {CATEGORY_SQL} AS category, text FROM gold g JOIN notes n USING (note_id)),
+s AS (SELECT *, sum(length(category) + 2 - (end_ - start)) OVER (PARTITION BY note_id) AS grown, row_number() OVER (PARTITION BY note_id ORDER BY start) AS n, lag(end_, 1, 0) OVER (PARTITION BY note_id ORDER BY start) AS before FROM c)
+SELECT note_id AS doc_id, string_agg(substr(text, before + 1, start - before) || '[' || category || ']', '' ORDER BY n) || substr(any_value(text), max(end_) + 1) AS redacted, count(*) AS n_spans FROM s GROUP BY note_id""")
+def redact_notes(spark, sf_dir):
+    docs, _, _ = tables(spark, sf_dir)
+    return render.tag_redacted(detect.detect(detect.spread(docs.select("doc_id", "text"))), "doc_id").select("doc_id", "redacted", F.size("spans").cast("bigint").alias("n_spans"))
+
+
+@query("SELECT o_custkey % 50 AS vault, category, norm AS norm, '[' || category || '_' || CAST(row_number() OVER (PARTITION BY o_custkey % 50, category ORDER BY min(ord)) AS VARCHAR) || CASE WHEN category = 'DATE' THEN ':' || right(norm, 4) WHEN category = 'ZIP' THEN ':' || CASE WHEN left(norm, 3) IN ('036', '059', '063', '102', '203', '556', '692', '790', '821', '823', '830', '831', '878', '879', '884', '890', '893') THEN '000' ELSE left(norm, 3) END ELSE '' END || ']' AS tag FROM (SELECT o_custkey, o_orderkey * 10 + k AS ord, CASE k WHEN 0 THEN 'MRN' WHEN 1 THEN 'DATE' ELSE 'ZIP' END AS category, CASE k WHEN 0 THEN 'mr' || CAST(o_orderkey % 97 AS VARCHAR) WHEN 1 THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || '/11/' || CAST(1990 + o_orderkey % 30 AS VARCHAR) ELSE lpad(CAST(o_orderkey * 7 % 100000 AS VARCHAR), 5, '0') END AS norm FROM orders, (VALUES (0), (1), (2)) v(k)) GROUP BY o_custkey % 50, category, norm")
+def number_tags(spark, sf_dir):
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    k = o.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    value = F.when(F.col("k") == 0, F.concat(F.lit("MR"), (F.col("o_orderkey") % 97).cast("string"))).when(F.col("k") == 1, F.concat(F.lpad((F.col("o_orderkey") % 12 + 1).cast("string"), 2, "0"), F.lit("/11/"), (F.col("o_orderkey") % 30 + 1990).cast("string"))).otherwise(F.lpad((F.col("o_orderkey") * 7 % 100000).cast("string"), 5, "0"))
+    category = F.when(F.col("k") == 0, "MRN").when(F.col("k") == 1, "DATE").otherwise("ZIP")
+    m = k.select((F.col("o_custkey") % 50).alias("vault"), (F.col("o_orderkey") * 10 + F.col("k")).alias("ord"), category.alias("category"), value.alias("value"), F.lit(False).alias("dob"))
+    return render.numbered(m, 2025).select("vault", "category", "norm", "tag").distinct()
+
+
+@query(f"{WITH_NOTES} SELECT note_id AS doc_id, true AS restored, count(*) AS n_items FROM gold GROUP BY note_id")
+def round_trip_tags(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "tag")
+
+
+@query(f"{WITH_NOTES} SELECT note_id AS doc_id, true AS restored, count(*) AS n_items FROM gold GROUP BY note_id")
+def round_trip_stand_ins(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "surrogate")
+
+
+def _round_trip(spark, sf_dir, mode):
+    docs, _, _ = tables(spark, sf_dir)
+    found = detect.detect(detect.spread(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("vault"), F.lit(0).alias("ord"), "text", "spans")
+    made = render.render_vaults(found, mode)
+    back = render.restore_vaults(made, render.mapping_of(made)).select(F.col("vault").cast("bigint").alias("doc_id"), F.col("text").alias("back"))
+    hidden = made.select(F.col("vault").cast("bigint").alias("doc_id"), F.col("text").alias("shown"), F.size("items").cast("bigint").alias("n_items"))
+    return docs.select("doc_id", "text").join(back, "doc_id").join(hidden, "doc_id").select("doc_id", ((F.col("text") == F.col("back")) & (F.col("text") != F.col("shown"))).alias("restored"), "n_items")
+
+
+SHIFTS = "SELECT o_orderkey, o_orderdate::DATE AS d, -7 - (o_orderkey % 54) AS n FROM orders"
+
+
+@query(f"SELECT o_orderkey, strftime(d + n::INT, '%Y-%m-%d') || 'T10:00' AS iso, strftime(d + n::INT, '%m/%d/%Y') AS us, CASE WHEN length(monthname(d)) <= 4 AND length(monthname(d + n::INT)) > length(monthname(d)) THEN left(monthname(d + n::INT), 3) ELSE monthname(d + n::INT) END || ' ' || CAST(day(d + n::INT) AS VARCHAR) || ', ' || CAST(year(d + n::INT) AS VARCHAR) AS named, CAST(year(d) AS INTEGER) AS year FROM ({SHIFTS})")
+def shift_dates(spark, sf_dir):
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    days = (-7 - F.col("o_orderkey") % 54).cast("int")
+    text = lambda f: F.date_format("o_orderdate", f)
+    return o.select("o_orderkey", dates.shift_date(text("yyyy-MM-dd'T10:00'"), days).alias("iso"), dates.shift_date(text("MM/dd/yyyy"), days).alias("us"), dates.shift_date(text("MMMM d, yyyy"), days).alias("named"), dates.year_of(text("MM/dd/yyyy"), 2025).alias("year"))
+
+
+# --- validators and labels -------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey,
+ CASE WHEN sum_luhn % 10 = 0 THEN 1 ELSE 0 END AS luhn,
+ CASE WHEN left(s9, 3) NOT IN ('000', '666') AND s9[1] <> '9' AND s9[4:5] <> '00' AND right(s9, 4) <> '0000' THEN 1 ELSE 0 END AS ssn,
+ CASE WHEN (3 * (s9[1]::INT + s9[4]::INT + s9[7]::INT) + 7 * (s9[2]::INT + s9[5]::INT + s9[8]::INT) + s9[3]::INT + s9[6]::INT + s9[9]::INT) % 10 = 0 AND length(replace(s9, s9[1], '')) > 0 THEN 1 ELSE 0 END AS aba,
+ CASE WHEN o_custkey % 200 BETWEEN 90 AND 125 THEN 1 ELSE 0 END AS old
+FROM (SELECT *, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN (2 * c[i]::INT) // 10 + (2 * c[i]::INT) % 10 ELSE c[i]::INT END)) AS sum_luhn
+      FROM (SELECT o_orderkey, o_custkey, lpad(CAST(o_orderkey * 7919 % 1000000000 AS VARCHAR), 9, '0') AS s9, lpad(CAST(o_orderkey * 104729 % 10000000000000000 AS VARCHAR), 16, '4') AS c FROM orders))""")
+def validate_numbers(spark, sf_dir):
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    nine = F.lpad((F.col("o_orderkey") * 7919 % 1_000_000_000).cast("string"), 9, "0")
+    card = F.lpad((F.col("o_orderkey") * 104729 % 10_000_000_000_000_000).cast("string"), 16, "4")
+    return o.select("o_orderkey", validators.is_luhn(card).cast("int").alias("luhn"), validators.is_ssn(nine).cast("int").alias("ssn"), validators.is_aba(nine).cast("int").alias("aba"), validators.is_age_over_89((F.col("o_custkey") % 200).cast("string")).cast("int").alias("old"))
+
+
+@query("""SELECT p_partkey, CASE WHEN v[9] = CASE s WHEN 10 THEN 'X' ELSE CAST(s AS VARCHAR) END AND nd BETWEEN 3 AND 14 THEN 1 ELSE 0 END AS vin, CASE WHEN length(replace(i, ' ', '')) BETWEEN 15 AND 34 THEN 1 ELSE 0 END AS iban, CASE WHEN length(replace(p, p[1], '')) > 0 THEN 1 ELSE 0 END AS varied
+FROM (SELECT *, length(regexp_replace(v, '[^0-9]', '', 'g')) AS nd, list_sum(list_transform(range(1, 18), lambda j: (instr('0123456789', v[j]) > 0)::INT * coalesce(try_cast(v[j] AS INT), 0) * w[j] + CASE WHEN v[j] IN ('A', 'J') THEN 1 WHEN v[j] IN ('B', 'K', 'S') THEN 2 WHEN v[j] IN ('C', 'L', 'T') THEN 3 WHEN v[j] IN ('D', 'M', 'U') THEN 4 WHEN v[j] IN ('E', 'N', 'V') THEN 5 WHEN v[j] IN ('F', 'W') THEN 6 WHEN v[j] IN ('G', 'P', 'X') THEN 7 WHEN v[j] IN ('H', 'Y') THEN 8 WHEN v[j] IN ('R', 'Z') THEN 9 ELSE 0 END * w[j])) % 11 AS s
+ FROM (SELECT p_partkey, '1HGCM82' || CAST(p_partkey % 10 AS VARCHAR) || CAST(p_partkey * 3 % 10 AS VARCHAR) || 'A' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS v, [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2] AS w, 'GB' || repeat('12 ', 3 + CAST(p_partkey % 20 AS INT)) || '3456' AS i, CASE WHEN p_partkey % 4 = 0 THEN '7777777' ELSE lpad(CAST(p_partkey AS VARCHAR), 7, '1') END AS p FROM part))""")
+def validate_codes(spark, sf_dir):
+    p, k = read(spark, sf_dir, "part", "p_partkey"), F.col("p_partkey")
+    vin = F.concat(F.lit("1HGCM82"), (k % 10).cast("string"), (k * 3 % 10).cast("string"), F.lit("A"), F.lpad(k.cast("string"), 7, "0"))
+    iban = F.concat(F.lit("GB"), F.repeat(F.lit("12 "), (3 + k % 20).cast("int")), F.lit("3456"))
+    phone = F.when(k % 4 == 0, "7777777").otherwise(F.lpad(k.cast("string"), 7, "1"))
+    return p.select("p_partkey", validators.is_vin(vin).cast("int").alias("vin"), validators.is_iban(iban).cast("int").alias("iban"), validators.is_not_all_same(phone).cast("int").alias("varied"))
+
+
+LABELS = "B-NAME I-EMAIL o _ ORG phone FAX tel ipv4 mac_address website ssn TAXNUM buildingnum private medical_record health_plan license_plate licence biometric date_of_birth dob time age postcode street state city hospital credit_card cvv password first_name company_name organization_name patient national_id employee_id weird_id org vendor occupation race update cardiology aerobic docket nothing U-DATE S-ID pin".split()
+
+
+@query("SELECT raw, " + labels.label_sql("raw") + " AS mapped FROM (VALUES " + ", ".join(f"('{x}')" for x in LABELS) + ") t(raw)")
+def map_labels(spark, sf_dir):
+    raw = spark.createDataFrame([(x,) for x in LABELS], "raw string")
+    return raw.select("raw", labels.map_label(F.col("raw")).alias("mapped"))
+
+
+# --- intervals -------------------------------------------------------------------------------------------------------
+
+SPANS_SQL = "SELECT l_orderkey AS doc_id, l_linenumber AS seq, l_partkey % 50 AS s, l_partkey % 50 + l_quantity::BIGINT AS e, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) + l_discount AS score, l_shipmode_ AS kind FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem)"
+
+
+def line_spans(spark, sf_dir, where="1 = 1"):
+    x = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_suppkey").where(where)
+    return x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 50).alias("start"), (F.col("l_partkey") % 50 + F.col("l_quantity").cast("bigint")).alias("end"), (F.when(F.col("l_returnflag") == "R", 1).otherwise(0) + F.col("l_discount")).alias("score"), F.concat("l_returnflag", "l_linestatus").alias("kind"))
+
+
+def named(df):
+    return df.withColumnsRenamed({"start": "span_start", "end": "span_end"})
+
+
+@query(f"""WITH x AS ({SPANS_SQL}), r AS (SELECT *, row_number() OVER w AS ord, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY s, e DESC, seq, score, kind)),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM r)
+SELECT doc_id, min(s) AS span_start, max(e) AS span_end FROM i GROUP BY doc_id, island""")
+def merge_spans(spark, sf_dir):
+    return named(intervals.merge(line_spans(spark, sf_dir)))
+
+
+A_SQL, B_SQL = SPANS_SQL + " WHERE l_linenumber % 2 = 0", SPANS_SQL + " WHERE l_linenumber % 2 = 1"
+
+
+def two_sides(spark, sf_dir):
+    return line_spans(spark, sf_dir, "l_linenumber % 2 = 0"), line_spans(spark, sf_dir, "l_linenumber % 2 = 1")
+
+
+@query(f"WITH a AS ({A_SQL}), b AS ({B_SQL}) SELECT doc_id, seq, s AS span_start, e AS span_end FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND a.s < b.e AND b.s < a.e)")
+def subtract_spans(spark, sf_dir):
+    return named(intervals.subtract(*two_sides(spark, sf_dir)).select("doc_id", "seq", "start", "end"))
+
+
+@query(f"WITH a AS ({A_SQL}), b AS ({B_SQL}) SELECT doc_id, seq, s AS span_start, e AS span_end FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND a.s < b.e AND b.s < a.e)")
+def touching_spans(spark, sf_dir):
+    return named(intervals.touching(*two_sides(spark, sf_dir)).select("doc_id", "seq", "start", "end"))
+
+
+@query(f"WITH a AS ({A_SQL}), b AS ({B_SQL}) SELECT doc_id, seq, s AS span_start, e AS span_end FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.s <= a.s AND a.e <= b.e)")
+def uncontained_spans(spark, sf_dir):
+    return named(intervals.contained(*two_sides(spark, sf_dir)).select("doc_id", "seq", "start", "end"))
+
+
+@query(f"""WITH a0 AS ({A_SQL}), a AS (SELECT doc_id, seq, min(s) AS s, max(e) AS e FROM a0 GROUP BY doc_id, seq), x AS ({B_SQL}), r AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC, seq) AS ord FROM x),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM r), b AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island)
+SELECT a.doc_id, a.seq, a.s AS span_start, a.e AS span_end, coalesce(sum(CASE WHEN b.doc_id IS NOT NULL THEN least(a.e, b.e) - greatest(a.s, b.s) END), 0)::BIGINT AS covered FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.s < b.e AND b.s < a.e GROUP BY ALL""")
+def cover_spans(spark, sf_dir):
+    gold, other = two_sides(spark, sf_dir)
+    one = gold.groupBy("doc_id", F.col("seq").alias("gold_id")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    out = intervals.coverage(one, intervals.merge(other))
+    return named(out.select("doc_id", F.col("gold_id").alias("seq"), "start", "end", F.col("covered").cast("bigint").alias("covered")))
+
+
+@query()
+def resolve_longest(spark, sf_dir):
+    return named(intervals.resolve_longest(line_spans(spark, sf_dir)))
+
+
+@query()
+def resolve_by_score(spark, sf_dir):
+    return named(intervals.resolve_by_score(line_spans(spark, sf_dir)))
+
+
+# --- evaluation ------------------------------------------------------------------------------------------------------
+
+#: In-policy gold of the notes with coverage and outcome; every label of the notes is in policy.
+SCORED = f"""{WITH_NOTES}, g AS (SELECT g.*, {CATEGORY_SQL} AS category, end_ - start AS size, length(replace(substr(text, start + 1, end_ - start), ' ', '')) AS body FROM gold g JOIN notes USING (note_id)),
+c AS (SELECT g.note_id, g.gold_id, sum(least(g.end_, p.end_) - greatest(g.start, p.start)) AS covered FROM g JOIN pred p ON g.note_id = p.note_id AND g.start < p.end_ AND p.start < g.end_ GROUP BY 1, 2),
+o AS (SELECT g.*, coalesce(covered, 0) AS covered FROM g LEFT JOIN c USING (note_id, gold_id)),
+scored AS (SELECT *, covered > 0 AS caught, covered + size - body >= size AND covered > 0 AS full_, greatest(least(covered - least(size - body, covered), body), CASE WHEN covered >= size THEN body ELSE 0 END) AS covered_chars FROM o)"""
+COUNTS = "count(*) AS gold, count_if(caught)::BIGINT AS caught, count_if(full_)::BIGINT AS \"full\", sum(body)::BIGINT AS gold_chars, sum(covered_chars)::BIGINT AS covered_chars"
+
+
+def scored(spark, sf_dir):
+    docs, gold, pred = tables(spark, sf_dir)
+    return evaluate.outcomes(gold, pred, docs), docs, gold, pred
+
+
+def longs(df):
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "bigint", "decimal(38,0)") else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"{SCORED} SELECT note_id || '#' || gold_id AS item, CASE WHEN full_ THEN 2 WHEN caught THEN 1 ELSE 0 END AS outcome FROM scored")
+def responses(spark, sf_dir):
+    return scored(spark, sf_dir)[0].select("item", "outcome")
+
+
+@query(f"""{SCORED}, s AS (SELECT category, {COUNTS} FROM scored GROUP BY category), p AS (SELECT category, count(*) AS predicted FROM pred GROUP BY category),
+k AS (SELECT category, count(*) AS predicted_correct FROM pred p WHERE EXISTS (SELECT 1 FROM gold g WHERE g.note_id = p.note_id AND g.start < p.end_ AND p.start < g.end_) GROUP BY category)
+SELECT category, coalesce(gold, 0) AS gold, coalesce(caught, 0) AS caught, coalesce("full", 0) AS "full", coalesce(gold_chars, 0) AS gold_chars, coalesce(covered_chars, 0) AS covered_chars, coalesce(predicted, 0) AS predicted, coalesce(predicted_correct, 0) AS predicted_correct FROM s FULL JOIN p USING (category) LEFT JOIN k USING (category)""")
+def score_by_category(spark, sf_dir):
+    s, _, gold, pred = scored(spark, sf_dir)
+    return longs(evaluate.by_category(s, gold, pred))
+
+
+@query(f"{SCORED} SELECT domain, {COUNTS} FROM scored JOIN notes USING (note_id) GROUP BY domain")
+def score_by_domain(spark, sf_dir):
+    s, docs, _, _ = scored(spark, sf_dir)
+    return longs(evaluate.by_value(s, docs, "domain"))
+
+
+@query(f"{SCORED} SELECT mode, round(count_if(caught) / count(*), 9) AS recall, round(count_if(full_) / count(*), 9) AS full_recall, round(sum(covered_chars) / sum(body), 9) AS char_recall FROM scored JOIN notes USING (note_id) GROUP BY mode")
+def ratios_by_mode(spark, sf_dir):
+    s, docs, _, _ = scored(spark, sf_dir)
+    r = evaluate.ratios(evaluate.by_value(s, docs, "mode"))
+    return r.select("mode", *[F.round(c, 9).alias(c) for c in ("recall", "full_recall", "char_recall")])
+
+
+@query(f"{SCORED} SELECT DISTINCT note_id AS doc_id FROM scored WHERE covered = 0")
+def leaking_documents(spark, sf_dir):
+    return evaluate.leaking(scored(spark, sf_dir)[0])
+
+
+@query(f"""{WITH_NOTES}, ch AS (SELECT note_id, i FROM notes, range(0, 1000) r(i) WHERE i < length(text) AND text[(i + 1)::BIGINT] <> ' '),
+clean AS (SELECT note_id, i FROM ch WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.note_id = ch.note_id AND g.start <= i AND i < g.end_))
+SELECT count(*) AS clean_chars, count_if(hit)::BIGINT AS clean_redacted, round(count_if(hit) / count(*), 9) AS over_redaction FROM (SELECT EXISTS (SELECT 1 FROM pred p WHERE p.note_id = clean.note_id AND p.start <= i AND i < p.end_) AS hit FROM clean)""")
+def over_redaction(spark, sf_dir):
+    docs, gold, pred = tables(spark, sf_dir)
+    return longs(evaluate.over_redaction(gold, pred, docs)).withColumn("over_redaction", F.round("over_redaction", 9))
+
+
+@query(f"{SCORED} SELECT note_id AS doc_id, gold_id, category, label, caught AS partial FROM scored WHERE NOT full_ ORDER BY note_id, gold_id LIMIT 25")
+def first_misses(spark, sf_dir):
+    s, docs, _, _ = scored(spark, sf_dir)
+    return evaluate.misses(s, docs, 25).select("doc_id", "gold_id", "category", "label", "partial")
+
+
+@query(f"""{WITH_NOTES}, t AS (SELECT * FROM (VALUES (0.25), (0.45), (0.65)) v(threshold)),
+c AS (SELECT threshold::DOUBLE AS threshold, g.note_id, g.gold_id, coalesce(sum(CASE WHEN p.note_id IS NULL THEN 0 ELSE least(g.end_, p.end_) - greatest(g.start, p.start) END), 0) AS covered FROM t CROSS JOIN gold g LEFT JOIN pred p ON g.note_id = p.note_id AND g.start < p.end_ AND p.start < g.end_ AND p.confidence >= threshold GROUP BY 1, 2, 3)
+SELECT threshold, count(*) AS gold, count_if(covered > 0)::BIGINT AS caught, count(DISTINCT CASE WHEN covered = 0 THEN note_id END) AS leak_docs FROM c GROUP BY threshold""")
+def sweep_thresholds(spark, sf_dir):
+    docs, gold, pred = tables(spark, sf_dir)
+    t = spark.createDataFrame([(0.25,), (0.45,), (0.65,)], "threshold double")
+    return evaluate.sweep(gold, pred, docs, t).select("threshold", "gold", "caught", "leak_docs")
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+SYSTEMS_SQL = "SELECT CAST(l_orderkey AS VARCHAR) || '#' || l_linenumber AS item, l_orderkey AS doc, s AS system, CASE s WHEN 'a' THEN (l_partkey % 17 <> 0)::INT * 2 WHEN 'b' THEN ((l_partkey * 3 + l_suppkey) % 17 <> 0)::INT * 2 ELSE (l_partkey % 5)::INT % 3 END AS outcome FROM lineitem, (VALUES ('a'), ('b'), ('c')) v(s)"
+
+
+def systems(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("*", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("system"))
+    outcome = F.when(F.col("system") == "a", (F.col("l_partkey") % 17 != 0).cast("int") * 2).when(F.col("system") == "b", ((F.col("l_partkey") * 3 + F.col("l_suppkey")) % 17 != 0).cast("int") * 2).otherwise((F.col("l_partkey") % 5 % 3).cast("int"))
+    return x.select(F.concat(F.col("l_orderkey").cast("string"), F.lit("#"), F.col("l_linenumber").cast("string")).alias("item"), "system", outcome.alias("outcome"))
+
+
+@query(f"SELECT CAST(doc AS VARCHAR) AS doc, system, bool_or(outcome = 0) AS leaked FROM ({SYSTEMS_SQL}) GROUP BY ALL")
+def leak_vectors(spark, sf_dir):
+    return stats.leak_vector(systems(spark, sf_dir))
+
+
+@query(f"""WITH v AS (SELECT doc, bool_or(outcome = 0) FILTER (system = 'a') AS a, bool_or(outcome = 0) FILTER (system = 'b') AS b FROM ({SYSTEMS_SQL}) GROUP BY doc), n AS (SELECT count_if(a AND NOT b)::BIGINT AS only_a, count_if(NOT a AND b)::BIGINT AS only_b FROM v)
+SELECT only_a, only_b, round(least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM range(0, 100000) r(i) WHERE i <= least(only_a, only_b))), 6) AS p FROM n""")
+def mcnemar_exact(spark, sf_dir):
+    return stats.mcnemar(stats.leak_vector(systems(spark, sf_dir)), "a", "b").select("only_a", "only_b", F.round("p", 6).alias("p"))
+
+
+@query()
+def bootstrap_difference(spark, sf_dir):
+    return stats.bootstrap(stats.leak_vector(systems(spark, sf_dir)), "a", draws=200)
+
+
+@query("WITH s AS (SELECT l_returnflag AS system, l_quantity AS threshold, count_if(l_tax < 0.03)::BIGINT AS leak_docs, avg(l_discount) AS over_redaction FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY system, cap ORDER BY leak_docs, threshold DESC) AS n FROM s, (VALUES (0.049::DOUBLE), (0.0505::DOUBLE)) v(cap) WHERE over_redaction <= cap) SELECT system, cap, threshold, leak_docs FROM r WHERE n = 1")
+def matched_points(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_tax", "l_discount").groupBy(F.col("l_returnflag").alias("system"), F.col("l_quantity").alias("threshold")).agg(F.count_if(F.col("l_tax") < 0.03).alias("leak_docs"), F.avg("l_discount").alias("over_redaction"))
+    return stats.matched_points(x, [0.049, 0.0505]).select("system", "cap", "threshold", "leak_docs")
+
+
+@query()
+def d_prime(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_quantity", "l_tax", "l_discount").groupBy(F.col("l_quantity").alias("threshold")).agg(F.count_if(F.col("l_tax") < 0.03).alias("hits"), F.count("*").alias("hit_n"), F.count_if(F.col("l_discount") < 0.02).alias("false_alarms"), F.count("*").alias("fa_n"))
+    return stats.d_prime(x)
+
+
+@query()
+def item_response(spark, sf_dir):
+    items, _ = stats.item_response(systems(spark, sf_dir), ["a", "b", "c"])
+    return items
+
+
+@query("SELECT o_orderpriority AS tag, count_if(got AND want)::BIGINT AS tp, count_if(got AND NOT want)::BIGINT AS fp, count_if(NOT got AND want)::BIGINT AS fn, round(count_if(got = want) / count(*), 9) AS agreement FROM (SELECT *, o_orderkey % 3 = 0 AS got, o_custkey % 3 = 0 AS want FROM orders) GROUP BY 1")
+def tag_agreement(spark, sf_dir):
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    r = stats.tag_agreement(o.select(F.col("o_orderpriority").alias("tag"), (F.col("o_orderkey") % 3 == 0).alias("computed"), (F.col("o_custkey") % 3 == 0).alias("stated")))
+    return r.select("tag", "tp", "fp", "fn", F.round("agreement", 9).alias("agreement"))
+
+
+@query("WITH s AS (SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'clin' ELSE 'tpl' END || n_regionkey AS set_, n_name AS system, (n_nationkey % 10) / 1000.0 AS leak, (n_nationkey % 15) / 1000.0 AS over FROM nation) SELECT set_ AS set_name, system, 'over_redaction' AS gate, over <= 0.01 AS pass FROM s UNION ALL SELECT set_, system, 'leak_rate', leak <= 0.005 FROM s WHERE set_ LIKE 'clin%' UNION ALL SELECT set_, system, 'int8_recall', true FROM s")
+def release_gates(spark, sf_dir):
+    n = read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    s = n.select(F.concat(F.when(F.col("n_regionkey") % 2 == 0, "clin").otherwise("tpl"), F.col("n_regionkey").cast("string")).alias("set"), F.col("n_name").alias("system"), (F.col("n_nationkey") % 10 / 1000.0).alias("leak_rate"), (F.col("n_nationkey") % 15 / 1000.0).alias("over_redaction"), F.lit(0.9).alias("int8_recall"), F.lit(0.901).alias("fp32_recall"))
+    return stats.gates(s).select(F.col("set").alias("set_name"), "system", "gate", "pass")
+
+
+@query(f"{WITH_NOTES}, p AS (SELECT DISTINCT note_id, start, end_, category FROM pred), g AS (SELECT note_id, start, end_, {CATEGORY_SQL} AS category FROM gold), n AS (SELECT (SELECT count(*) FROM g) AS gold, (SELECT count(*) FROM p) AS predicted, (SELECT count(*) FROM g JOIN p USING (note_id, start, end_, category)) AS right_) SELECT gold, predicted, right_ AS n_right, round(2.0 * right_ / (gold + predicted), 9) AS f1 FROM n")
+def entity_f1(spark, sf_dir):
+    docs, gold, pred = tables(spark, sf_dir)
+    g = gold.withColumn("category", labels.map_label(F.col("label")))
+    return stats.entity_scores(g, pred, ["doc_id", "start", "end", "category"]).select("gold", "predicted", F.col("right").alias("n_right"), F.round("f1", 9).alias("f1"))
+
+
+@query("WITH c AS (SELECT count_if(l_discount < 0.05 AND l_tax < 0.05)::BIGINT AS tp, count_if(l_discount < 0.05)::BIGINT AS g, count_if(l_tax < 0.05)::BIGINT AS p FROM lineitem) SELECT round(tp / g, 9) AS recall, round(tp / p, 9) AS precision, round(5 * (tp / p) * (tp / g) / (4 * (tp / p) + tp / g), 9) AS f2 FROM c")
+def token_f2(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_discount", "l_tax").select((F.col("l_discount") < 0.05).alias("gold"), (F.col("l_tax") < 0.05).alias("predicted"))
+    return stats.token_scores(x).select(*[F.round(c, 9).alias(c) for c in ("recall", "precision", "f2")])
+
+
+@query("WITH s AS (SELECT c_mktsegment AS name, count(*) AS share FROM customer GROUP BY 1), x AS (SELECT *, share * 997.0 / sum(share) OVER () AS exact FROM s), r AS (SELECT *, floor(exact) AS f, row_number() OVER (ORDER BY round(exact - floor(exact), 9) DESC, name) AS n FROM x) SELECT name, (f + (n <= 997 - (SELECT sum(floor(exact)) FROM x))::INT)::BIGINT AS n FROM r")
+def largest_remainder(spark, sf_dir):
+    shares = read(spark, sf_dir, "customer", "c_mktsegment").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("share"))
+    return stats.largest_remainder(shares, 997)
+
+
+# --- sequences, pages, planted text ----------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT o_orderkey AS doc_id, o_custkey % 90 AS n FROM orders), w AS (SELECT *, unnest(range(0, 1 + greatest(ceil((n - 24) / 20.0), 0)::BIGINT)) AS win FROM d WHERE n > 0), t AS (SELECT *, least(win * 20 + 24, n) - win * 20 AS len_ FROM w), u AS (SELECT *, unnest(range(0, len_)) AS t FROM t)
+SELECT doc_id, (win * 20 + t)::BIGINT AS tok, round(sum(CASE WHEN n > 24 THEN 1 + least(t, len_ - 1 - t, 4) ELSE 1 END * (win + t))::DOUBLE / sum(CASE WHEN n > 24 THEN 1 + least(t, len_ - 1 - t, 4) ELSE 1 END), 9) AS p FROM u GROUP BY 1, 2""")
+def window_average(spark, sf_dir):
+    docs = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 90).alias("n"))
+    w = windows.token_windows(docs, 24).withColumn("p", F.col("win") + F.col("tok") - F.col("win") * 20)
+    return windows.averaged(w, ["doc_id", "tok"]).select("doc_id", F.col("tok").cast("bigint").alias("tok"), F.round("p", 9).alias("p"))
+
+
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS tok, CASE WHEN m % 4 = 0 THEN 'O' ELSE (CASE WHEN m % 3 = 0 THEN 'B' ELSE 'I' END) || '-' || CASE WHEN m % 7 < 5 THEN 'NAME' ELSE 'DATE' END END AS tag FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS m FROM lineitem GROUP BY 1, 2)),
+o AS (SELECT *, substr(tag, 3) AS kind, left(tag, 1) AS mark FROM t WHERE tag <> 'O'), l AS (SELECT *, coalesce(lag(tok) OVER w = tok - 1 AND lag(kind) OVER w = kind AND mark <> 'B', false) AS same FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY tok)), i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY tok) AS island FROM l)
+SELECT doc_id, min(tok)::BIGINT AS first_tok, max(tok)::BIGINT + 1 AS end_tok, any_value(kind) AS kind FROM i GROUP BY doc_id, island""")
+def tagged_chunks(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("tok")).agg(F.min("l_partkey").alias("m"))
+    tag = F.when(F.col("m") % 4 == 0, "O").otherwise(F.concat(F.when(F.col("m") % 3 == 0, "B").otherwise("I"), F.lit("-"), F.when(F.col("m") % 7 < 5, "NAME").otherwise("DATE")))
+    return windows.tagged_chunks(x.select("doc_id", "tok", tag.alias("tag"))).select("doc_id", F.col("first").cast("bigint").alias("first_tok"), F.col("end").cast("bigint").alias("end_tok"), "kind")
+
+
+@query()
+def decode_tokens(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax")
+    base = x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("tok"), (F.col("l_linenumber") * 6).alias("start"), (F.col("l_linenumber") * 6 + 5).alias("end"), F.lit(" ").alias("gap"), F.explode(F.array(F.struct(F.lit("NAME").alias("category"), (F.col("l_discount") * 5).alias("p")), F.struct(F.lit("DATE").alias("category"), (F.col("l_tax") * 5).alias("p")))).alias("c"))
+    return named(windows.decode(base.select("doc_id", "tok", "start", "end", "gap", "c.category", "c.p").dropDuplicates(["doc_id", "tok", "category"]), 0.35, 0.08))
+
+
+@query("SELECT n_nationkey AS doc_id, 0 AS page, 1 AS seq, greatest(10.0 + 8 * 6 - 2, 0)::DOUBLE AS x, 18.0::DOUBLE AS y, (length(n_name) * 8 + 4)::DOUBLE AS w, 14.0::DOUBLE AS h FROM nation")
+def page_boxes(spark, sf_dir):
+    n = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    word = lambda text, at: F.struct(text.alias("text"), F.lit(at).alias("start"), (F.lit(at) + F.length(text)).cast("int").alias("end"), F.array(F.lit(10.0 + 8 * at), F.lit(20.0), (F.length(text) * 8).cast("double"), F.lit(10.0)).alias("box"))
+    page = F.struct(F.lit(600).alias("width"), F.lit(800).alias("height"), F.array(F.struct(F.concat(F.lit("From: "), F.col("n_name")).alias("text"), F.array(word(F.lit("From:"), 0), word(F.split("n_name", "$x")[0], 6)).alias("words"))).alias("lines"))
+    pages = ocr.parse(n.select(F.col("n_nationkey").alias("doc_id"), "n_name", F.to_json(F.struct(F.array(page).alias("pages"))).alias("json")))
+    spans = n.select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(1).alias("seq"), F.lit(6).alias("start"), (F.lit(6) + F.length("n_name")).alias("end"))
+    return ocr.boxes(ocr.words(pages), spans).select("doc_id", "page", "seq", "x", "y", "w", "h")
+
+
+@query("SELECT c_custkey AS doc_id, 'Seen ' || c_name || ' of ' || c_mktsegment || '.' AS text, 5::BIGINT AS first_start, (5 + length(c_name))::BIGINT AS first_end, (9 + length(c_name))::BIGINT AS last_start FROM customer")
+def substitute_sentinels(spark, sf_dir):
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    item = lambda ph, v, label: F.struct(F.lit(ph).alias("ph"), v.alias("value"), F.lit(label).alias("label"), F.lit(1).alias("count"))
+    raw = c.select(F.col("c_custkey").alias("doc_id"), F.lit("Seen [[NAME_1]] of [[ORG_1]].").alias("text"), F.array(item("NAME_1", F.col("c_name"), "name"), item("ORG_1", F.col("c_mktsegment"), "org")).alias("planted"))
+    s = synth.substitute(raw).where(F.size("problems") == 0)
+    return s.select("doc_id", "text", F.get("spans", F.lit(0))["start"].cast("bigint").alias("first_start"), F.get("spans", F.lit(0))["end"].cast("bigint").alias("first_end"), F.get("spans", F.lit(1))["start"].cast("bigint").alias("last_start"))
+
+
+@query("SELECT o_orderkey, CASE WHEN instr('02468ace', right(sha256(CAST(o_orderkey AS VARCHAR)), 1)) > 0 THEN 'dev' ELSE 'sealed' END AS split FROM orders")
+def parity_split(spark, sf_dir):
+    return read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", synth.parity_split(F.col("o_orderkey")).alias("split"))
+
+
+@query(f"SELECT c_custkey, regexp_matches(c_name, '{synth.format_regex('Customer#{d9}')}') AS matches FROM customer")
+def format_match(spark, sf_dir):
+    return read(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", F.col("c_name").rlike(synth.format_regex("Customer#{d9}")).alias("matches"))
+
+
+@query("SELECT DISTINCT lower(p_brand) AS value FROM part WHERE p_partkey % 2 = 0 INTERSECT SELECT lower(p_brand) FROM part WHERE p_partkey % 2 = 1")
+def shared_values(spark, sf_dir):
+    p = read(spark, sf_dir, "part", "p_partkey", "p_brand")
+    return synth.shared_values(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_brand")
+
+
+@query()
+def planted_specs(spark, sf_dir):
+    n = read(spark, sf_dir, "customer", "c_custkey").count()
+    return synth.plant_specs(spark, n, 7, [("mrn", "mrn", "{d8}"), ("phone", "phone", "({d3}) 555-{d4}"), ("name", "name", "{fn} {ln}"), ("date", "date", "{mm}/{dd}/{yyyy}")])
+
+
+@query()
+def screen_notes(spark, sf_dir):
+    docs, gold, _ = tables(spark, sf_dir)
+    spans = gold.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return synth.screened(docs.select("doc_id", "text").join(spans, "doc_id")).select("doc_id", F.explode("reasons").alias("r")).select("doc_id", "r.reason", "r.match")
+
+
+@query(f"""{WITH_NOTES}, t AS (SELECT note_id, label, CASE WHEN regexp_matches(lower(substr(text, greatest(start - 28, 0) + 1, least(start, 28))), '(mrn|dob|born|phone|tel|fax|email|ssn|member|account|id|number|no\\.|#|dr\\.?|mr\\.?|mrs\\.?|ms\\.?|patient|name|lives at|address|zip|license|plate|vin|serial)[^a-z0-9]{{0,6}}$') THEN 1 ELSE 0 END AS cue FROM gold JOIN notes USING (note_id)) SELECT label, sum(cue)::BIGINT AS cued, count(*) AS n FROM t GROUP BY label""")
+def difficulty_tags(spark, sf_dir):
+    docs, gold, _ = tables(spark, sf_dir)
+    tagged = synth.difficulty_tags(gold.join(docs.select("doc_id", "text"), "doc_id"))
+    return tagged.groupBy("label").agg(F.count_if(F.array_contains("tags", "m:cue")).alias("cued"), F.count("*").alias("n"))
+
+
+# --- sessions --------------------------------------------------------------------------------------------------------
+
+
+@query("WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS opened, count(*) AS n_events FROM s GROUP BY user_id, n")
+def vault_sessions(spark, sf_dir):
+    return vaults.sessions(read(spark, sf_dir, "events", "user_id", "ts"), "user_id", "ts")
