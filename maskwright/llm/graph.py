@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a partition of the written graph holds, about.
+EDGES = 100_000
+
+
+def packed(edges: DataFrame, count: int) -> DataFrame:
+    return edges.coalesce(max(1, -(-count // EDGES)))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node of links(a long, b long): the smallest id that it reaches.
@@ -15,8 +22,9 @@ def components(links: DataFrame) -> DataFrame:
     shuffle) and an equi-join, and its edges are written to the shared folder.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    seen, count = None, edges.count()
     while True:
+        edges = packed(edges, count)
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -26,5 +34,5 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if now == seen:
             break
-        seen = now
+        seen, count = now, now[0]
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

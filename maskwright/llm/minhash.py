@@ -35,8 +35,8 @@ BANDS, ROWS = 32, 6
 SIGNED, LOW_BITS = 128, 2
 #: Standard errors by which an estimate may fall short of the least similarity.
 SLACK = 5.0
-#: Hubs of a bucket in a round, and unsettled pairs for each member row below which rounds end.
-HUBS, UNSETTLED = 3, 2
+#: Hubs of a bucket in a round, and comparisons left for each member row below which rounds end.
+HUBS, UNSETTLED = 3, 32
 #: Words whose hashes a task remembers.
 REMEMBERED = 1_000_000
 
@@ -158,9 +158,10 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = 0.8) -> DataFra
     spark = docs.sparkSession
     rows = cut(signatures(docs, k))
     classes = cut(rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    spread = classes.where("id IS NOT NULL").select("id", "n", "sig", F.explode("bands").alias("bucket"))
+    spread = classes.where("id IS NOT NULL").select("id", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = cut(spread.join(shared, "bucket").select("bucket", F.struct("id", "n", "sig").alias("m")))
+    # Signatures are attached to what is left: most bands of most texts are theirs alone.
+    members = cut(spread.join(shared, "bucket").join(classes.select("id", "n", "sig"), "id").select("bucket", F.struct("id", "n", "sig").alias("m")))
     path = fresh_path(spark, "texts")
     docs.select("doc_id", "text").join(members.select(F.col("m.id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
     texts = spark.read.parquet(path)
@@ -172,38 +173,32 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = 0.8) -> DataFra
 
 def settle(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Links enough to connect whatever the buckets of members(bucket, m struct<id, n, sig>) link."""
-    spark = members.sparkSession
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, total = none, none, members.count()
+    links, turn, progress = members.sparkSession.createDataFrame([], "a long, b long"), 0, True
     now = members.withColumn("c", F.col("m.id"))
-    turn = 0
+    pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
     while True:
-        sizes = now.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("s")).where("parts > 1")
-        open_buckets = cut(sizes.select("bucket", ((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")))
-        unsettled = open_buckets.agg(F.sum("pairs")).collect()[0][0] or 0
-        if not unsettled:
+        parts = now.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("k").alias("n"), F.max_by("c", F.struct("k", "c")).alias("major"), F.max("k").alias("most")).where("parts > 1")
+        open_ = cut(parts.select("bucket", "n", "major", ((F.col("n") - F.col("most")) * F.col("n")).alias("work")))
+        work, rows = open_.agg(F.coalesce(F.sum("work"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).collect()[0]
+        if not rows:
             return links
-        left = now.join(open_buckets.select("bucket"), "bucket")
-        last = unsettled <= UNSETTLED * total and turn > 0
-        if last:
-            parts = left.select("bucket", "c").distinct()
-            two = parts.join(parts.select("bucket", F.col("c").alias("d")), "bucket").where("c < d")
-            found = two.join(left.select("bucket", "c", F.col("m").alias("x")), ["bucket", "c"]).join(left.select("bucket", F.col("c").alias("d"), F.col("m").alias("y")), ["bucket", "d"])
+        now = now.join(open_.select("bucket", "major"), "bucket")
+        last = turn > 0 and (work <= UNSETTLED * rows or not progress)
+        if last:  # each pair across components has an end outside the bucket's largest one
+            x = now.where("c <> major").select("bucket", F.col("m").alias("x"), F.col("c"))
+            y = now.select("bucket", F.col("m").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("major")).alias("main"))
+            found = x.join(y, "bucket").where((F.col("c") != F.col("d")) & (F.col("main") | (F.col("x.id") > F.col("y.id"))) & alike("x", "y", similarity))
         else:
             picks = [F.min_by(F.struct("m", "c"), F.xxhash64(F.col("m.id"), F.lit(turn * HUBS + i))) for i in range(HUBS)]
-            hubs = left.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select("bucket", F.explode("hubs").alias("h")).select("bucket", F.col("h.m").alias("y"), F.col("h.c").alias("d"))
-            found = left.select("bucket", "c", F.col("m").alias("x")).join(hubs, "bucket").where("c <> d")
-        pairs = found.where(alike("x", "y", similarity)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        new = cut(confirm(pairs))
-        links, tested = cut(links.union(new)), cut(tested.union(pairs))
+            hubs = now.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select("bucket", F.explode("hubs").alias("h")).select("bucket", F.col("h.m").alias("y"), F.col("h.c").alias("d"))
+            found = now.select("bucket", "c", F.col("m").alias("x")).join(hubs, "bucket").where((F.col("c") != F.col("d")) & alike("x", "y", similarity))
+        new = cut(confirm(found.select(*pair).distinct()))
+        links = links.union(new)
         if last:
             return links
-        turn += 1
-        if new.isEmpty() and unsettled > UNSETTLED * total:  # hubs settle no more; compare what is left
-            total = unsettled
+        turn, progress = turn + 1, not new.isEmpty()
         named = components(links)
-        now = cut(members.join(named, F.col("m.id") == named["id"], "left").select("bucket", "m", F.coalesce("component", "m.id").alias("c")))
+        now = cut(now.drop("major").withColumn("id", F.col("m.id")).join(named, "id", "left").select("bucket", "m", F.coalesce("component", "c").alias("c")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
