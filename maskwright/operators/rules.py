@@ -47,13 +47,18 @@ class Rule:
     dob: bool = False
     digits: int = 0  #: digits that the text must hold at least
     needs: tuple[str, ...] = ()  #: one of these must stand in the lower-cased text
+    also: tuple[str, ...] = ()  #: and one of these
+    cased: tuple[str, ...] = ()  #: one of these must stand in the text as it is
+    capitals: bool = False  #: two capitals must stand together, or with a hyphen or apostrophe between them
     regex: re.Pattern = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
         object.__setattr__(self, "regex", re.compile(self.pattern))
 
-    def may_match(self, low: str, n_digits: int) -> bool:
-        return n_digits >= self.digits and (not self.needs or any(k in low for k in self.needs))
+    def may_match(self, text: str, low: str, n_digits: int, has_capitals: bool) -> bool:
+        if n_digits < self.digits or (self.capitals and not has_capitals):
+            return False
+        return all(not keys or any(k in where for k in keys) for keys, where in ((self.needs, low), (self.also, low), (self.cased, text)))
 
 
 def cued(name: str, category: str, cues: str, value: str, confidence: float = 1.0, check=None, digits: int = 1, needs: str = "", between: str = TO_VALUE) -> Rule:
@@ -61,6 +66,8 @@ def cued(name: str, category: str, cues: str, value: str, confidence: float = 1.
     return Rule(name, category, rf"(?i)\b(?:{cues}){between}{value}", 1, confidence, check, digits=digits, needs=tuple(needs.split()))
 
 
+CAPITALS = re.compile("[A-Z][-'’]?[A-Z]")
+ORDINALS_LOW = tuple("first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth teenth tieth".split())
 MONTHS_LOW = tuple("jan feb mar apr may jun jul aug sep oct nov dec".split())
 
 #: The rules; their order decides between equal ranks.
@@ -98,8 +105,8 @@ RULES: list[Rule] = [
     cued("id_spoken", "ID", rf"(?:account|acct\.?|invoice|claim|encounter|accession|case|reference|confirmation|billing|specimen|serial|licen[sc]e|passport)\s*{NUM_OR_ID}", SPOKEN, 0.9, v.at_least(4), 4, "acc invoice claim encounter case reference confirmation billing specimen serial licen passport", SAID),
     cued("ssn_spoken", "SSN", r"social security(?:\s*number)?|ssn", r"(\d(?:[ -]?\d){8})\b", 0.95, digits=9, needs="social ssn", between=SAID),
     Rule("digits_spoken", "ID", r"\b\d(?: \d){6,}\b", confidence=0.85, digits=7),
-    Rule("date_ordinal_of", "DATE", rf"(?i:\b(?:the\s+)?{ORDINAL}\s+(?:day\s+)?of\s+){MONTH}(?:,?\s+(?:of\s+)?{YEAR})?\b", confidence=0.9, needs=(" of",)),
-    Rule("date_month_ordinal", "DATE", rf"\b{MONTH}\s+(?i:(?:the\s+)?{ORDINAL})(?:,?\s+{YEAR})?\b", confidence=0.9, needs=MONTHS_LOW),
+    Rule("date_ordinal_of", "DATE", rf"(?i:\b(?:the\s+)?{ORDINAL}\s+(?:day\s+)?of\s+){MONTH}(?:,?\s+(?:of\s+)?{YEAR})?\b", confidence=0.9, needs=MONTHS_LOW, also=ORDINALS_LOW),
+    Rule("date_month_ordinal", "DATE", rf"\b{MONTH}\s+(?i:(?:the\s+)?{ORDINAL})(?:,?\s+{YEAR})?\b", confidence=0.9, needs=MONTHS_LOW, also=ORDINALS_LOW),
     Rule("age_spoken", "AGE", r"(?i)\b((?:ninety(?:[- ](?:one|two|three|four|five|six|seven|eight|nine))?|(?:one |a )?hundred(?: and)?(?: (?:one|two|three|four|five|six|seven|eight|nine|ten))?))[\s-]+(?:years?[\s-]+old|year[\s-]+old|years of age)\b", 1, 0.95, needs=("ninety", "hundred")),
     Rule("email_spoken", "EMAIL", r"(?i)\b[a-z0-9]+(?: (?:dot|underscore|dash|hyphen) [a-z0-9]+)* at [a-z0-9]+(?: (?:dot|dash|hyphen) [a-z0-9]+)* dot (?:com|org|net|ca|edu|gov|io|co|uk|us|health|info)\b", confidence=0.9, needs=(" dot ",)),
     Rule("any_id", "ID", rf"(?i)\b[a-z]+\s+id{TO_VALUE}{IDVAL}", 1, 0.8, v.at_least(4), digits=4, needs=("id",)),
@@ -122,14 +129,14 @@ RULES: list[Rule] = [
     cued("zip_cued", "ZIP", r"(?:zip|postal)(?:\s*code)?", r"(\d{5}(?:-\d{4})?)\b", digits=5, needs="zip postal", between=r"\s*[:#]?\s*"),
     Rule("city_state", "LOCATION", rf"\b([A-Z][a-z]+(?:[ -][A-Z][a-z]+){{0,2}}),\s+{STATE}\.?,?\s+\d{{5}}\b", 1, 0.9, digits=5, needs=(",",)),
     Rule("postal_canada", "ZIP", r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z][ -]?\d[ABCEGHJ-NPRSTV-Z]\d\b", confidence=0.95, digits=3),
-    Rule("name_titled", "NAME", rf"\b(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof|Sr|Sra|Nurse|Doctor|Officer|Constable|Detective|Pharmacist|Rev|Fr|Judge|Sgt|Capt)\.?\s+({names.FULL})", 1, 0.9, needs=("dr", "m", "prof", "sr", "nurse", "doctor", "officer", "constable", "detective", "pharmacist", "rev", "fr", "judge", "sgt", "capt")),
-    Rule("name_registered", "NAME", rf"\b({names.REGISTERED})\s+(?:\d{{1,3}}\s*(?:y/?o|yrs?)|DOB|MRN|\(|[MF]\b)", 1, 0.9, needs=(",",)),
-    Rule("name_role_registered", "NAME", rf"\b(?:Patient|Pt|Client|Resident)\s+({names.REGISTERED})", 1, 0.9, needs=(",",)),
-    Rule("name_capitals", "NAME", rf"\b({names.CTOK}(?:\s+{names.CTOK}){{0,2}},\s*{names.CTOK}(?:\s+[A-Z]\b\.?)?)", 1, 0.9, names.name_pair, needs=(",",)),
-    Rule("name_addressed", "NAME", rf"(?i:\b(?:from|to|sent|attn|attention|cc|bcc|copied|fwd?|fw|forwarded|between)\s*[:–—-]\s*|\b(?:care\s+of|c/o|attention\s+of|addressed\s+to|delivered\s+to|copied\s+to|sent\s+to|forwarded\s+to|between)\s+)\s*(?:(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof)\.?\s+)?({names.PAIR})", 1, 0.8, names.name_pair, needs=(",",)),
-    Rule("name_then_facts", "NAME", rf"\b({names.PAIR})\s+\(?(?:{YEAR}|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|(?i:d\.?o\.?b\.?|mrn|m\.?r\.?#|chart|med\.?\s?rec\.?|age|male|female|born)\b|\d{{1,3}}\s*(?:y/?o|yrs?\.?)\b)", 1, 0.8, names.name_pair, needs=(",",)),
+    Rule("name_titled", "NAME", rf"\b(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof|Sr|Sra|Nurse|Doctor|Officer|Constable|Detective|Pharmacist|Rev|Fr|Judge|Sgt|Capt)\.?\s+({names.FULL})", 1, 0.9, cased=tuple("Dr Mr Ms Miss Mx Prof Sr Nurse Doctor Officer Constable Detective Pharmacist Rev Fr Judge Sgt Capt".split())),
+    Rule("name_registered", "NAME", rf"\b({names.REGISTERED})\s+(?:\d{{1,3}}\s*(?:y/?o|yrs?)|DOB|MRN|\(|[MF]\b)", 1, 0.9, needs=(",",), capitals=True),
+    Rule("name_role_registered", "NAME", rf"\b(?:Patient|Pt|Client|Resident)\s+({names.REGISTERED})", 1, 0.9, needs=(",",), cased=("Patient", "Pt", "Client", "Resident"), capitals=True),
+    Rule("name_capitals", "NAME", rf"\b({names.CTOK}(?:\s+{names.CTOK}){{0,2}},\s*{names.CTOK}(?:\s+[A-Z]\b\.?)?)", 1, 0.9, names.name_pair, needs=(",",), capitals=True),
+    Rule("name_addressed", "NAME", rf"(?i:\b(?:from|to|sent|attn|attention|cc|bcc|copied|fwd?|fw|forwarded|between)\s*[:–—-]\s*|\b(?:care\s+of|c/o|attention\s+of|addressed\s+to|delivered\s+to|copied\s+to|sent\s+to|forwarded\s+to|between)\s+)\s*(?:(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof)\.?\s+)?({names.PAIR})", 1, 0.8, names.name_pair, needs=(",",), also=(":", "–", "—", "-", "care", "c/o", "attention", "addressed", "delivered", "copied", "sent", "forwarded", "between")),
+    Rule("name_then_facts", "NAME", rf"\b({names.PAIR})\s+\(?(?:{YEAR}|\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|(?i:d\.?o\.?b\.?|mrn|m\.?r\.?#|chart|med\.?\s?rec\.?|age|male|female|born)\b|\d{{1,3}}\s*(?:y/?o|yrs?\.?)\b)", 1, 0.8, names.name_pair, needs=(",",), also=(*"0123456789", "dob", "d.o", "do.b", "mrn", "m.r", "mr.", "mr#", "chart", "med", "age", "male", "born")),
     Rule("name_labelled", "NAME", rf"(?i:\b(?:patient(?:\s+name)?|pt|name|client|resident|attending|provider|physician|surgeon|referring(?:\s+(?:physician|provider|md))?|pcp|emergency\s+contact|next\s+of\s+kin|nok|guardian|spouse|mother|father|daughter|son|wife|husband|partner|signed(?:\s+by)?|dictated\s+by|reviewed\s+by|seen\s+by|ordered\s+by|cc|author|re|assistant|an(?:a)?esthesiologist|an(?:a)?esthetist|proband|interpreter|social\s+worker|contact|caller|informant|witness))\s*:\s*(?:(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof)\.?\s+)?((?:{names.NTOK},\s*)?{names.FULL})", 1, 0.85, names.name_or_pair, needs=(":",)),
-    Rule("name_credential", "NAME", rf"\b({names.NTOK}(?:\s+[A-Z]\.)?\s+{names.NTOK}),?\s+(?:M\.?D\.?|D\.?O\.?|R\.?N\.?|N\.?P\.?|PA-C|Ph\.?D\.?|DDS|DPM|PharmD|LCSW|CRNA|FNP|APRN|MBBS|FRCPC)\b", 1, 0.9, needs=("m", "d", "n", "pa-c", "lcsw", "frcpc")),
+    Rule("name_credential", "NAME", rf"\b({names.NTOK}(?:\s+[A-Z]\.)?\s+{names.NTOK}),?\s+(?:M\.?D\.?|D\.?O\.?|R\.?N\.?|N\.?P\.?|PA-C|Ph\.?D\.?|DDS|DPM|PharmD|LCSW|CRNA|FNP|APRN|MBBS|FRCPC)\b", 1, 0.9, cased=tuple("MD M.D DO D.O RN R.N NP N.P PA-C PhD Ph.D DDS DPM PharmD LCSW CRNA FNP APRN MBBS FRCPC".split())),
     Rule("name_relative", "NAME", rf"(?i:\b(?:daughter|son|wife|husband|mother|father|brother|sister|spouse|partner|friend|neighbou?r|caregiver|niece|nephew|aunt|uncle|grand(?:mother|father|son|daughter)|roommate|boyfriend|girlfriend|fianc[ée]e?)),?\s+({names.NTOK}(?:\s+{names.NTOK})?)", 1, 0.8, needs=tuple("daughter son wife husband mother father brother sister spouse partner friend neighbo caregiver niece nephew aunt uncle roommate fianc".split())),
     Rule("city_province", "LOCATION", rf"\b([A-Z][a-z]+(?:[ -][A-Z][a-z]+){{0,2}}),\s+{PROVINCE}\.?,?\s+[A-Z]\d[A-Z][ -]?\d[A-Z]\d\b", 1, 0.9, digits=3, needs=(",",)),
 ]
