@@ -21,30 +21,31 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
-def in_policy(gold: DataFrame, docs: DataFrame, strict: bool = False) -> DataFrame:
-    """Gold spans that count as identifiers, with their category, byte length `size` and non-blank bytes `body`."""
+def in_policy(gold: DataFrame, strict: bool = False) -> DataFrame:
+    """Gold spans whose label counts as an identifier, with their category."""
     mapped = gold.withColumn("category", map_label(F.col("label")))
     mapped = mapped.where(F.col("category") != "KEEP") if strict else mapped.where(~F.col("category").isin("KEEP", "QUASI"))
-    mapped = mapped.withColumn("category", F.when(F.col("category") == "QUASI", "ORG").otherwise(F.col("category")))
-    part = between(F.col("text"), F.col("start"), F.col("end"))
-    measured = mapped.join(docs.select("doc_id", "text"), "doc_id").withColumn("part", part)
-    old = F.regexp_replace("part", "[^0-9]", "").try_cast("long") >= 90
-    measured = measured.where((F.col("category") != "AGE") | F.coalesce(old, F.lit(False)))
-    return measured.withColumn("size", F.octet_length("part")).withColumn("body", F.octet_length(F.regexp_replace("part", r"(?U)\s", ""))).drop("text", "part")
+    return mapped.withColumn("category", F.when(F.col("category") == "QUASI", "ORG").otherwise(F.col("category")))
+
 
+def measured(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
+    """gold with byte length `size`, non-blank bytes `body` and bytes inside predictions `covered`; ages below 90 left out.
 
-def byte_coverage(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
-    """gold with `covered`: bytes of each span inside predictions."""
-    p = predicted.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    pairs = gold.select("doc_id", "gold_id", "start", "end").join(p, (F.col("doc_id") == F.col("d")) & overlap(F.col("start"), F.col("end"), F.col("s"), F.col("e")))
-    shared = pairs.join(docs.select(F.col("doc_id").alias("t"), "text"), F.col("doc_id") == F.col("t"))
-    sums = shared.groupBy("doc_id", "gold_id").agg(F.sum(F.octet_length(between(F.col("text"), F.greatest("start", "s"), F.least("end", "e")))).alias("covered"))
-    return gold.join(sums, ["doc_id", "gold_id"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    A document's predictions travel as one array with its text, so each span meets both in one join on the document.
+    """
+    made = predicted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("made"))
+    texts = docs.select("doc_id", "text").join(made, "doc_id", "left")
+    g = gold.join(texts, "doc_id").withColumn("part", between(F.col("text"), F.col("start"), F.col("end")))
+    old = F.regexp_replace("part", "[^0-9]", "").try_cast("long") >= 90
+    hits = F.filter(F.coalesce("made", F.expr("cast(array() as array<struct<start: int, end: int>>)")), lambda p: overlap(F.col("start"), F.col("end"), p["start"], p["end"]))
+    covered = F.aggregate(hits, F.lit(0), lambda n, p: n + F.octet_length(between(F.col("text"), F.greatest(F.col("start"), p["start"]), F.least(F.col("end"), p["end"]))))
+    g = g.where((F.col("category") != "AGE") | F.coalesce(old, F.lit(False)))
+    return g.withColumn("size", F.octet_length("part")).withColumn("body", F.octet_length(F.regexp_replace("part", r"(?U)\s", ""))).withColumn("covered", covered).drop("text", "part", "made")
 
 
 def outcomes(gold: DataFrame, predicted: DataFrame, docs: DataFrame, strict: bool = False) -> DataFrame:
     """Each in-policy gold span with covered, caught, full, covered_chars and outcome (2 whole, 1 partly, 0 missed)."""
-    g = byte_coverage(in_policy(gold, docs, strict), predicted, docs)
+    g = measured(in_policy(gold, strict), predicted, docs)
     blank, cov = F.col("size") - F.col("body"), F.col("covered")
     covered = F.greatest(F.least(cov - F.least(blank, cov), F.col("body")), F.when(cov >= F.col("size"), F.col("body")).otherwise(0))
     g = g.withColumn("caught", cov > 0).withColumn("full", (cov + blank >= F.col("size")) & (cov > 0)).withColumn("covered_chars", covered)
