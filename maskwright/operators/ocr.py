@@ -71,3 +71,12 @@ def reading_order(lines: DataFrame, tolerance: float = 8.0) -> DataFrame:
 
     by = Window.partitionBy("doc_id", "page").orderBy(F.floor(F.col("y") / tolerance), "x")
     return lines.withColumn("n", F.row_number().over(by))
+
+
+def redact_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boxes, spans) of the identifiers that detection finds in the pages' texts."""
+    from .detect import FIELDS, detect
+
+    found = detect(page_texts(pages)).select("doc_id", "page", F.posexplode("spans").alias("seq", "s"))
+    spans = found.select("doc_id", "page", "seq", *[F.col(f"s.{n}").alias(n) for n, _ in FIELDS])
+    return boxes(words(pages), spans), spans

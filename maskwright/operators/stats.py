@@ -181,3 +181,13 @@ def largest_remainder(shares: DataFrame, total: int, key: str = "name", share: s
     left = F.lit(total) - F.sum("__f").over(Window.partitionBy())
     turn = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__x") - F.col("__f"), 9)), key))
     return exact.withColumn("__left", left).withColumn("__n", turn).select(key, (F.col("__f") + (F.col("__n") <= F.col("__left")).cast("int")).cast("bigint").alias("n"))
+
+
+def merged_responses(a: DataFrame, b: DataFrame) -> DataFrame:
+    """item with the systems of both wide response tables; items must be the same, and shared systems must agree."""
+    shared = [c for c in a.columns if c in b.columns and c != "item"]
+    x = a.alias("a").join(b.alias("b"), F.col("a.item") == F.col("b.item"), "full")
+    sound = F.assert_true(F.col("a.item").isNotNull() & F.col("b.item").isNotNull(), F.lit("item sets differ"))
+    for c in shared:
+        sound = F.coalesce(sound, F.assert_true(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(f"{c} differs")))
+    return x.where(sound.isNull()).select("a.*", *[F.col(f"b.{c}") for c in b.columns if c not in a.columns])

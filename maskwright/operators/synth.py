@@ -234,3 +234,28 @@ def refuse_paths(paths: list[str], banned: tuple[str, ...] = ("sealed", "dev", "
     for p in paths:
         if any(b in p.rsplit("/", 1)[-1] for b in banned):
             raise ValueError(f"{p} must not be used for training")
+
+
+def unfinished(specs: DataFrame, raws: DataFrame) -> DataFrame:
+    """Specs without a generated text; errors count as none."""
+    return specs.join(raws.where("finish_reason = 'stop'"), "doc_id", "left_anti")
+
+
+def verified(specs: DataFrame, raws: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+    """(doc_id, text, spans, split, problems) of specs(doc_id, planted) and raws(doc_id, seq, text, finish_reason).
+
+    The last text of a spec counts; a missing one, an unfinished one, substitution problems and screens are the reasons for
+    which a document is rejected; it is accepted where problems is empty.
+    """
+    last = raws.groupBy("doc_id").agg(F.max_by(F.struct("text", "finish_reason"), "seq").alias("raw"))
+    joined = specs.select("doc_id", "planted").join(last, "doc_id", "left")
+    made = substitute(joined.select("doc_id", F.coalesce("raw.text", F.lit("")).alias("text"), "planted"))
+    seen = screened(made, names).select("doc_id", F.transform("reasons", lambda r: r["reason"]).alias("screens"))
+    why = F.when(F.col("raw").isNull(), F.array(F.lit("no-raw-output"))).when(F.col("raw.finish_reason") != "stop", F.array(F.lit("finish"))).otherwise(F.array().cast("array<string>"))
+    out = made.join(seen, "doc_id").join(joined.select("doc_id", why.alias("why")), "doc_id")
+    return out.select("doc_id", "text", "spans", parity_split(F.col("doc_id")).alias("split"), F.array_distinct(F.concat("why", "problems", "screens")).alias("problems"))
+
+
+def reject_counts(checked: DataFrame) -> DataFrame:
+    """Reasons by how many documents they reject, most frequent first."""
+    return checked.select(F.explode("problems").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
