@@ -109,3 +109,12 @@ def fold_merge(spans: list[tuple]) -> list[tuple]:
 
 def fold_subtract(a: list[tuple], b: list[tuple]) -> list[tuple]:
     return [x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
+
+
+def reviewed(spans: DataFrame, manual: DataFrame, off: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Spans after a review: those switched off (key, start, end) are left out, marked ones (key, start, end, category) come
+    in with the highest standing and take in whatever they overlap."""
+    kept = spans.join(off.select(key, "start", "end"), [key, "start", "end"], "left_anti").select(key, "start", "end", "category", "source", "confidence")
+    marked = manual.select(key, "start", "end", "category", F.lit("manual").alias("source"), F.lit(1.0).alias("confidence"))
+    both = kept.unionByName(marked).withColumn("seq", F.xxhash64("category", "source"))
+    return merge(both, key, score=rank(F.col("source"), F.col("confidence")), carry=["category", "source", "confidence"])

@@ -259,3 +259,47 @@ def verified(specs: DataFrame, raws: DataFrame, names: frozenset[str] = frozense
 def reject_counts(checked: DataFrame) -> DataFrame:
     """Reasons by how many documents they reject, most frequent first."""
     return checked.select(F.explode("problems").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+#: Sentences that carry a value, plain ones, and ones that only look like identifiers.
+CARRIERS = ["Record number {} was opened.", "Please quote {} when calling.", "{} is on file.", "We reached them at {}.", "Form lists {} as given."]
+PLAIN = ["The visit was short.", "No complaints today.", "Family was present.", "Plan reviewed and agreed."]
+HARD = ["BP 120/80, HR 72.", "Strength 4/5 in both arms.", "Took 500 mg twice.", "Score was 12 of 30.", "See section 12(b)."]
+
+
+def carrier_notes(spark: SparkSession, n: int, seed: int, formats: list[tuple[str, str]], partitions: int | None = None) -> DataFrame:
+    """(doc_id, text, spans) of n notes of 3 to 8 sentences: 55 % with a value of formats (label, format), 23 % plain, 22 % hard."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i in b.column(0).to_pylist():
+                r = random.Random(hashlib.sha256(f"carrier:{seed}:{i}".encode()).digest())
+                text, spans = "", []
+                for j in range(r.randrange(3, 9)):
+                    u, lead = r.random(), " " if text else ""
+                    if u < 0.55:
+                        label, pattern = r.choice(formats)
+                        value, (before, after) = sample_format(pattern, f"{seed}:{i}:{j}"), r.choice(CARRIERS).split("{}")
+                        start = len(text) + len(lead) + len(before)
+                        spans.append({"start": start, "end": start + len(value), "label": label})
+                        text += f"{lead}{before}{value}{after}"
+                    else:
+                        text += lead + r.choice(PLAIN if u < 0.78 else HARD)
+                rows.append({"doc_id": i, "text": text, "spans": spans})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])))]))
+
+    return spark.range(0, n, 1, partitions).mapInArrow(run, "doc_id bigint, text string, spans array<struct<start: int, end: int, label: string>>")
+
+
+def revalued(planted: list[dict], formats: dict[str, list[tuple[str, str]]], seed: int, key: str) -> list[dict]:
+    """Planted items with values of test formats (name, format) where their label has any: tags say which format."""
+    out = []
+    for i, p in enumerate(planted):
+        if choices := formats.get(p["label"]):
+            r = random.Random(hashlib.sha256(f"novel:{seed}:{key}:{i}".encode()).digest())
+            name, pattern = r.choice(choices)
+            tags = [t for t in p.get("tags", []) if t != "spoken" and not t.startswith("fmt:")]
+            p = {**p, "value": sample_format(pattern, f"novel:{seed}:{key}:{i}"), "tags": [*tags, "novel_format", f"fmt:{name}"]}
+        out.append(p)
+    return out

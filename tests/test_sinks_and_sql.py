@@ -56,3 +56,21 @@ def test_merged_responses(spark):
         stats.merged_responses(a, b.selectExpr("item", "y + 1 AS y")).collect()
     with pytest.raises(Exception, match="item sets differ"):
         stats.merged_responses(a, b.limit(1)).collect()
+
+
+def test_review(spark):
+    from maskwright.operators import intervals
+
+    spans = spark.createDataFrame([(1, 0, 4, "NAME", "rule", 0.9), (1, 10, 14, "ID", "rule", 0.9), (1, 20, 25, "DATE", "model", 0.6)], "doc_id int, start int, end int, category string, source string, confidence double")
+    manual = spark.createDataFrame([(1, 3, 8, "ORG")], "doc_id int, start int, end int, category string")
+    off = spark.createDataFrame([(1, 10, 14)], "doc_id int, start int, end int")
+    assert sorted((r.start, r.end, r.category) for r in intervals.reviewed(spans, manual, off).collect()) == [(0, 8, "ORG"), (20, 25, "DATE")]
+
+
+def test_generators(spark):
+    notes = synth.carrier_notes(spark, 40, 1, [("mrn", "{d8}"), ("name", "{fn} {ln}")], 2).collect()
+    assert len(notes) == 40 and all(0 <= s.start < s.end <= len(n.text) and n.text[s.start : s.end].strip() for n in notes for s in n.spans)
+    again = {r.doc_id: r.text for r in synth.carrier_notes(spark, 40, 1, [("mrn", "{d8}"), ("name", "{fn} {ln}")], 5).collect()}
+    assert again == {r.doc_id: r.text for r in notes}
+    new = synth.revalued([{"label": "mrn", "value": "1", "tags": ["spoken", "cue"]}, {"label": "x", "value": "2"}], {"mrn": [("f", "{L3}{d3}")]}, 1, "d")
+    assert new[0]["tags"] == ["cue", "novel_format", "fmt:f"] and new[1]["value"] == "2" and new[0]["value"] != "1"
