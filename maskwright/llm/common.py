@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -35,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle and checkpoint files of frames that nothing holds any more.
+
+    It works from garbage collections of the driver, which a long loop of small jobs may not bring about by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: pa.Schema, ddl: str, setup: Callable[[], Callable[..., Iterable[tuple]]], batch: int = 512) -> DataFrame:
     """Arrow map of some columns of df: setup() runs once per task and returns f(*column values) -> rows of the output.
 

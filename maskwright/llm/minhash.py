@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, map_rows, table
+from .common import cut, fresh_path, map_rows, release, table
 from .graph import components
 
 BANDS, ROWS = 32, 6
@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = 0.8) -> DataFra
     path = fresh_path(spark, "texts")
     docs.select("doc_id", "text").join(members.select(F.col("m.id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(path)
     texts = spark.read.parquet(path)
+    release(spark)
     links = settle(members, lambda pairs: confirmed(pairs, texts, k, similarity), similarity)
     named = classes.select("set_key", "id").join(components(links), "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     whole = rows.select("doc_id", "n", "set_key").join(named, "set_key", "left")
@@ -198,7 +199,9 @@ def settle(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], simila
             return links
         turn, progress = turn + 1, not new.isEmpty()
         named = components(links)
+        links = named.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))  # as good as all links so far
         now = cut(now.drop("major").withColumn("id", F.col("m.id")).join(named, "id", "left").select("bucket", "m", F.coalesce("component", "c").alias("c")))
+        release(members.sparkSession)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,9 @@ def test_similarity_estimate():
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5), *((100, i) for i in range(101, 140))]
-    got = {r.id: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    rows = spark.createDataFrame(links, "a long, b long")
+    got = {r.id: r.component for r in graph.components(rows).collect()}
+    assert got == {r.id: r.component for r in graph.components(rows, small=0).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3, 7, 8, 9)}, 20: 20, 21: 20, **{i: 100 for i in range(100, 140)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
