@@ -29,7 +29,7 @@ from .common import map_rows, table
 #: Longer words are merged with a heap.
 SCAN_UP_TO = 64
 #: Pieces remembered per task, and the length above which a piece isn't.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 48
 
 #: The characters that the normaliser's \s stands for.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"

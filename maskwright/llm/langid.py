@@ -47,7 +47,7 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 @lru_cache(maxsize=1)
 def alphabet() -> np.ndarray:
     """Each code point, or the edge mark's where it is no letter."""
-    return np.array([p if chr(p).isalpha() else 32 for p in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((p if chr(p).isalpha() else 32 for p in range(0x110000)), dtype=np.uint32, count=0x110000)
 
 
 def letters_of(text: str) -> np.ndarray:

@@ -38,7 +38,7 @@ SLACK = 5.0
 #: Hubs of a bucket in a round, and comparisons left for each member row below which rounds end.
 HUBS, UNSETTLED = 3, 32
 #: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 
 _rng = np.random.default_rng(20_240_501)
 FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
