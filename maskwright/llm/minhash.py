@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, fresh_path, map_rows, release, table
 from .graph import components
@@ -35,7 +36,7 @@ BANDS, ROWS = 32, 6
 SIGNED, LOW_BITS = 128, 2
 #: Standard errors by which an estimate may fall short of the least similarity.
 SLACK = 5.0
-#: Hubs of a bucket in a round, and comparisons left for each member row below which rounds end.
+#: Hubs of a bucket in the first round (four times as many in each later one), and comparisons left for each member row below which rounds end.
 HUBS, UNSETTLED = 3, 32
 #: Words whose hashes a task remembers.
 REMEMBERED = 100_000
@@ -190,8 +191,8 @@ def settle(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], simila
             y = now.select("bucket", F.col("m").alias("y"), F.col("c").alias("d"), (F.col("c") == F.col("major")).alias("main"))
             found = x.join(y, "bucket").where((F.col("c") != F.col("d")) & (F.col("main") | (F.col("x.id") > F.col("y.id"))) & alike("x", "y", similarity))
         else:
-            picks = [F.min_by(F.struct("m", "c"), F.xxhash64(F.col("m.id"), F.lit(turn * HUBS + i))) for i in range(HUBS)]
-            hubs = now.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select("bucket", F.explode("hubs").alias("h")).select("bucket", F.col("h.m").alias("y"), F.col("h.c").alias("d"))
+            first = Window.partitionBy("bucket").orderBy(F.xxhash64(F.col("m.id"), F.lit(turn)), "m.id")
+            hubs = now.withColumn("r", F.row_number().over(first)).where(F.col("r") <= HUBS * 4**turn).select("bucket", F.col("m").alias("y"), F.col("c").alias("d"))
             found = now.select("bucket", "c", F.col("m").alias("x")).join(hubs, "bucket").where((F.col("c") != F.col("d")) & alike("x", "y", similarity))
         new = cut(confirm(found.select(*pair).distinct()))
         links = links.union(new)
