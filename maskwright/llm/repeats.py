@@ -4,10 +4,10 @@ Of the suffixes of all texts (by words), only those at minimisers are kept: the
 in some window of the passage length. Equal passages select equal positions, so every passage of LEAST words holds a kept
 suffix. Kept suffixes are sorted by their words over a range partitioning, with ties by document and position, so a
 passage that a third of all documents share is dealt over many tasks. Neighbours (NEIGHBOURS on each side) are compared and their match extended to
-the right and to the left; where both together reach LEAST words, the passage is a repeat. Neighbours across the ends of
-partitions are compared too, from each partition's first and last suffixes. Since a suffix's neighbours have the longest match
-to the right, but not always to the left, suffixes in runs that hold an unmatched one are sorted again by their words to
-the left and compared in that order.
+the right and to the left; where both together reach LEAST words, the passage is a repeat. The farthest neighbour bounds
+the match to the right with every suffix not compared. Windows of LEAST words that this bound leaves open (all windows of a
+suffix near the ends of a partition) are hashed and counted over all partitions, and those that come more than once are
+repeats too. The bound is the same for both suffixes of a pair, so equal windows are either compared or both counted.
 
 A suffix carries the hashes of the words around it: 64 bits for its first GRAM words, 16 for each further one, so a repeat
 may be found one word too long with a probability of 2^-16 at each end.
@@ -20,10 +20,10 @@ ends exclusive. Extra columns are not looked at. Repeated doc_ids are told apart
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,25 +37,29 @@ LEAST, GRAM = 50, 8
 WINDOW = LEAST - GRAM + 1
 LEFT = WINDOW - 1
 
-SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32())])
-SUFFIX_DDL = "key bigint, right binary, left binary, doc_id bigint, at int"
-FOUND = pa.schema([*SUFFIX, ("kind", pa.int8()), ("part", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-FOUND_DDL = SUFFIX_DDL + ", kind tinyint, part int, start int, end int"
-#: Suffixes after it, in either order, that each is compared with.
+#: low and high: the least and most words to the left of a window that has its minimiser here.
+SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("low", pa.int8()), ("high", pa.int8())])
+SUFFIX_DDL = "key bigint, right binary, left binary, doc_id bigint, at int, low tinyint, high tinyint"
+FOUND = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("open", pa.int64())])
+FOUND_DDL = "kind tinyint, doc_id bigint, start int, end int, key bigint, hash bigint, n bigint, open bigint"
+#: Suffixes before and after it that each is compared with.
 NEIGHBOURS = 8
-#: Kinds of rows found: a repeat, a suffix to be sorted by its left words, a partition's first and last suffixes.
-REPEAT, AGAIN, FIRST, LAST = 0, 1, 2, 3
+#: Kinds of rows found: a repeat, a window that is one if it comes again, counts of a window (n in all, open of them not found yet).
+REPEAT, OPEN, COUNT = 0, 1, 2
+#: Of the rolling hash of a window.
+BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Positions of the first least value of each window of WINDOW grams."""
+def minimisers(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the first least value of each window of WINDOW grams, with the least and most grams before it in such a window."""
     if len(grams) < WINDOW:
-        return np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
     out = []
     for a in range(0, len(windows), 4_096):
-        out.append(np.unique(windows[a : a + 4_096].argmin(axis=1) + np.arange(a, min(a + 4_096, len(windows)))))
-    return np.unique(np.concatenate(out))
+        out.append(windows[a : a + 4_096].argmin(axis=1) + np.arange(a, min(a + 4_096, len(windows))))
+    at, first, n = np.unique(np.concatenate(out), return_index=True, return_counts=True)
+    return at, at - first - n + 1, at - first
 
 
 def suffixes(doc_id: int, text: str | None) -> list[tuple]:
@@ -74,10 +78,10 @@ def suffixes(doc_id: int, text: str | None) -> list[tuple]:
     short[LEFT : LEFT + n] = (h >> np.uint64(48)) | np.uint64(1)
     raw, back = short.tobytes(), short[::-1].tobytes()
     keys, out = code.view(np.int64), []
-    for p in minimisers(code).tolist():
+    for p, low, high in zip(*(x.tolist() for x in minimisers(code)), strict=True):
         right = raw[2 * (LEFT + p) : 2 * (LEFT + p + LEAST)]
         b = len(short) - (LEFT + p)
-        out.append((int(keys[p]), right, back[2 * b : 2 * (b + LEFT)], doc_id, p))
+        out.append((int(keys[p]), right, back[2 * b : 2 * (b + LEFT)], doc_id, p, low, high))
     return out
 
 
@@ -91,81 +95,82 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=">u2").reshape(-1, width)
 
 
-def compare(last: bool):
-    """Arrow function over sorted suffixes: repeats, suffixes of runs that need the other order (unless last), edges."""
+def window_hashes(right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each suffix, the hashes of the LEAST words that begin 0 to LEFT words to the left of it."""
+    codes = np.concatenate([left[:, ::-1], right], axis=1).astype(np.uint64) * MIX
+    codes ^= codes >> np.uint64(29)
+    sums = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
+    for k in range(codes.shape[1]):
+        sums[:, k + 1] = sums[:, k] * BASE + codes[:, k]
+    power = np.uint64(pow(int(BASE), LEAST, 1 << 64))
+    out = sums[:, LEAST:] - sums[:, :-LEAST] * power  # by the window's first word, from the left
+    return (out ^ (out >> np.uint64(32)))[:, ::-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, tail, first = TaskContext.get().partitionId(), None, None
-        was_matched = was_sent = np.zeros(0, dtype=bool)
 
-        def rows(b: pa.RecordBatch, pick: np.ndarray, kind: int, start=None, end=None) -> pa.RecordBatch:
-            taken = b.take(pa.array(np.flatnonzero(pick)))
-            n = taken.num_rows
-            spans = [pa.array(np.arange(n) if x is None else x[pick], pa.int32()) for x in (start, end)]
-            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(n, kind), pa.int8()), pa.array(np.full(n, part), pa.int32()), *spans], schema=FOUND)
+def found_rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns["kind"] = np.full(n, kind)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in FOUND], schema=FOUND)
 
-        for b in batches:
-            b = pa.RecordBatch.from_arrays(b.columns, schema=SUFFIX)
-            if not b.num_rows:
-                continue
-            if first is None:
-                first = b.slice(0, NEIGHBOURS)
-            # The last suffixes of the batch before stand in front, with what is known of them.
-            whole = b if tail is None else pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
-            key, at, n = whole.column(0).to_numpy(), whole.column(4).to_numpy().astype(np.int64), whole.num_rows
-            right, left = matrix(whole.column(1), LEAST), matrix(whole.column(2), LEFT)
-            start, end = at.copy(), at.copy()
-            for d in range(1, min(NEIGHBOURS, n - 1) + 1):
-                i = np.flatnonzero(key[:-d] == key[d:])
-                r, x = common(right[i], right[i + d]), common(left[i], left[i + d])
-                good = r + x >= LEAST
-                i, r, x = i[good], r[good], x[good]
-                for j in (i, i + d):  # no position comes twice in either
-                    start[j], end[j] = np.minimum(start[j], at[j] - x), np.maximum(end[j], at[j] + r)
-            matched = end > start
-            yield rows(whole, matched, REPEAT, start, end)
-            if not last:
-                # Runs of one key with an unmatched suffix, and those that a batch or partition cuts, go on.
-                c = len(was_matched)
-                matched[:c] |= was_matched
-                ids = np.concatenate(([0], np.cumsum(key[:-1] != key[1:])))
-                cutting = np.zeros(ids[-1] + 1, dtype=bool)
-                cutting[[0, -1]] = True
-                sent = ((np.bincount(ids) > 1) & (np.bincount(ids, weights=~matched) > 0) | cutting)[ids]
-                sent[:c] &= ~was_sent
-                yield rows(whole, sent, AGAIN)
-                sent[:c] |= was_sent
-                was_matched, was_sent = matched[-NEIGHBOURS:], sent[-NEIGHBOURS:]
-            tail = whole.slice(max(0, n - NEIGHBOURS))
-        if first is not None:
-            yield rows(first, np.full(first.num_rows, True), FIRST)
-            yield rows(tail, np.full(tail.num_rows, True), LAST)
-
-    return run
-
-
-def pairs_at_edges(edges: list[dict]) -> list[tuple[int, int, int]]:
-    """(doc_id, start, end) of repeats between a partition's last suffixes and the next one's first."""
-    out, by = [], {}
-    for e in sorted(edges, key=lambda e: e["start"]):
-        by.setdefault(e["part"], ([], []))[e["kind"] == LAST].append(e)
-    parts = [by[k] for k in sorted(by)]
-    for (_, before), (after, _) in zip(parts, parts[1:]):
-        for a in before:
-            for b in after:
-                if a["key"] == b["key"]:
-                    x, r = (int(common(*(matrix(pa.array([y[side]]), width) for y in (a, b)))[0]) for side, width in (("left", LEFT), ("right", LEAST)))
-                    if r + x >= LEAST:
-                        out += [(y["doc_id"], y["at"] - x, y["at"] + r) for y in (a, b)]
-    return out
 
-
-def sorted_pass(rows: DataFrame, order: list[str], last: bool) -> tuple[DataFrame, DataFrame]:
-    """(repeats, suffixes for the other order) of suffix rows sorted by order."""
-    found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*SUFFIX.names).mapInArrow(compare(last), FOUND_DDL))
-    edges = [r.asDict() for r in found.where(F.col("kind") >= FIRST).collect()]  # a few of each partition
-    more = rows.sparkSession.createDataFrame(pairs_at_edges(edges), "doc_id long, start int, end int")
-    return found.where(F.col("kind") == REPEAT).select("doc_id", "start", "end").union(more), found.where(F.col("kind") == AGAIN).select(*SUFFIX.names)
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function over sorted suffixes: repeats among neighbours, windows that may come again farther away, and counts of those windows."""
+    held, done, begins = None, 0, True  # suffixes carried over, how many of them are finished, whether they are the partition's first
+    for b in chain(batches, [None]):
+        if b is not None:
+            b = pa.RecordBatch.from_arrays(b.columns, schema=SUFFIX)
+            whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0] if b.num_rows else held
+        elif held is None:
+            return
+        else:
+            whole = held
+        n = whole.num_rows
+        ready = n if b is None else n - NEIGHBOURS
+        if ready <= done:
+            held = whole if n else None
+            continue
+        key, doc_id, at = (whole.column(k).to_numpy() for k in (0, 3, 4))
+        at = at.astype(np.int64)
+        right, left = matrix(whole.column(1), LEAST), matrix(whole.column(2), LEFT)
+        # The most words to the left and right shared with a neighbour, and to the right with a suffix not compared.
+        l_most, r_most, beyond = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        for d in range(1, min(NEIGHBOURS, n - 1) + 1):
+            i = np.flatnonzero(key[:-d] == key[d:])
+            r, x = common(right[i], right[i + d]), common(left[i], left[i + d])
+            if d == NEIGHBOURS:
+                for j in (i, i + d):
+                    beyond[j] = np.maximum(beyond[j], r)
+            good = r + x >= LEAST
+            i, r, x = i[good], r[good], x[good]
+            for j in (i, i + d):  # no position comes twice in either
+                l_most[j], r_most[j] = np.maximum(l_most[j], x), np.maximum(r_most[j], r)
+        # Runs may go on in the next partition, or have begun in the one before.
+        if b is None:
+            beyond[-NEIGHBOURS:][key[-NEIGHBOURS:] == key[-1]] = LEAST
+        if begins:
+            beyond[:NEIGHBOURS][key[:NEIGHBOURS] == key[0]] = LEAST
+        own = np.arange(n)
+        own = (own >= done) & (own < ready)
+        k = np.flatnonzero(own & (r_most > 0))
+        yield found_rows(REPEAT, doc_id=doc_id[k], start=at[k] - l_most[k], end=at[k] + r_most[k])
+        low, high = (whole.column(c).to_numpy().astype(np.int64) for c in (5, 6))
+        low = np.maximum(low, LEAST - beyond)
+        todo = np.flatnonzero(own & (low <= high))
+        for c in range(0, len(todo), 4_096):
+            k = todo[c : c + 4_096]
+            offset = np.arange(LEFT + 1)
+            i, o = np.nonzero((offset >= low[k, None]) & (offset <= high[k, None]))
+            codes = window_hashes(right[k], left[k])[i, o].view(np.int64)
+            i = k[i]
+            open_ = (o > l_most[i]) | (LEAST - o > r_most[i])
+            start = at[i] - o
+            yield found_rows(OPEN, doc_id=doc_id[i][open_], start=start[open_], end=start[open_] + LEAST, key=key[i][open_], hash=codes[open_])
+            by = np.lexsort((codes, key[i]))
+            keys, codes, open_ = key[i][by], codes[by], open_[by].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1]))))
+            yield found_rows(COUNT, key=keys[first], hash=codes[first], n=np.diff(np.append(first, len(keys))), open=np.add.reduceat(open_, first))
+        cut_at = max(0, ready - NEIGHBOURS)
+        held, done, begins = whole.slice(cut_at), ready - cut_at, begins and not cut_at
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -179,9 +184,11 @@ def merged(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word) of every passage of LEAST or more words that comes more than once."""
     rows = map_rows(docs, ["doc_id", "text"], SUFFIX, SUFFIX_DDL, lambda: suffixes)
-    one, rest = sorted_pass(rows, ["key", "right", "left", "doc_id", "at"], False)
-    two, _ = sorted_pass(rest, ["key", "left", "right", "doc_id", "at"], True)
-    return merged(one.union(two).distinct())
+    order = ["key", "right", "left", "doc_id", "at"]
+    found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*SUFFIX.names).mapInArrow(compare, FOUND_DDL))
+    again = found.where(F.col("kind") == COUNT).groupBy("key", "hash").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).where("n > 1 AND open > 0").select("key", "hash")
+    farther = found.where(F.col("kind") == OPEN).select("doc_id", "start", "end", "key", "hash").join(again, ["key", "hash"])
+    return merged(found.where(F.col("kind") == REPEAT).select("doc_id", "start", "end").union(farther.select("doc_id", "start", "end")))
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,44 @@ def test_repeated_passages(spark):
     assert repeats.repeated_passages(rows.limit(0)).count() == 0
 
 
+def some_words(r, n):
+    return [f"v{r.randrange(10**6)}" for _ in range(n)]
+
+
+def with_one_minimiser(r, sizes, least, most):
+    """Lists of words of these sizes that together have one minimiser, from `least` to `most`."""
+    while True:
+        parts = [some_words(r, n) for n in sizes]
+        kept = repeats.suffixes(0, " ".join(w for p in parts for w in p))
+        if len(kept) == 1 and least <= kept[0][4] <= most:
+            return parts
+
+
+def in_context(r, words):
+    """words with 60 words of their own on both sides, so that no other minimiser within them shows what they share."""
+    only = repeats.suffixes(0, " ".join(words))[0][4]
+    while True:
+        text = " ".join(some_words(r, 60) + words + some_words(r, 60))
+        if [k[4] - 60 for k in repeats.suffixes(0, text) if 60 <= k[4] < 60 + len(words) - repeats.GRAM + 1] == [only]:
+            return text
+
+
+def check_repeats(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((x.doc_id, x.start_word, x.end_word) for x in repeats.repeated_passages(rows).collect())
+    assert got == repeat_brute(texts)
+    return got
+
+
+def test_repeats_among_recombined_lines(spark):
+    r = random.Random(5)
+    x, line, y = with_one_minimiser(r, (20, 20, 20), 20, 32)
+    texts = [" ".join(some_words(r, 60) + p + some_words(r, 60)) for _ in range(150) for p in (x + line, line + y)]
+    texts += [in_context(r, x + line + y) for _ in range(3)]
+    r.shuffle(texts)
+    assert len(check_repeats(spark, texts)) == 3
+
+
 @given(st.lists(st.tuples(st.text("us#:\\</turn>\n", max_size=8), st.text("a#\\</turn> \n:", max_size=30)), min_size=1, max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_template_is_reversible(turns):
