@@ -159,6 +159,15 @@ def test_repeats_among_recombined_lines(spark):
     assert len(check_repeats(spark, texts)) == 3
 
 
+def test_lead_in_of_hot_passage(spark):
+    r = random.Random(6)
+    lead, passage = with_one_minimiser(r, (30, 55), 36, 42)
+    texts = [in_context(r, passage) if i % 5 == 0 else " ".join(some_words(r, 150)) for i in range(300)]
+    texts += [in_context(r, lead + passage) for _ in range(2)]
+    r.shuffle(texts)
+    assert sorted(end - start for _, start, end in check_repeats(spark, texts))[-2:] == [85, 85]
+
+
 @given(st.lists(st.tuples(st.text("us#:\\</turn>\n", max_size=8), st.text("a#\\</turn> \n:", max_size=30)), min_size=1, max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_template_is_reversible(turns):
