@@ -27,9 +27,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Wider contexts, and the value after them.
+#: Wider contexts, and the value after them; a scheme word may stand before it.
 CONTEXT_CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer", "login", "pin")
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|signing|secret)[_-]?key|credentials?|auth(?:orization)?|bearer|login|pin)[\"']?\x20{0,8}(?::=|=>|[:=])\x20{0,8}[\"']?([^\s\"'`<>]{6,})", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|signing|secret)[_-]?key|credentials?|auth(?:orization)?|bearer|login|pin)[\"']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+[\"']?(?:(?:bearer|basic|digest|negotiate|token)[\x20\t]++)?([^\s\"'`<>]{6,})", re.IGNORECASE | re.ASCII)
 
 #: Bits of guessing effort from which a value counts as a secret.
 SECRET_BITS = 40.0

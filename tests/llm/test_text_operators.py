@@ -140,6 +140,13 @@ def test_guess_costs_and_spans():
     assert bits("a1" * 50_000) > 0
 
 
+@pytest.mark.parametrize("before", ["client_key" + 10 * " " + "= ", "pwd\t:\t", "passphrase" + 40 * " " + ":=" + 40 * " ", "Authorization: Bearer ", "authorization = 'Basic\t ", '"Authorization": "bearer '])
+def test_contexts_of_any_width_and_scheme(before):
+    value = "x9Kq2mZr7aa8"
+    assert secrets.guess_spans(f"{before}{value} end") == [(len(before), 3, len(before) + len(value))]
+    assert secrets.redact(f"{before}{value} end") == f"{before}[SECRET] end"
+
+
 def test_secret_frames(spark):
     rows = docs(spark, [None, "", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "clean"])
     out = {r.doc_id: r for r in secrets.scan(rows).collect()}
