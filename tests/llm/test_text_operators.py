@@ -147,6 +147,18 @@ def test_contexts_of_any_width_and_scheme(before):
     assert secrets.redact(f"{before}{value} end") == f"{before}[SECRET] end"
 
 
+@pytest.mark.parametrize("clean", ["Pin: section-heading", "pin: kitchen/street", "login: anna.smith@example.com", "auth: https://www.example.com/login"])
+def test_clean_words_and_addresses_after_cues(clean):
+    assert not secrets.guess_spans(clean) and secrets.redact(clean) == clean
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    rows = docs(spark, [*["Grünkohlsuppe und Zwetschgenknödel"] * 6, "pin: Grünkohlsuppe/Zwetschgenknödel", "pin: x9Kq2mZr7aa8", *["pwd: Qvx-wzjkpq-hgtr-wq"] * 6])
+    red = [r.text for r in secrets.redact_secrets(rows).orderBy("doc_id").collect()]
+    assert red[6:] == ["pin: Grünkohlsuppe/Zwetschgenknödel", "pin: [SECRET]", *["pwd: [SECRET]"] * 6]
+    assert [r.n_guess for r in secrets.scan(rows).orderBy("doc_id").collect()][6:] == [0, 1, *[1] * 6]
+
+
 def test_secret_frames(spark):
     rows = docs(spark, [None, "", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', "clean"])
     out = {r.doc_id: r for r in secrets.scan(rows).collect()}
