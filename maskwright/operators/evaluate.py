@@ -126,10 +126,10 @@ def response_matrix(scored_by_system: DataFrame, systems: list[str]) -> DataFram
 def sweep(gold: DataFrame, hits: DataFrame, docs: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFrame:
     """Leaks and recall at each threshold; hits(doc_id, start, end, category, confidence) are made once for all of them.
 
-    thresholds(threshold) is a handful of rows; each keeps the hits at or above it, and all are scored in one pass with the
+    thresholds(threshold) are all swept, and sent to every task; each keeps the hits at or above it, and all are scored in one pass with the
     threshold as part of the document key.
     """
-    t = F.broadcast(thresholds.select("threshold").distinct().limit(1_000))
+    t = F.broadcast(thresholds.select("threshold").distinct())
     keyed = lambda df: df.crossJoin(t).withColumn("doc_id", F.concat_ws("@", F.col("doc_id").cast("string"), F.col("threshold").cast("string")))
     scored = outcomes(keyed(gold).drop("threshold"), keyed(hits).where(F.col("confidence") >= F.col("threshold")), keyed(docs).drop("threshold"), strict)
     scored = scored.withColumn("threshold", F.substring_index("doc_id", "@", -1).cast("double"))

@@ -51,16 +51,17 @@ def number(v: object, digits: int = 1) -> str:
     return "–" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
 
 
-def markdown(table: DataFrame, order: list[str], limit: int = 1_000) -> str:
-    """A small table as markdown, missing ratios as a dash."""
-    rows = table.orderBy(*order).limit(limit).collect()
+def markdown(table: DataFrame, order: list[str], limit: int | None = None) -> str:
+    """A small table (its first rows, where there is a limit) as markdown, missing ratios as a dash."""
+    rows = table.orderBy(*order)
+    rows = (rows if limit is None else rows.limit(limit)).collect()
     lines = ["| " + " | ".join(table.columns) + " |", "|" + "---|" * len(table.columns)]
     return "\n".join([*lines, *("| " + " | ".join(number(v) for v in r) + " |" for r in rows)])
 
 
 def sweep_json(sweep: DataFrame) -> str:
     """Sweep rows as JSON, missing ratios as null."""
-    rows = [r.asDict() for r in sweep.orderBy("threshold").limit(1_000).collect()]
+    rows = [r.asDict() for r in sweep.orderBy("threshold").collect()]
     return json.dumps([{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.items()} for r in rows], indent=1)
 
 

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from maskwright.functions import register
-from maskwright.operators import ocr, stats, synth
+from maskwright.operators import evaluate, ocr, stats, synth
 from maskwright.sources import sinks
 
 
@@ -74,3 +74,13 @@ def test_generators(spark):
     assert again == {r.doc_id: r.text for r in notes}
     new = synth.revalued([{"label": "mrn", "value": "1", "tags": ["spoken", "cue"]}, {"label": "x", "value": "2"}], {"mrn": [("f", "{L3}{d3}")]}, 1, "d")
     assert new[0]["tags"] == ["cue", "novel_format", "fmt:f"] and new[1]["value"] == "2" and new[0]["value"] != "1"
+
+
+def test_sweeps_hold_every_threshold(spark):
+    n = 1_200
+    gold = spark.createDataFrame([("d", 0, 0, 3, "name", [])], "doc_id string, gold_id int, start int, end int, label string, tags array<string>")
+    hits = spark.createDataFrame([("d", 0, 3, "NAME", 0.5)], "doc_id string, start int, end int, category string, confidence double")
+    docs = spark.createDataFrame([("d", "Ann 7")], "doc_id string, text string")
+    swept = evaluate.sweep(gold, hits, docs, spark.range(n).selectExpr("id / 1200 AS threshold")).select("threshold", "gold", "caught").cache()
+    assert [(r.threshold, r.gold, r.caught) for r in swept.orderBy("threshold").collect()] == [(i / n, 1, int(i / n <= 0.5)) for i in range(n)]
+    assert len(json.loads(sinks.sweep_json(swept))) == n and len(sinks.markdown(swept, ["threshold"]).splitlines()) == n + 2
