@@ -3,7 +3,7 @@
 Training keeps, for each language, the character n-grams of words (edges marked) that are typical of it: those that hold
 a least share of the language's n-grams and are not far rarer there than in the language where they are most frequent.
 Each language's n-grams fill a Bloom filter; the filters are bit-sliced, so one row holds a bit position of all
-languages, and the conjunction of a gram's rows is the bitmask of all languages that hold it. A text's score for a
+languages (in as many 64-bit words as they need), and the conjunction of a gram's rows is the bitmask of all languages that hold it. A text's score for a
 language is the share of its n-grams in that language's filter, corrected for the filter's false positives.
 
 Training reads a bounded sample: about SAMPLE_ROWS rows of each language, by hash of doc_id. Texts are used whole, in
@@ -36,8 +36,8 @@ SIZES = (2, 3, 4)
 LEAST_SHARE, LEAST_RATIO = 2e-5, 0.25
 #: Bits of each filter for a gram held, and hashes.
 BITS_PER_GRAM, HASHES = 16, 4
-#: Languages a bitmask holds.
-MOST_LANGUAGES = 63
+#: Languages a word of a bitmask holds.
+WORD_LANGUAGES = 63
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -82,10 +82,15 @@ def mixed(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def bit(i: int) -> np.int64:
+    """Of language i, in its word of the bitmask."""
+    return np.int64(1 << i % WORD_LANGUAGES)
+
+
 @dataclass
 class Filters:
     languages: list[str]
-    rows: np.ndarray  #: bitmask of languages at each bit position
+    rows: np.ndarray  #: bitmask of languages at each bit position, an array for each word of it
     false: np.ndarray  #: false positive rate of each language
 
     def positions(self, codes: np.ndarray, k: int) -> np.ndarray:
@@ -93,13 +98,14 @@ class Filters:
 
     @property
     def bits(self) -> int:
-        return len(self.rows).bit_length() - 1
+        return self.rows.shape[1].bit_length() - 1
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """Of each code, the bitmask of all languages whose filter holds it."""
-        out = self.rows[self.positions(codes, 0)]
+    def masks(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """Of each code, the bitmask of all languages whose filter holds it; a word of it."""
+        rows = self.rows[word]
+        out = rows[self.positions(codes, 0)]
         for k in range(1, HASHES):
-            out &= self.rows[self.positions(codes, k)]
+            out &= rows[self.positions(codes, k)]
         return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -108,8 +114,8 @@ class Filters:
         codes = grams(letters_of(text))
         if not len(codes):
             return UNKNOWN, 0.0
-        masks, n = self.masks(codes), len(codes)
-        hits = np.array([np.count_nonzero(masks & np.int64(1 << i)) for i in range(len(self.languages))])
+        masks, n = [self.masks(codes, w) for w in range(len(self.rows))], len(codes)
+        hits = np.array([np.count_nonzero(masks[i // WORD_LANGUAGES] & bit(i)) for i in range(len(self.languages))])
         share = np.clip((hits - n * self.false) / (n * (1 - self.false)), 0, 1)
         best = int(share.argmax())
         return (self.languages[best], float(share[best])) if share[best] > 0 else (UNKNOWN, 0.0)
@@ -118,8 +124,6 @@ class Filters:
 def build(counts: dict[str, dict[int, int]]) -> Filters:
     """Filters of each language's typical grams, from its counts by gram code."""
     languages = sorted(counts)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"a bitmask holds {MOST_LANGUAGES} languages, not {len(languages)}")
     total = {x: max(1, sum(counts[x].values())) for x in languages}
     most: Counter = Counter()
     for x in languages:
@@ -127,11 +131,12 @@ def build(counts: dict[str, dict[int, int]]) -> Filters:
             most[g] = max(most[g], n / total[x])
     held = {x: np.array([g for g, n in counts[x].items() if n / total[x] >= max(LEAST_SHARE, LEAST_RATIO * most[g])], dtype=np.uint64) for x in languages}
     size = 1 << max(10, int(BITS_PER_GRAM * max((len(h) for h in held.values()), default=1) - 1).bit_length())
-    f = Filters(languages, np.zeros(size, dtype=np.int64), np.zeros(len(languages)))
+    f = Filters(languages, np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), size), dtype=np.int64), np.zeros(len(languages)))
     for i, x in enumerate(languages):
+        word = f.rows[i // WORD_LANGUAGES]
         for k in range(HASHES):
-            np.bitwise_or.at(f.rows, f.positions(held[x], k), np.int64(1 << i))
-        f.false[i] = (np.count_nonzero(f.rows & np.int64(1 << i)) / size) ** HASHES
+            np.bitwise_or.at(word, f.positions(held[x], k), bit(i))
+        f.false[i] = (np.count_nonzero(word & bit(i)) / size) ** HASHES
     return f
 
 
@@ -165,7 +170,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     rows = sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), "lang", sample_rows)
     sums = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = sums.join(F.broadcast(totals.limit(MOST_LANGUAGES + 1)), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))  # at most 1 / LEAST_SHARE grams a language
+    kept = sums.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))  # at most 1 / LEAST_SHARE grams a language
     counts: dict[str, dict[int, int]] = {}
     for r in kept.select("lang", "gram", "n").toArrow().to_pylist():
         counts.setdefault(r["lang"], {})[r["gram"] & (2**64 - 1)] = r["n"]

@@ -118,6 +118,17 @@ def test_toxicity_learns_words(spark):
     assert empty.score("vile") < 0.01
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    r = random.Random(9)
+    names = [f"l{i:03}" for i in range(130)]
+    own = {x: ["".join(chr(0x4E00 + 40 * i + r.randrange(40)) for _ in range(4)) for _ in range(20)] for i, x in enumerate(names)}
+    rows = [(i, " ".join(r.choices(own[x], k=30)), x) for i, x in enumerate(names * 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.train(frame)
+    assert filters.languages == names and [filters.predict(t)[0] for _, t, _ in rows] == [x for *_, x in rows]
+    assert {r.doc_id: r.lang_pred for r in langid.predictions(frame, filters).collect()} == {i: x for i, _, x in rows}
+
+
 def plain_secrets(x):
     found = []
     for i, (p, n, g) in enumerate([(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2), (r"AKIA[A-Z0-9]+", 20, 0), (r"[0-9a-f]+", 24, 0)]):
