@@ -47,6 +47,8 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen, count = None, edges.count()
+    if count <= small:
+        return cut(edges.coalesce(1).mapInArrow(joined_sets, "id bigint, component bigint"))
     while True:
         edges = packed(edges, count)
         both = edges.union(edges.select("v", "u"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from maskwright.llm import chat, graph, minhash, repeats, topk, warc
 from maskwright.llm.common import fresh_path
@@ -83,6 +84,19 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_graphs_are_joined_in_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(200)]
+    rows = spark.createDataFrame(links, "a long, b long")
+    by_stars = sorted(graph.components(rows, small=0).collect())
+    packs, pack = [], graph.packed
+    monkeypatch.setattr(graph, "packed", lambda *a: packs.append(a) or pack(*a))
+    assert sorted(graph.components(rows).collect()) == by_stars and not packs
+    n = rows.where("a <> b").select(F.greatest("a", "b"), F.least("a", "b")).distinct().count()
+    assert sorted(graph.components(rows, small=n).collect()) == by_stars and not packs
+    assert sorted(graph.components(rows, small=n - 1).collect()) == by_stars and packs
+
+
 def repeat_brute(texts):
     n, counts, words = repeats.LEAST, Counter(), {}
     for i, t in enumerate(texts):
