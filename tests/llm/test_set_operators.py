@@ -67,6 +67,39 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(rows.limit(0), k).count() == 0
 
 
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "OPEN_BLOCK", (60, 1 << 20))
+    monkeypatch.setattr(minhash, "BLOCK", (200, 1 << 22))
+    monkeypatch.setattr(minhash, "SINGLY", 3)
+    monkeypatch.setattr(minhash, "UNSETTLED", 10**9)  # one round of hubs, then blocks
+    r = random.Random(5)
+    seed = [f"s{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):  # from near copies to texts that link with nothing
+        own = seed.copy()
+        for _ in range(r.randrange(0, 16)):
+            own[r.randrange(60)] = f"x{r.randrange(400)}"
+        texts.append(" ".join(own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    brute = near_brute(texts, 2)
+    assert 20 < len({c for _, c in brute.values()}) < 130
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(rows, 2).collect()} == brute
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = spark.createDataFrame([(5, a), (5, b), (5, a), (3, b + " more"), (None, a), (None, "alone here"), (9, a + " end"), (8, None)], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in minhash.near_duplicates(rows, 2).collect()), key=str)
+    assert got == sorted([(5, 39, 5), (5, 39, 3), (5, 39, 5), (3, 40, 3), (None, 39, 5), (None, 1, None), (9, 40, 5), (8, 0, 8)], key=str)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=9), st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=9))
+def test_common_shingles_by_matrix(x, y):
+    side = lambda sets: [np.array(sorted(s), dtype=np.uint64) for s in sets]
+    assert minhash.in_common(side(x), side(y)).tolist() == [[len(a & b) for b in y] for a in x]
+
+
 def test_similarity_estimate():
     a, b = " ".join(f"a{i}" for i in range(300)), " ".join([*(f"a{i}" for i in range(280)), *(f"b{i}" for i in range(20))])
     x, y = (minhash.packed(minhash.minima(minhash.shingles(t, 2))) for t in (a, b))
