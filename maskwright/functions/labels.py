@@ -65,14 +65,14 @@ def map_label(label: Column) -> Column:
     return out.otherwise("KEEP")
 
 
-def label_sql(label: str) -> str:
-    """The same CASE as SQL text."""
-    bare = f"CASE WHEN length({label}) > 2 AND regexp_matches({label}, '^[BIESLU][-_]') THEN substr({label}, 3) ELSE {label} END"
+def label_sql(label: str, matches: str = "regexp_matches") -> str:
+    """The same CASE as SQL text; matches is the engine's function for a regular expression."""
+    bare = f"CASE WHEN length({label}) > 2 AND {matches}({label}, '^[BIESLU][-_]') THEN substr({label}, 3) ELSE {label} END"
     x = f"translate(lower({bare}), '- ', '__')"
     quoted = lambda words: ", ".join(f"'{w}'" for w in words)
     lines = [f"WHEN {label} IS NULL OR {x} IN ('o', '') THEN 'KEEP'", f"WHEN {x} = 'org' THEN 'QUASI'", f"WHEN upper({x}) IN ({quoted(CATEGORIES)}) THEN upper({x})"]
     for result, inside, whole, ending in RULES:
-        tests = [f"contains({x}, '{k}')" for k in inside.split()] + ([f"{x} IN ({quoted(whole.split())})"] if whole else []) + ([f"{x} LIKE '%{ending.replace('_', chr(92) + '_')}' ESCAPE '{chr(92)}'"] if ending else [])
+        tests = [f"contains({x}, '{k}')" for k in inside.split()] + ([f"{x} IN ({quoted(whole.split())})"] if whole else []) + ([f"right({x}, {len(ending)}) = '{ending}'"] if ending else [])
         value = "CASE WHEN " + " OR ".join(f"contains({x}, '{k}')" for k in COMPANY) + " THEN 'QUASI' ELSE 'NAME' END" if result == "NAME_OR_ORG" else f"'{result}'"
         lines.append(f"WHEN {' OR '.join(tests)} THEN {value}")
     return "CASE " + " ".join(lines) + " ELSE 'KEEP' END"

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import validators
-from .labels import map_label
+from .labels import label_sql, map_label
 
 CHECKS = {"valid_luhn": validators.luhn, "valid_ssn": validators.valid_ssn, "valid_vin": validators.valid_vin, "valid_aba": validators.valid_aba, "valid_iban": validators.valid_iban}
 
@@ -61,6 +61,7 @@ def year_of(v: pd.Series, now: pd.Series) -> pd.Series:
 
 
 def register(spark: SparkSession) -> None:
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION map_label(label STRING) RETURNS STRING RETURN {label_sql('label', 'rlike')}")
     spark.udtf.register("deid_detect", DetectSpans)
     spark.udf.register("deid_tag", tag_text)
     spark.udf.register("shift_date", shift_date)
@@ -69,7 +70,15 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, check_udf(f))
 
 
-def with_mapped_labels(df, column: str = "label", to: str = "category"):
-    """df with the category of a label column: mapped over its distinct values only, which are few, then joined."""
-    few = df.select(column).distinct().withColumn(to, map_label(F.col(column)))
-    return df.join(few, df[column].eqNullSafe(few[column]), "left").drop(few[column])
+#: Labels of a vocabulary up to which they are sent to every task.
+MOST_LABELS = 1_000
+
+
+def with_mapped_labels(df: DataFrame, column: str = "label", to: str = "category") -> DataFrame:
+    """df with the category of a label column: mapped over its distinct values, which are counted first and sent to every
+    task where they are few; a larger vocabulary is mapped row by row."""
+    few = df.select(column).distinct().limit(MOST_LABELS + 1).select(F.col(column).alias("__raw"), map_label(F.col(column)).alias(to)).collect()
+    if len(few) > MOST_LABELS:
+        return df.withColumn(to, map_label(F.col(column)))
+    known = df.sparkSession.createDataFrame([tuple(r) for r in few], f"__raw string, `{to}` string")
+    return df.join(F.broadcast(known), F.col(column).eqNullSafe(F.col("__raw")), "left").drop("__raw")

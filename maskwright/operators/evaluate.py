@@ -2,7 +2,7 @@
 
 gold(doc_id, gold_id, start, end, label, tags) counts every parsed span, policy-kept ones too; predicted spans are disjoint.
 Lengths are UTF-8 bytes, as the measures weigh characters of identifiers in bytes; clean characters are code points.
-All joins are equi-joins on doc_id with the overlap as a condition; text is read once, to measure spans, and dropped.
+All joins are equi-joins on doc_id; a document's spans meet its text once, as arrays, and only their measures go on.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.labels import map_label
+from ..functions.register import with_mapped_labels
 from .intervals import overlap, touching
 
 
@@ -23,7 +22,7 @@ def between(text: Column, start: Column, end: Column) -> Column:
 
 def in_policy(gold: DataFrame, strict: bool = False) -> DataFrame:
     """Gold spans whose label counts as an identifier, with their category."""
-    mapped = gold.withColumn("category", map_label(F.col("label")))
+    mapped = with_mapped_labels(gold)
     mapped = mapped.where(F.col("category") != "KEEP") if strict else mapped.where(~F.col("category").isin("KEEP", "QUASI"))
     return mapped.withColumn("category", F.when(F.col("category") == "QUASI", "ORG").otherwise(F.col("category")))
 
@@ -31,21 +30,32 @@ def in_policy(gold: DataFrame, strict: bool = False) -> DataFrame:
 def measured(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
     """gold with byte length `size`, non-blank bytes `body` and bytes inside predictions `covered`; ages below 90 left out.
 
-    A document's predictions travel as one array with its text, so each span meets both in one join on the document.
+    A document's gold spans and its predictions meet its text as two arrays, and are measured there.
     """
+    names = [c for c in gold.columns if c != "doc_id"]
+    spans = gold.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("g"))
     made = predicted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("made"))
-    texts = docs.select("doc_id", "text").join(made, "doc_id", "left")
-    g = gold.join(texts, "doc_id").withColumn("part", between(F.col("text"), F.col("start"), F.col("end")))
-    old = F.regexp_replace("part", "[^0-9]", "").try_cast("long") >= 90
-    hits = F.filter(F.coalesce("made", F.expr("cast(array() as array<struct<start: int, end: int>>)")), lambda p: overlap(F.col("start"), F.col("end"), p["start"], p["end"]))
-    covered = F.aggregate(hits, F.lit(0), lambda n, p: n + F.octet_length(between(F.col("text"), F.greatest(F.col("start"), p["start"]), F.least(F.col("end"), p["end"]))))
-    g = g.where((F.col("category") != "AGE") | F.coalesce(old, F.lit(False)))
-    return g.withColumn("size", F.octet_length("part")).withColumn("body", F.octet_length(F.regexp_replace("part", r"(?U)\s", ""))).withColumn("covered", covered).drop("text", "part", "made")
+    x = docs.select("doc_id", "text").join(spans, "doc_id").join(made, "doc_id", "left")
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+
+    def measure(g: Column) -> Column:
+        part = between(F.col("text"), g["start"], g["end"])
+        hits = F.filter(F.coalesce("made", none), lambda p: overlap(g["start"], g["end"], p["start"], p["end"]))
+        covered = F.aggregate(hits, F.lit(0), lambda n, p: n + F.octet_length(between(F.col("text"), F.greatest(g["start"], p["start"]), F.least(g["end"], p["end"]))))
+        old = F.coalesce(F.regexp_replace(part, "[^0-9]", "").try_cast("long") >= 90, F.lit(False))
+        return F.struct(*[g[n].alias(n) for n in names], F.octet_length(part).alias("size"), F.octet_length(F.regexp_replace(part, r"(?U)\s", "")).alias("body"), covered.alias("covered"), old.alias("old"))
+
+    out = x.select("doc_id", F.inline(F.transform("g", measure)))
+    return out.where("category <> 'AGE' OR old").drop("old")
 
 
 def outcomes(gold: DataFrame, predicted: DataFrame, docs: DataFrame, strict: bool = False) -> DataFrame:
     """Each in-policy gold span with covered, caught, full, covered_chars and outcome (2 whole, 1 partly, 0 missed)."""
-    g = measured(in_policy(gold, strict), predicted, docs)
+    return judged(measured(in_policy(gold, strict), predicted, docs))
+
+
+def judged(g: DataFrame) -> DataFrame:
+    """Measured spans with caught, full, covered_chars, outcome and item."""
     blank, cov = F.col("size") - F.col("body"), F.col("covered")
     covered = F.greatest(F.least(cov - F.least(blank, cov), F.col("body")), F.when(cov >= F.col("size"), F.col("body")).otherwise(0))
     g = g.withColumn("caught", cov > 0).withColumn("full", (cov + blank >= F.col("size")) & (cov > 0)).withColumn("covered_chars", covered)
@@ -68,6 +78,12 @@ def by_category(scored: DataFrame, gold: DataFrame, predicted: DataFrame) -> Dat
     return out.fillna(0)
 
 
+def overall(counts: DataFrame) -> DataFrame:
+    """One row: the sums of counts by category over all of them, with their ratios."""
+    names = [c for c in counts.columns if c != "category"]
+    return ratios(counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]))
+
+
 def ratios(counts: DataFrame) -> DataFrame:
     r = lambda a, b, n: F.try_divide(F.col(a), F.col(b)).alias(n)
     more = [r("predicted_correct", "predicted", "precision")] if "predicted" in counts.columns else []
@@ -126,13 +142,26 @@ def response_matrix(scored_by_system: DataFrame, systems: list[str]) -> DataFram
 def sweep(gold: DataFrame, hits: DataFrame, docs: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFrame:
     """Leaks and recall at each threshold; hits(doc_id, start, end, category, confidence) are made once for all of them.
 
-    thresholds(threshold) are all swept, and sent to every task; each keeps the hits at or above it, and all are scored in one pass with the
-    threshold as part of the document key.
+    thresholds(threshold) are all swept, as one array that is sent to every task: spans are measured against all hits once, and each
+    threshold adds up those at or above it.
     """
-    t = F.broadcast(thresholds.select("threshold").distinct())
-    keyed = lambda df: df.crossJoin(t).withColumn("doc_id", F.concat_ws("@", F.col("doc_id").cast("string"), F.col("threshold").cast("string")))
-    scored = outcomes(keyed(gold).drop("threshold"), keyed(hits).where(F.col("confidence") >= F.col("threshold")), keyed(docs).drop("threshold"), strict)
-    scored = scored.withColumn("threshold", F.substring_index("doc_id", "@", -1).cast("double"))
+    t = thresholds.select("threshold").where("threshold IS NOT NULL").distinct().agg(F.array_sort(F.collect_list("threshold")).alias("thresholds"))
+    spans = in_policy(gold, strict).groupBy("doc_id").agg(F.collect_list(F.struct("gold_id", "start", "end", "category")).alias("g"))
+    made = hits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "confidence")).alias("made"))
+    x = docs.select("doc_id", "text").join(spans, "doc_id").join(made, "doc_id", "left").crossJoin(F.broadcast(t))  # one row of thresholds
+    none = F.expr("cast(array() as array<struct<start: int, end: int, confidence: double>>)")
+
+    def measure(g: Column) -> Column:
+        part = between(F.col("text"), g["start"], g["end"])
+        near = F.filter(F.coalesce("made", none), lambda p: overlap(g["start"], g["end"], p["start"], p["end"]))
+        bytes_ = F.transform(near, lambda p: F.struct(p["confidence"].alias("confidence"), F.octet_length(between(F.col("text"), F.greatest(g["start"], p["start"]), F.least(g["end"], p["end"]))).alias("n")))
+        old = F.coalesce(F.regexp_replace(part, "[^0-9]", "").try_cast("long") >= 90, F.lit(False))
+        return F.struct(g["gold_id"].alias("gold_id"), g["category"].alias("category"), F.octet_length(part).alias("size"), F.octet_length(F.regexp_replace(part, r"(?U)\s", "")).alias("body"), bytes_.alias("bytes"), old.alias("old"))
+
+    found = x.select("doc_id", "thresholds", F.inline(F.transform("g", measure))).where("category <> 'AGE' OR old")
+    each = found.select("doc_id", "gold_id", "size", "body", "bytes", F.explode("thresholds").alias("threshold"))
+    covered = F.aggregate(F.filter("bytes", lambda p: p["confidence"] >= F.col("threshold")), F.lit(0), lambda n, p: n + p["n"])
+    scored = judged(each.select("doc_id", "gold_id", "size", "body", "threshold", covered.alias("covered")))
     return scored.groupBy("threshold").agg(*sums(), F.countDistinct(F.when(F.col("covered") == 0, F.col("doc_id"))).alias("leak_docs"))
 
 
@@ -140,6 +169,3 @@ def numbered_gold(docs: DataFrame, column: str = "gold") -> DataFrame:
     """gold of docs(doc_id, <column> array<struct<start, end, label, tags>>), numbered before any filter."""
     return docs.select("doc_id", F.posexplode(column).alias("gold_id", "g")).select("doc_id", "gold_id", "g.start", "g.end", "g.label", "g.tags")
 
-
-def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

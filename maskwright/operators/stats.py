@@ -20,11 +20,6 @@ def leak_vector(responses: DataFrame) -> DataFrame:
     return responses.where(sound.isNull()).groupBy(doc.alias("doc"), "system").agg(F.bool_or(F.col("outcome") == 0).alias("leaked"))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    """log of n over k, summed over the smaller side's factors."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= k, F.log((n - k + i) / i)).otherwise(0.0))
-
-
 def mcnemar(vectors: DataFrame, a: str, b: str) -> DataFrame:
     """One row: documents that only a or only b leaks, and the exact two-sided p."""
     one = vectors.where(F.col("system").isin(a, b)).groupBy("doc").agg(F.bool_or(F.when(F.col("system") == a, F.col("leaked"))).alias("a"), F.bool_or(F.when(F.col("system") == b, F.col("leaked"))).alias("b"))

@@ -26,13 +26,13 @@ def sessions(events: DataFrame, key: str, ts: str, minutes: int = IDLE_MINUTES,
 
 
 def dumped(v: Vault) -> str:
-    return json.dumps({"counters": v.counters, "tags": v.tags, "seen": [[*k, t] for k, t in v.seen.items()], "persons": v.persons, "fakes": [[*k, t] for k, t in v.fakes.items()], "behind": v.behind, "words": v.words})
+    return json.dumps({"counters": v.counters, "tags": v.tags, "seen": [[*k, t] for k, t in v.seen.items()], "persons": v.persons, "fakes": [[*k, t] for k, t in v.fakes.items()], "behind": v.behind, "words": v.words, "owners": v.owners})
 
 
 def loaded(key: str, mode: str, now: int, state: str) -> Vault:
     x = json.loads(state)
     pairs = lambda name: {(a, b): t for a, b, t in x[name]}
-    return Vault(key, mode, now, x["counters"], x["tags"], pairs("seen"), x["persons"], pairs("fakes"), x["behind"], x["words"])
+    return Vault(key, mode, now, x["counters"], x["tags"], pairs("seen"), x["persons"], pairs("fakes"), x["behind"], x["words"], x["owners"])
 
 
 def redact_stream(texts: DataFrame, mode: str = "tag", now: int = 2025, minutes: int = IDLE_MINUTES, config: Config = Config()) -> DataFrame:
