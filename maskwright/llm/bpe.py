@@ -28,7 +28,7 @@ from .common import map_rows, table
 
 #: Longer words are merged with a heap.
 SCAN_UP_TO = 64
-#: Pieces remembered per task, and the length above which a piece isn't.
+#: Pieces remembered per task in each of two tables, the younger of which takes the place of the other when it is full, and the length above which a piece isn't.
 REMEMBERED, REMEMBERED_LENGTH = 150_000, 48
 
 #: The characters that the normaliser's \s stands for.
@@ -57,14 +57,17 @@ class Bpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.added.items()]}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        #: (left id, right id) -> rank, merged id
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.bytes = byte_alphabet()
+        #: (left id, right id) -> rank, and the merged id of each rank
+        self.ranks = {(self.vocab[a], self.vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
+        #: Ids of a byte inside a word and at its end
+        self.inner, self.last = ([self.vocab[x + end] for x in byte_alphabet()] for end in ("", self.suffix))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
         self.white = regex.compile(f"[{WHITE}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.strings = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.numbers = [str(i) for i in range(len(self.strings))]
 
@@ -72,47 +75,51 @@ class Bpe:
         """parts of a word, merged by rank: boundaries and ranks of adjacent parts in contiguous arrays."""
         if len(parts) > SCAN_UP_TO:
             return self.merged_long(parts)
-        merges = self.merges
-        ranks = [merges.get(p, (NO_RANK, -1))[0] for p in zip(parts, parts[1:])]
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(p, NO_RANK) for p in zip(parts, parts[1:])]
         while ranks and (low := min(ranks)) != NO_RANK:
             i = ranks.index(low)
-            parts[i] = merges[parts[i], parts[i + 1]][1]
+            parts[i] = made[low]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = merges.get((parts[i], parts[i + 1]), (NO_RANK, -1))[0]
+                ranks[i] = rank_of((parts[i], parts[i + 1]), NO_RANK)
             if i:
-                ranks[i - 1] = merges.get((parts[i - 1], parts[i]), (NO_RANK, -1))[0]
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), NO_RANK)
         return parts
 
     def merged_long(self, parts: list[int]) -> list[int]:
-        merges, n = self.merges, len(parts)
+        ranks, n = self.ranks, len(parts)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(merges[p][0], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in merges]
+        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], alive[j], after[i] = merges[a, b][1], False, after[j]
+            parts[i], alive[j], after[i] = self.made[rank], False, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (m := merges.get((parts[left], parts[right]))):
-                    heapq.heappush(heap, (m[0], left, parts[left], parts[right]))
+                if left >= 0 and right >= 0 and (rank := ranks.get((parts[left], parts[right]))) is not None:
+                    heapq.heappush(heap, (rank, left, parts[left], parts[right]))
         return [p for p, ok in zip(parts, alive) if ok]
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a normalised piece without white space."""
-        out: list[int] = []
-        for word in self.words.findall(piece):
-            letters = [self.bytes[b] for b in word.encode()]
-            letters[-1] += self.suffix
-            out += self.merged([self.vocab[x] for x in letters])
-        ids = tuple(out)
+        if (ids := self.older.get(piece)) is None:
+            out: list[int] = []
+            inner, last = self.inner, self.last
+            for word in self.words.findall(piece):
+                *front, end = word.encode()
+                parts = [inner[b] for b in front]
+                parts.append(last[end])
+                out += self.merged(parts)
+            ids = tuple(out)
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED:
+                self.older = self.known.copy()
                 self.known.clear()
             self.known[piece] = ids
         return ids
