@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import cut, map_rows, table
 from .langid import part_of
 
 #: Labelled rows that fitting reads, about.
 SAMPLE_ROWS = 20_000
 #: Words kept, least occurrences, and least standard errors between the classes.
 VOCABULARY, LEAST_COUNT, LEAST_Z = 20_000, 5, 3.0
-#: Tokens that the prior is worth, and what each token loses.
-PRIOR, DRIFT = 10_000.0, 0.5
+#: Share of the sample's words that the prior is worth, and what each token loses.
+PRIOR, DRIFT = 0.0025, 0.5
 #: Expected number of segments as good in a text as long, below which a segment is significant.
 SIGNIFICANT = 0.05
 #: Score from which a document is predicted toxic.
@@ -131,10 +131,11 @@ def rate_of(values: np.ndarray, weight: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from docs(doc_id, text) and labels(doc_id, toxic)."""
-    labelled = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = docs.select("doc_id", "text")
+    labelled = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fraction = min(1.0, sample_rows / max(1, labelled.count()))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(fraction * (1 << 20))).limit(2 * sample_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # the sample bounds what is sent
+    rows = cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # the sample bounds what is sent and written
     distinct = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))  # else a copied text's words count as its copies
 
     def count(batches):
@@ -153,9 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     n_y, n_x = float(totals["y"] or 0), float(totals["x"] or 0)
     model = Model({})
     if n_y and n_x:
-        prior = F.lit(PRIOR) * (F.col("x") + F.col("y")) / (n_x + n_y)
+        weight = PRIOR * (n_x + n_y)
+        prior = F.lit(PRIOR) * (F.col("x") + F.col("y"))
         a, b = F.col("y") + prior, F.col("x") + prior
-        odds = F.log(a / (n_y + PRIOR - a)) - F.log(b / (n_x + PRIOR - b))
+        odds = F.log(a / (n_y + weight - a)) - F.log(b / (n_x + weight - b))
         clear = counts.where(F.col("x") + F.col("y") >= LEAST_COUNT).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b)).where(F.abs("z") >= LEAST_Z)
         kept = clear.orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
         model.odds = {r["word"]: r["odds"] for r in kept}
