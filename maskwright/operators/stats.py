@@ -4,10 +4,9 @@ gates, entity scores, allocation."""
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,30 +24,52 @@ def mcnemar(vectors: DataFrame, a: str, b: str) -> DataFrame:
     one = vectors.where(F.col("system").isin(a, b)).groupBy("doc").agg(F.bool_or(F.when(F.col("system") == a, F.col("leaked"))).alias("a"), F.bool_or(F.when(F.col("system") == b, F.col("leaked"))).alias("b"))
     counts = one.agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
     n, low = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # Terms follow one another by a ratio: one pass over 0..low, in logs, none larger than 1.
-    start = F.struct((n * F.lit(-math.log(2))).alias("term"), F.exp(n * F.lit(-math.log(2))).alias("sum"))
-    add = lambda s, i: F.struct((s["term"] + F.log((n - i + 1) / i)).alias("term"), (s["sum"] + F.exp(s["term"] + F.log((n - i + 1) / i))).alias("sum"))
-    tail = F.aggregate(F.when(low >= 1, F.sequence(F.lit(1).cast("bigint"), low)).otherwise(F.array().cast("array<bigint>")), start, add, lambda s: s["sum"])
+    # Terms fall by a ratio from the largest one down; those beyond 8 standard deviations below it add nothing to a double.
+    first = F.exp(log_gamma(n + 1) - log_gamma(low + 1) - log_gamma(n - low + 1) - n * F.lit(math.log(2)))
+    steps = F.least(low, F.ceil(8 * F.sqrt(n.cast("double"))) + 100).cast("int")
+    start = F.struct(first.alias("term"), first.alias("sum"))
+    add = lambda s, k: F.struct((s["term"] * (low - k + 1) / (n - low + k)).alias("term"), (s["sum"] + s["term"] * (low - k + 1) / (n - low + k)).alias("sum"))
+    tail = F.aggregate(F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), start, add, lambda s: s["sum"])
     return counts.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series for x >= 1, moved up by ten, where it is exact to a double's digits but the last few."""
+    y = x.cast("double") + 10
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * y * y * y * y * y * y * y) + 1 / (1188 * y * y * y * y * y * y * y * y * y)
+    moved = reduce(lambda a, b: a * b, (x.cast("double") + k for k in range(10)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(moved)
+
+
+#: Groups of documents, by hash, that a bootstrap resamples together.
+BUCKETS = 1_024
+
+
+def poisson_sql(u: str) -> str:
+    """A Poisson number of mean 1 for u evenly drawn from [0, 1), up to 8."""
+    total, term, steps = 0.0, math.exp(-1), []
+    for k in range(8):
+        total += term
+        term /= k + 1
+        steps.append(f"CASE WHEN {u} >= {total!r}D THEN 1 ELSE 0 END")
+    return " + ".join(steps).replace("D THEN", " THEN")
+
+
 def bootstrap(vectors: DataFrame, reference: str, draws: int = 1_000, seed: int = 0) -> DataFrame:
     """Difference of each system's leak rate to the reference, with the 95 % interval of paired resamples.
 
-    A document's weight in a draw is Poisson of mean 1 by hash of (seed, draw, document): every executor resamples its own
-    rows and only sums by draw are shuffled, whatever the number of documents.
+    Documents are dealt into BUCKETS groups by hash, and a group's weight in a draw is Poisson of mean 1 by hash of (seed,
+    draw, group): only sums by group are multiplied by draws, whatever the number of documents.
     """
     wide = vectors.where(F.col("system") == reference).select("doc", F.col("leaked").cast("int").alias("r"))
     pairs = vectors.where(F.col("system") != reference).join(wide, "doc").select("doc", "system", (F.col("leaked").cast("int") - F.col("r")).alias("d"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", "doc"), F.lit(1 << 40)) / float(1 << 40)
-    cdf, weight, total = math.exp(-1), F.lit(0), math.exp(-1)
-    for k in range(1, 9):
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        cdf /= k
-        total += cdf
-    drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight).groupBy("system", "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("diff"))
+    of = lambda text: F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
+    groups = pairs.groupBy("system", (of(F.col("doc")) % BUCKETS).alias("bucket")).agg(F.count("*").alias("n"), F.sum("d").alias("d"))
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("bucket").cast("string"))
+    weighed = groups.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", of(key) / 4294967296.0).withColumn("w", F.expr(poisson_sql("u")))
+    drawn = weighed.groupBy("system", "draw").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum(F.col("w") * F.col("n"))).alias("diff"))
     ends = drawn.groupBy("system").agg(F.sort_array(F.collect_list("diff")).alias("x")).select("system", F.element_at("x", int(0.025 * draws) + 1).alias("low"), F.element_at("x", int(0.975 * draws)).alias("high"))
-    mean = pairs.groupBy("system").agg(F.avg("d").alias("diff"))
+    mean = groups.groupBy("system").agg((F.sum("d") / F.sum("n")).alias("diff"))
     verdict = F.when(F.col("high") < 0, "better").when(F.col("low") > 0, "worse").otherwise("even")
     return mean.join(ends, "system").withColumn("verdict", verdict)
 
@@ -60,18 +81,38 @@ def matched_points(sweep: DataFrame, caps: list[float]) -> DataFrame:
     return within.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
 
 
-def probit(p: Column) -> Column:
-    @F.pandas_udf("double")
-    def z(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: NormalDist().inv_cdf(v) if v is not None and 0 < v < 1 else None)
+# A published rational approximation of the normal quantile, with a relative error below 1.2e-9.
+CENTRE = ([-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239], [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0])
+TAILS = ([-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783], [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0])
+TAIL_FROM = 0.02425
+
+
+def probit_sql(p: str) -> str:
+    """The normal quantile of p as SQL text of any dialect; null outside (0, 1)."""
 
-    return z(p)
+    def poly(coefficients: list[float], x: str) -> str:
+        out = f"({coefficients[0]!r})"
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + ({c!r}))"
+        return out
+
+    q, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    square = f"({q} * {q})"
+    return f"CASE WHEN {p} <= 0 OR {p} >= 1 THEN NULL WHEN {p} < {TAIL_FROM} THEN {poly(TAILS[0], low)} / {poly(TAILS[1], low)} WHEN {p} > {1 - TAIL_FROM} THEN -{poly(TAILS[0], high)} / {poly(TAILS[1], high)} ELSE {poly(CENTRE[0], square)} * {q} / {poly(CENTRE[1], square)} END"
+
+
+def d_prime_points(rows: DataFrame, near: float = 0.35) -> DataFrame:
+    """Of each system in rows(system, threshold, d_prime), the greatest d' (at the lowest threshold that has it) and the one at the threshold nearest to `near`."""
+    best, close = F.struct(F.negative("d_prime"), "threshold"), F.struct(F.abs(F.col("threshold") - near), F.col("threshold"))
+    both = F.struct("d_prime", "threshold")
+    return rows.groupBy("system").agg(F.min_by(both, best).alias("b"), F.min_by(both, close).alias("c")).select("system", F.col("b.d_prime").alias("best"), F.col("b.threshold").alias("best_at"), F.col("c.d_prime").alias("near"), F.col("c.threshold").alias("near_at"))
 
 
 def d_prime(sweep: DataFrame) -> DataFrame:
     """d' and criterion of sweep rows(hits, hit_n, false_alarms, fa_n), log-linear."""
     rate = lambda x, n: (F.col(x) + 0.5) / (F.col(n) + 1)
-    rows = sweep.withColumn("zh", probit(rate("hits", "hit_n"))).withColumn("zf", probit(rate("false_alarms", "fa_n")))
+    rows = sweep.withColumn("ph", rate("hits", "hit_n")).withColumn("pf", rate("false_alarms", "fa_n"))
+    rows = rows.withColumn("zh", F.expr(probit_sql("ph"))).withColumn("zf", F.expr(probit_sql("pf"))).drop("ph", "pf")
     edge = (F.col("hits") == 0) | (F.col("hits") == F.col("hit_n")) | (F.col("false_alarms") == 0) | (F.col("false_alarms") == F.col("fa_n"))
     return rows.withColumn("d_prime", F.col("zh") - F.col("zf")).withColumn("criterion", -(F.col("zh") + F.col("zf")) / 2).withColumn("boundary", edge).drop("zh", "zf")
 
@@ -117,16 +158,22 @@ def fit_2pl(patterns: np.ndarray, counts: np.ndarray, rounds: int = 80, tol: flo
     return np.exp(la), b, theta, 1 / np.sqrt((counts[:, None] * seen * p * (1 - p) * a**2).sum(0) + 1)
 
 
+#: Response patterns that are fitted on the driver and sent to every task.
+PATTERNS = 100_000
+
+
 def item_response(responses: DataFrame, systems: list[str], touched: bool = True) -> tuple[DataFrame, DataFrame]:
     """(items with a, b, p; systems with theta, se): equal patterns share parameters, so only distinct ones are fitted.
 
-    There are at most 3 ** len(systems) patterns, whatever the number of items.
+    There are at most 3 ** len(systems) patterns, whatever the number of items; more than PATTERNS of them are refused.
     """
     hit = (F.col("outcome") >= 1) if touched else (F.col("outcome") == 2)
     wide = responses.withColumn("y", hit.cast("int")).groupBy("item").pivot("system", systems).agg(F.first("y"))
     pattern = F.concat_ws(",", *[F.coalesce(F.col(f"`{s}`").cast("string"), F.lit("-")) for s in systems])
     items = wide.select("item", pattern.alias("pattern"))
-    rows = items.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
+    rows = items.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").limit(PATTERNS + 1).collect()
+    if len(rows) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} response patterns")
     informative = [r for r in rows if "0" in r["pattern"] and "1" in r["pattern"]]
     table = np.array([[np.nan if x == "-" else float(x) for x in r["pattern"].split(",")] for r in informative]).reshape(-1, len(systems))
     a, b, theta, se = fit_2pl(table, np.array([r["n"] for r in informative], dtype=float))
@@ -135,6 +182,14 @@ def item_response(responses: DataFrame, systems: list[str], touched: bool = True
     return items.join(F.broadcast(fitted), "pattern").drop("pattern"), spark.createDataFrame([(s, float(t), float(e)) for s, t, e in zip(systems, theta, se, strict=True)], "system string, theta double, se double")
 
 
+def empirical(responses: DataFrame, touched: bool = True) -> DataFrame:
+    """(system, p, informative): share of items a system gets right, and how many of its items tell systems apart at all."""
+    hit = ((F.col("outcome") >= 1) if touched else (F.col("outcome") == 2)).cast("int")
+    x = responses.where("outcome IS NOT NULL").select("item", "system", hit.alias("y"))
+    spread = x.groupBy("item").agg((F.min("y") < F.max("y")).alias("tells"))
+    return x.join(spread, "item").groupBy("system").agg(F.avg("y").alias("p"), F.count_if("tells").alias("informative"))
+
+
 def tag_difficulty(items: DataFrame, tags: DataFrame) -> DataFrame:
     """Mean and population spread of b, mean p, and items of little discrimination, by tag."""
     return items.join(tags, "item").groupBy("tag").agg(F.count("*").alias("n"), F.avg("b").alias("mean_b"), F.stddev_pop("b").alias("sd_b"), F.avg("p").alias("mean_p"), F.count_if(F.col("a") < 0.5).alias("flat"))

@@ -6,78 +6,17 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.dates import MONTHS
 from .detect import rule_spans
-
-# --- format mini-language: literals, and the tokens of this table ----------------------------------------------------
-
-#: Token -> regular expression. A number after d, D, L, l, x, w or h is a count.
-COUNTED = {"d": "[0-9]", "D": "[1-9]", "L": "[A-Z]", "l": "[a-z]", "x": "[0-9a-f]", "w": "[A-Za-z0-9]", "h": "[0-9A-F]"}
-SINGLE = {"yyyy": "(?:19|20)[0-9]{2}", "yy": "[0-9]{2}", "mm": "(?:0[1-9]|1[0-2])", "dd": "(?:0[1-9]|1[0-9]|2[0-8])", "Month": "(?:" + "|".join(MONTHS) + ")", "Mon": "(?:" + "|".join(m[:3] for m in MONTHS) + ")", "do": "(?:[1-9]|1[0-9]|2[0-8])(?:st|nd|rd|th)", "fn": "[A-Z][a-z]+", "ln": "[A-Z][a-z]+", "fi": "[A-Z]", "c": "[A-Z0-9]", "a": "[A-Za-z]", "n": "[1-9][0-9]*"}
-TOKEN = re.compile(r"\{(?:([dDLlxwh])([0-9]*)|(yyyy|yy|mm|dd|Month|Mon|do|fn|ln|fi|c|a|n))\}")
-
-
-def tokens_of(pattern: str) -> Iterator[tuple[str, int | None]]:
-    """(literal, None), or (token, count), of a pattern such as "{L2}-{d6}"."""
-    at = 0
-    for m in TOKEN.finditer(pattern):
-        if m.start() > at:
-            yield pattern[at : m.start()], None
-        yield (m[1], int(m[2] or 1)) if m[1] else (m[3], 1)
-        at = m.end()
-    if at < len(pattern):
-        yield pattern[at:], None
-
-
-def format_regex(pattern: str) -> str:
-    """The regular expression of a format, in a dialect that Catalyst, DuckDB and Python share."""
-    return "^" + "".join(re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", t) if n is None else f"{COUNTED[t]}{{{n}}}" if t in COUNTED else SINGLE[t] for t, n in tokens_of(pattern)) + "$"
-
-
-def sample_format(pattern: str, seed: str) -> str:
-    """A value of a format, fixed by seed."""
-    r = random.Random(hashlib.sha256(seed.encode()).digest())
-    digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-    alphabet = {"d": digits, "D": digits[1:], "L": low.upper(), "l": low, "x": digits + "abcdef", "w": digits + low + low.upper(), "h": digits + "ABCDEF", "c": digits + low.upper(), "a": low + low.upper(), "fi": low.upper()}
-    out = []
-    for t, n in tokens_of(pattern):
-        if n is None:
-            out.append(t)
-        elif t in alphabet:
-            out.append("".join(r.choice(alphabet[t]) for _ in range(n)))
-        else:
-            day = r.randrange(1, 29)
-            end = "th" if 11 <= day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
-            out.append({"yyyy": lambda: str(r.randrange(1930, 2025)), "yy": lambda: f"{r.randrange(100):02}", "mm": lambda: f"{r.randrange(1, 13):02}", "dd": lambda: f"{day:02}", "Month": lambda: r.choice(MONTHS), "Mon": lambda: r.choice(MONTHS)[:3], "do": lambda: f"{day}{end}", "n": lambda: str(r.randrange(1, 1000))}.get(t, lambda: r.choice(low).upper() + "".join(r.choice(low) for _ in range(5)))())
-    return "".join(out)
-
-
-def infer_format(example: str) -> str:
-    """A format that an example belongs to: runs of digits and letters become counted tokens."""
-    return re.sub("[0-9]+|[A-Z]+|[a-z]+", lambda m: "{" + ("d" if m[0][0].isdigit() else "L" if m[0][0].isupper() else "l") + str(len(m[0])) + "}", example)
-
-
-def novel(test: dict[str, str], train: list[str], draws: int = 200) -> dict[str, str]:
-    """Of test formats by name, why one isn't new: a value fails its own expression or fits a training format."""
-    known, out = [re.compile(format_regex(t)) for t in train], {}
-    for name, pattern in test.items():
-        own = re.compile(format_regex(pattern))
-        for i in range(draws):
-            v = sample_format(pattern, f"{name}:{i}")
-            if not own.match(v):
-                out[name] = f"{v} isn't of its own format"
-                break
-            if any(k.match(v) for k in known):
-                out[name] = f"{v} is of a training format"
-                break
-    return out
-
+from .formats import format_regex, infer_format, novel, sample_format  # noqa: F401  the format language, here as well
+from .names import COMMON, NAME_STOP
+from .render import TITLES
 
 # --- planted text ----------------------------------------------------------------------------------------------------
 
@@ -102,6 +41,19 @@ def substitute(raw: DataFrame) -> DataFrame:
     return x.select("doc_id", F.array_join(F.transform("pieces", lambda q: F.coalesce(q["out"], F.lit(""))), "").alias("text"), F.aggregate("pieces", start, step, lambda acc: acc["spans"]).alias("spans"), F.concat(unknown, few, left).alias("problems"))
 
 
+def verbatim_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans) of docs(doc_id, text, values array<struct<value, label>>): where the values stand in the texts."""
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"start": s, "end": e, "label": x} for s, e, x in verbatim(t or "", [(v["value"], v["label"]) for v in vs or []])] for t, vs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], names=["doc_id", "spans"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", "values").mapInArrow(run, f"doc_id {kind}, spans array<struct<start: int, end: int, label: string>>")
+
+
 def verbatim(text: str, values: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
     """Word-bounded places of planted values in a text, longer ones first where they overlap."""
     found = [(m.start(), m.end(), label) for value, label in values if value for m in re.finditer(rf"(?<!\w){re.escape(value)}(?!\w)", text)]
@@ -124,9 +76,30 @@ SCREENS = [
     ("institution", re.compile(r"\b[A-Z][a-z]+ (?:Hospital|Clinic|Medical Center|University|Institute)\b")),
 ]
 UNIT = re.compile(r"\s{0,2}(?:mg|mcg|ml|units?|mmol|cells|steps|kcal|iu|/)", re.IGNORECASE)
+CAPITALISED = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-])+")
+SENTENCE_ENDS = ".!?;:\n\"»"
+
 
+@dataclass(frozen=True)
+class Pools:
+    """What must not stand outside planted spans: real names, common names, and phrases; and common names that are words, too."""
 
-def screen_text(text: str | None, spans: list[tuple[int, int]], names: frozenset[str] = frozenset()) -> list[tuple[str, str, int]]:
+    names: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+    ambiguous: frozenset[str] = frozenset()
+    phrases: tuple[str, ...] = ()
+
+
+def opens_sentence(text: str, at: int) -> bool:
+    """Whether a word at `at` begins a sentence; the full stop of a title before it ends none."""
+    lead = text[:at].rstrip(" \t\n") if at < 64 else text[at - 64 : at].rstrip(" \t\n")
+    if not lead:
+        return at < 64 or not text[:at].strip()
+    title = re.search(r"([^\W\d_]*)\.$", lead)
+    return lead[-1] in SENTENCE_ENDS and not (title and title[1].lower() in TITLES)
+
+
+def screen_text(text: str | None, spans: list[tuple[int, int]], pools: Pools = Pools()) -> list[tuple[str, str, int]]:
     """(reason, match, position) of whatever looks like an identifier outside spans, the detector's own finds included."""
     out, outside = [], lambda a, b: not any(s < b and a < e for s, e in spans)
     text = text or ""
@@ -135,25 +108,50 @@ def screen_text(text: str | None, spans: list[tuple[int, int]], names: frozenset
     for reason, shape in SCREENS:
         for m in shape.finditer(text):
             dose = reason == "digits" and UNIT.match(text, m.end())
-            pressure = reason == "date-like" and (p := re.fullmatch(r"(\d{2})/(\d{2})", m[0])) and 70 <= int(p[1]) <= 250 and 30 <= int(p[2]) <= 150
+            pressure = reason == "date-like" and (p := re.fullmatch(r"(\d{2,3})/(\d{2,3})", m[0])) and 70 <= int(p[1]) <= 250 and 30 <= int(p[2]) <= 150
             if outside(*m.span()) and not dose and not pressure:
                 out.append((reason, m[0], m.start()))
-    for m in re.finditer(r"\b[A-Z][a-z]+\b", text):
-        first = not text[: m.start()].strip() or text[: m.start()].rstrip(" ")[-1:] in ".!?;:\n\"»"
-        if m[0] in names and outside(*m.span()) and not first:
-            out.append(("name-pool", m[0], m.start()))
+    for m in CAPITALISED.finditer(text) if pools.names or pools.common else ():
+        word = m[0].lower()
+        if m[0][0].isupper() and outside(*m.span()):
+            opens = opens_sentence(text, m.start())
+            if word in pools.names and not (opens and word in NAME_STOP):
+                out.append(("name-pool", m[0], m.start()))
+            elif word in pools.common and not (opens and word in pools.ambiguous):
+                out.append(("common-name", m[0], m.start()))
+    for phrase in pools.phrases:
+        out += [("pool-phrase", phrase, m.start()) for m in re.finditer(rf"(?<!\w){re.escape(phrase)}(?!\w)", text) if outside(*m.span())]
     out += [("engine", text[a:b], a) for a, b, *_ in rule_spans(text) if outside(a, b)]
     return out
 
 
-def screened(docs: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+#: Own phrases of the request for a text; a reply that holds one repeats what it was told.
+INSTRUCTIONS = ("use each placeholder", "do not invent", "write a clinical note", "the following placeholders", "as an ai")
+
+
+def echoes(raw: str | None, planted: list[dict], text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """Why a reply echoes its request: phrases of it, planted values beside their places, or the list of placeholders."""
+    raw, out = raw or "", []
+    out += [f"instruction-echo:{p.split()[0]}" for p in INSTRUCTIONS if p in raw.lower()]
+    for item in planted:
+        found = re.finditer(rf"(?<!\w){re.escape(item['value'])}(?!\w)", text) if item["value"] else ()
+        out += [f"value-echo:{item['ph']}" for m in found if not any(s < m.end() and m.start() < e for s, e in spans)]
+    names, values = {i["ph"] for i in planted}, {i["value"] for i in planted}
+    listed = 0
+    for line in map(str.strip, raw.splitlines()):
+        mark, core = re.match(r"\[\[([A-Z0-9_]+)\]\]\s*(=|$)", line), line.strip(" .;-*")
+        listed += bool(mark and mark[1] in names) or core in values or (" (" in core and core.split(" (")[0] in values)
+    return [*out, "echoed-value-list"] if listed >= 3 else out
+
+
+def screened(docs: DataFrame, pools: Pools = Pools()) -> DataFrame:
     """docs(doc_id, text, spans) with `reasons`; accepted where it is empty."""
     shape = pa.list_(pa.struct([("reason", pa.string()), ("match", pa.string()), ("at", pa.int32())]))
 
     def run(batches):
         for b in batches:
             texts, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
-            found = [[{"reason": r, "match": m, "at": a} for r, m, a in screen_text(t, [(s["start"], s["end"]) for s in x or []], names)] for t, x in zip(texts, spans, strict=True)]
+            found = [[{"reason": r, "match": m, "at": a} for r, m, a in screen_text(t, [(s["start"], s["end"]) for s in x or []], pools)] for t, x in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], names=["doc_id", "reasons"])
 
     return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, reasons array<struct<reason: string, match: string, at: int>>")
@@ -168,14 +166,27 @@ def parity_split(key: Column) -> Column:
 CUE = r"(?i)(mrn|dob|born|phone|tel|fax|email|ssn|member|account|id|number|no\.|#|dr\.?|mr\.?|mrs\.?|ms\.?|patient|name|lives at|address|zip|license|plate|vin|serial)[^a-z0-9]{0,6}$"
 
 
+#: More words that give a span away, by label.
+LABEL_CUES = {"NAME": "named|known as|signed", "ORG": r"inc\.?|corp\.?|ltd\.?|llp|llc|group|company|university|hospital|clinic|bank|school", "DATE": "as of|dated|effective|due", "AGE": "aged?|years? old|y/?o|age", "ADDRESS": r"residen\w*|located|liv\w+|mov\w+", "LOCATION": r"located|liv\w+|mov\w+", "ZIP": "zip|postal|postcode", "PHONE": "call|tel|mobile|cell|reach", "EMAIL": r"e-?mail\w*|write", "SSN": "tax ?id|security", "MRN": "chart", "PLAN": r"policy|coverage|insur\w*", "ACCOUNT": "acct|deposit|wire|refund|card", "LICENSE": "permit|registration", "VEHICLE": "plate|vehicle|vin|car|truck|auto", "DEVICE": "implant|pacemaker|model", "URL": "link|portal|site|website|http|online", "IP": "host|server", "ID": "password|access", "BIOMETRIC": "fingerprint|biometric|scan|print"}
+COMMON_WORD = "(?i)(?:^|[^a-z])(?:" + "|".join(sorted(COMMON)) + ")(?:[^a-z]|$)"
+
+
 def difficulty_tags(spans: DataFrame) -> DataFrame:
-    """spans(doc_id, start, end, label, text) with sorted m:* tags: cue, single name, lower case, spaced digits, repeat."""
+    """spans(doc_id, start, end, label, text) with sorted m:* tags: cue, single name, common word as a name, lower case, spaced
+    digits, and whether the text has the same value before."""
     value = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
     before = F.substr("text", F.greatest(F.col("start") - 28, F.lit(0)) + 1, F.least(F.col("start"), F.lit(28)))
-    repeat = F.row_number().over(Window.partitionBy("doc_id", F.lower(value)).orderBy("start")) > 1
-    name = F.lower("label").contains("name")
-    all_ = F.array(F.when(before.rlike(CUE), "m:cue").otherwise("m:no_cue"), F.when(name & ~value.contains(" "), "m:single_name"), F.when(value.rlike("[a-z]") & (value == F.lower(value)), "m:lower"), F.when(value.rlike(r"^[0-9]( [0-9])+$"), "m:digit_spaced"), F.when(repeat, "m:repeat"))
-    return spans.withColumn("tags", F.array_sort(F.array_compact(all_)))
+    label = F.upper("label")
+    cued = before.rlike(CUE)
+    for name, words in LABEL_CUES.items():
+        cued = cued | (label.contains(name) & before.rlike(rf"(?i)(?:\b(?:{words})\b)[\s:#,(]*$"))
+    name = label.contains("NAME") | label.contains("PERSON") | label.contains("PATIENT") | label.contains("DOCTOR")
+    plain = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
+    seen = F.concat(F.lit(" "), F.regexp_replace(plain(F.substr("text", F.lit(1), F.col("start"))), r"[^\p{L}\p{N}_]", " "), F.lit(" "))
+    norm = F.concat(F.lit(" "), F.regexp_replace(F.trim(plain(value)), r"[^\p{L}\p{N}_]", " "), F.lit(" "))
+    letters = F.regexp_replace(value, r"\s+", "")
+    tags = [F.when(cued, "m:cue").otherwise("m:no_cue"), F.when(name & ~F.trim(value).rlike(r"\s"), "m:single_name"), F.when(name & value.rlike(COMMON_WORD), "m:common_word_name"), F.when(letters.rlike(r"^\p{L}+$") & (letters == F.lower(letters)), "m:lower"), F.when(F.trim(value).rlike("^[0-9]( [0-9])+$"), "m:digit_spaced"), F.when(seen.contains(norm), "m:repeat")]
+    return spans.withColumn("tags", F.array_sort(F.array_compact(F.array(*tags))))
 
 
 def shared_values(a: DataFrame, b: DataFrame, column: str = "value") -> DataFrame:
@@ -184,24 +195,6 @@ def shared_values(a: DataFrame, b: DataFrame, column: str = "value") -> DataFram
     return low(a).join(low(b), "value", "left_semi")
 
 
-def plant_specs(spark: SparkSession, n: int, seed: int, kinds: list[tuple[str, str, str]], partitions: int | None = None) -> DataFrame:
-    """(doc_id, mode, style, planted) of n documents: 3 to 12 identifiers of kinds (kind, label, format), by hash of seed and id."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i in b.column(0).to_pylist():
-                r = random.Random(hashlib.sha256(f"{seed}:{i}".encode()).digest())
-                planted = []
-                for j in range(r.randrange(3, 13)):
-                    kind, label, pattern = kinds[(i * 7 + j) % len(kinds)]
-                    planted.append({"ph": f"{kind.upper()}_{j}", "value": sample_format(pattern, f"{seed}:{i}:{j}"), "label": label, "count": 2 if r.random() < 0.12 else 1})
-                rows.append({"doc_id": i, "mode": r.choice(["written", "dictated", "chat", "ocr"]), "style": r.choice(["note", "letter", "referral", "summary", "triage", "consult", "message", "form"]), "planted": planted})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("mode", pa.string()), ("style", pa.string()), ("planted", pa.list_(pa.struct([("ph", pa.string()), ("value", pa.string()), ("label", pa.string()), ("count", pa.int32())])))]))
-
-    return spark.range(0, n, 1, partitions).mapInArrow(run, "doc_id bigint, mode string, style string, planted array<struct<ph: string, value: string, label: string, count: int>>")
-
-
 #: Confusable characters of scans.
 CONFUSED = ("O0", "l1", "S5", "B8", "Z2")
 
@@ -221,7 +214,7 @@ def mix(sources: dict[str, DataFrame], shares: dict[str, float], total: int, key
     n = {k: int(x) for k, x in floors.items()}
     for k in sorted(floors, key=lambda k: (n[k] - floors[k], k))[: total - sum(n.values())]:
         n[k] += 1
-    order = F.xxhash64(F.lit(seed), F.col(key))
+    order = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
     out = None
     for k, df in sources.items():
         taken = df.withColumn("source", F.lit(k)).orderBy(order, key).limit(n[k])
@@ -241,7 +234,7 @@ def unfinished(specs: DataFrame, raws: DataFrame) -> DataFrame:
     return specs.join(raws.where("finish_reason = 'stop'"), "doc_id", "left_anti")
 
 
-def verified(specs: DataFrame, raws: DataFrame, names: frozenset[str] = frozenset()) -> DataFrame:
+def verified(specs: DataFrame, raws: DataFrame, pools: Pools = Pools()) -> DataFrame:
     """(doc_id, text, spans, split, problems) of specs(doc_id, planted) and raws(doc_id, seq, text, finish_reason).
 
     The last text of a spec counts; a missing one, an unfinished one, substitution problems and screens are the reasons for
@@ -250,10 +243,18 @@ def verified(specs: DataFrame, raws: DataFrame, names: frozenset[str] = frozense
     last = raws.groupBy("doc_id").agg(F.max_by(F.struct("text", "finish_reason"), "seq").alias("raw"))
     joined = specs.select("doc_id", "planted").join(last, "doc_id", "left")
     made = substitute(joined.select("doc_id", F.coalesce("raw.text", F.lit("")).alias("text"), "planted"))
-    seen = screened(made, names).select("doc_id", F.transform("reasons", lambda r: r["reason"]).alias("screens"))
+    told = made.join(joined.select("doc_id", "planted", F.col("raw.text").alias("reply")), "doc_id")
+
+    def echoed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [echoes(raw, planted or [], t or "", [(x["start"], x["end"]) for x in s or []]) for t, s, planted, raw in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "echoes"])
+
+    echo = told.select("doc_id", "text", "spans", "planted", "reply").mapInArrow(echoed, f"doc_id {specs.schema['doc_id'].dataType.simpleString()}, echoes array<string>")
+    seen = screened(made, pools).select("doc_id", F.transform("reasons", lambda r: r["reason"]).alias("screens"))
     why = F.when(F.col("raw").isNull(), F.array(F.lit("no-raw-output"))).when(F.col("raw.finish_reason") != "stop", F.array(F.lit("finish"))).otherwise(F.array().cast("array<string>"))
-    out = made.join(seen, "doc_id").join(joined.select("doc_id", why.alias("why")), "doc_id")
-    return out.select("doc_id", "text", "spans", parity_split(F.col("doc_id")).alias("split"), F.array_distinct(F.concat("why", "problems", "screens")).alias("problems"))
+    out = made.join(seen, "doc_id").join(echo, "doc_id").join(joined.select("doc_id", why.alias("why")), "doc_id")
+    return out.select("doc_id", "text", "spans", parity_split(F.col("doc_id")).alias("split"), F.when(F.size("why") > 0, F.col("why")).otherwise(F.array_distinct(F.concat("problems", "echoes", "screens"))).alias("problems"))
 
 
 def reject_counts(checked: DataFrame) -> DataFrame:
@@ -303,3 +304,16 @@ def revalued(planted: list[dict], formats: dict[str, list[tuple[str, str]]], see
             p = {**p, "value": sample_format(pattern, f"novel:{seed}:{key}:{i}"), "tags": [*tags, "novel_format", f"fmt:{name}"]}
         out.append(p)
     return out
+
+
+def revalued_items(docs: DataFrame, formats: dict[str, list[tuple[str, str]]], seed: int) -> DataFrame:
+    """(doc_id, planted) of docs(doc_id, planted array<struct<label, value, tags>>), with values of new formats where there are any."""
+    shape = pa.list_(pa.struct([("label", pa.string()), ("value", pa.string()), ("tags", pa.list_(pa.string()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [revalued([{**i, "tags": i["tags"] or []} for i in items or []], formats, seed, str(key)) for key, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, shape)], names=["doc_id", "planted"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "planted").mapInArrow(run, f"doc_id {kind}, planted array<struct<label: string, value: string, tags: array<string>>>")

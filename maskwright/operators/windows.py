@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,6 +108,46 @@ def chunk_words(words: Iterator[int], limit: int, lap: int) -> list[tuple[int, i
     return out
 
 
+def word_windows(docs: DataFrame, limit: int, lap: int) -> DataFrame:
+    """(doc_id, win, first, end) of docs(doc_id, sizes array<int>): windows of words by their lengths in subwords; a word that
+    is longer than the limit by itself fails."""
+    sound = F.assert_true(F.coalesce(F.array_max("sizes"), F.lit(0)) <= limit, F.lit("a word is longer than a window"))
+    shape = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[{"first": f, "end": e} for f, e in chunk_words(iter(s or []), limit, lap)] for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, shape)], names=["doc_id", "w"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.where(sound.isNull()).select("doc_id", "sizes").mapInArrow(run, f"doc_id {kind}, w array<struct<first: int, end: int>>")
+    return found.select("doc_id", F.posexplode("w").alias("win", "x")).select("doc_id", "win", "x.first", "x.end")
+
+
+#: A word with joined parts, or one sign.
+SPLITTER = r"\w+(?:[-_]\w+)*|\S"
+
+
+def text_chunks(docs: DataFrame, limit: int, lap: int | None = None) -> DataFrame:
+    """(doc_id, win, start, chunk) of docs(doc_id, text): pieces of at most `limit` words or signs, a seventh of them shared."""
+    step = limit - (max(1, limit // 7) if lap is None else lap)
+    tokens = F.regexp_extract_all("text", F.lit(f"(?U)(?:{SPLITTER})"), F.lit(0))
+    gaps = F.split("text", f"(?U)(?:{SPLITTER})")
+    start = F.expr("named_struct('at', 0, 'k', 0, 'spans', cast(array() as array<struct<s: int, e: int>>))")
+    x = docs.select("doc_id", "text", tokens.alias("__t"), gaps.alias("__g"))
+
+    def put(acc: Column, t: Column) -> Column:
+        s = (acc["at"] + F.length(F.get(F.col("__g"), acc["k"]))).cast("int")
+        e = (s + F.length(t)).cast("int")
+        return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("spans"))
+
+    x = x.withColumn("__w", F.aggregate("__t", start, put, lambda acc: acc["spans"])).where(F.size("__w") > 0)
+    last = F.greatest(F.ceil((F.size("__w") - limit) / step), F.lit(0)).cast("int")
+    w = x.select("doc_id", "text", "__w", F.explode(F.sequence(F.lit(0), last)).alias("win"))
+    first, end = F.get("__w", F.col("win") * step), F.get("__w", F.least(F.col("win") * step + limit, F.size("__w")) - 1)
+    return w.select("doc_id", "win", first["s"].alias("start"), F.substr("text", first["s"] + 1, end["e"] - first["s"]).alias("chunk"))
+
+
 def repeated_mention(spans: DataFrame, value: Column) -> DataFrame:
     """spans with `repeat`: whether an earlier span of the document has the same value."""
     by = Window.partitionBy("doc_id", "__v").orderBy("start")

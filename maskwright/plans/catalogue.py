@@ -194,16 +194,6 @@ def cover_spans(spark, sf_dir):
     return named(out.select("doc_id", F.col("gold_id").alias("seq"), "start", "end", F.col("covered").cast("bigint").alias("covered")))
 
 
-@query()
-def resolve_longest(spark, sf_dir):
-    return named(intervals.resolve_longest(line_spans(spark, sf_dir)))
-
-
-@query()
-def resolve_by_score(spark, sf_dir):
-    return named(intervals.resolve_by_score(line_spans(spark, sf_dir)))
-
-
 # --- evaluation ------------------------------------------------------------------------------------------------------
 
 #: In-policy gold of the notes with coverage and outcome; every label of the notes is in policy.
@@ -299,23 +289,12 @@ def mcnemar_exact(spark, sf_dir):
     return stats.mcnemar(stats.leak_vector(systems(spark, sf_dir)), "a", "b").select("only_a", "only_b", F.round("p", 6).alias("p"))
 
 
-@query()
-def bootstrap_difference(spark, sf_dir):
-    return stats.bootstrap(stats.leak_vector(systems(spark, sf_dir)), "a", draws=200)
-
-
 @query("WITH s AS (SELECT l_returnflag AS system, l_quantity AS threshold, count_if(l_tax < 0.03)::BIGINT AS leak_docs, avg(l_discount) AS over_redaction FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY system, cap ORDER BY leak_docs, threshold DESC) AS n FROM s, (VALUES (0.049::DOUBLE), (0.0505::DOUBLE)) v(cap) WHERE over_redaction <= cap) SELECT system, cap, threshold, leak_docs FROM r WHERE n = 1")
 def matched_points(spark, sf_dir):
     x = read(spark, sf_dir, "lineitem", "l_returnflag", "l_quantity", "l_tax", "l_discount").groupBy(F.col("l_returnflag").alias("system"), F.col("l_quantity").alias("threshold")).agg(F.count_if(F.col("l_tax") < 0.03).alias("leak_docs"), F.avg("l_discount").alias("over_redaction"))
     return stats.matched_points(x, [0.049, 0.0505]).select("system", "cap", "threshold", "leak_docs")
 
 
-@query()
-def d_prime(spark, sf_dir):
-    x = read(spark, sf_dir, "lineitem", "l_quantity", "l_tax", "l_discount").groupBy(F.col("l_quantity").alias("threshold")).agg(F.count_if(F.col("l_tax") < 0.03).alias("hits"), F.count("*").alias("hit_n"), F.count_if(F.col("l_discount") < 0.02).alias("false_alarms"), F.count("*").alias("fa_n"))
-    return stats.d_prime(x)
-
-
 @query()
 def item_response(spark, sf_dir):
     items, _ = stats.item_response(systems(spark, sf_dir), ["a", "b", "c"])
@@ -375,11 +354,18 @@ def tagged_chunks(spark, sf_dir):
     return windows.tagged_chunks(x.select("doc_id", "tok", tag.alias("tag"))).select("doc_id", F.col("first").cast("bigint").alias("first_tok"), F.col("end").cast("bigint").alias("end_tok"), "kind")
 
 
-@query()
+@query("""WITH x AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey AS doc_id, l_linenumber AS tok, l_discount * 5 AS pn, l_tax * 5 AS pd FROM (SELECT l_orderkey, l_linenumber, min(l_discount) AS l_discount, min(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2)),
+t AS (SELECT doc_id, tok, pn + pd AS mass, CASE WHEN pn > pd THEN 'NAME' ELSE 'DATE' END AS category FROM x), k AS (SELECT *, CASE WHEN mass >= 0.35 THEN 'hit' WHEN mass >= 0.08 THEN 'maybe' END AS kind FROM t),
+g AS (SELECT *, coalesce(lag(tok) OVER w = tok - 1 AND lag(kind) OVER w = kind AND lag(category) OVER w = category, false) AS glued FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY tok)),
+i AS (SELECT *, sum((NOT glued)::INT) OVER (PARTITION BY doc_id ORDER BY tok) AS island FROM g)
+SELECT doc_id, min(tok * 6)::BIGINT AS span_start, max(tok * 6 + 5)::BIGINT AS span_end, any_value(category) AS category, any_value(kind) AS kind, round(avg(mass), 6) AS confidence FROM i GROUP BY doc_id, island""")
 def decode_tokens(spark, sf_dir):
     x = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax")
-    base = x.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("tok"), (F.col("l_linenumber") * 6).alias("start"), (F.col("l_linenumber") * 6 + 5).alias("end"), F.lit(" ").alias("gap"), F.explode(F.array(F.struct(F.lit("NAME").alias("category"), (F.col("l_discount") * 5).alias("p")), F.struct(F.lit("DATE").alias("category"), (F.col("l_tax") * 5).alias("p")))).alias("c"))
-    return named(windows.decode(base.select("doc_id", "tok", "start", "end", "gap", "c.category", "c.p").dropDuplicates(["doc_id", "tok", "category"]), 0.35, 0.08))
+    one = x.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("tok")).agg(F.min("l_discount").alias("d"), F.min("l_tax").alias("t"))
+    classes = F.array(F.struct(F.lit("NAME").alias("category"), (F.col("d") * 5).alias("p")), F.struct(F.lit("DATE").alias("category"), (F.col("t") * 5).alias("p")))
+    tokens = one.select("doc_id", "tok", (F.col("tok") * 6).alias("start"), (F.col("tok") * 6 + 5).alias("end"), F.lit(" ").alias("gap"), F.inline(classes))
+    out = windows.decode(tokens, 0.35, 0.08)
+    return longs(named(out)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT n_nationkey AS doc_id, 0 AS page, 1 AS seq, greatest(10.0 + 8 * 6 - 2, 0)::DOUBLE AS x, 18.0::DOUBLE AS y, (length(n_name) * 8 + 4)::DOUBLE AS w, 14.0::DOUBLE AS h FROM nation")
@@ -417,20 +403,11 @@ def shared_values(spark, sf_dir):
     return synth.shared_values(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), "p_brand")
 
 
-@query()
-def planted_specs(spark, sf_dir):
-    n = read(spark, sf_dir, "customer", "c_custkey").count()
-    return synth.plant_specs(spark, n, 7, [("mrn", "mrn", "{d8}"), ("phone", "phone", "({d3}) 555-{d4}"), ("name", "name", "{fn} {ln}"), ("date", "date", "{mm}/{dd}/{yyyy}")])
-
-
-@query()
-def screen_notes(spark, sf_dir):
-    docs, gold, _ = tables(spark, sf_dir)
-    spans = gold.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return synth.screened(docs.select("doc_id", "text").join(spans, "doc_id")).select("doc_id", F.explode("reasons").alias("r")).select("doc_id", "r.reason", "r.match")
+_BEFORE = "substr(text, greatest(start - 28, 0) + 1, least(start, 28))"
+_CUED = " OR ".join([f"regexp_matches({_BEFORE}, '{synth.CUE}')", *(f"(contains(upper(label), '{k}') AND regexp_matches({_BEFORE}, '(?i)(?:\\b(?:{words})\\b)[\\s:#,(]*$'))" for k, words in synth.LABEL_CUES.items())])
 
 
-@query(f"""{WITH_NOTES}, t AS (SELECT note_id, label, CASE WHEN regexp_matches(lower(substr(text, greatest(start - 28, 0) + 1, least(start, 28))), '(mrn|dob|born|phone|tel|fax|email|ssn|member|account|id|number|no\\.|#|dr\\.?|mr\\.?|mrs\\.?|ms\\.?|patient|name|lives at|address|zip|license|plate|vin|serial)[^a-z0-9]{{0,6}}$') THEN 1 ELSE 0 END AS cue FROM gold JOIN notes USING (note_id)) SELECT label, sum(cue)::BIGINT AS cued, count(*) AS n FROM t GROUP BY label""")
+@query(f"{WITH_NOTES}, t AS (SELECT note_id, label, CASE WHEN {_CUED} THEN 1 ELSE 0 END AS cue FROM gold JOIN notes USING (note_id)) SELECT label, sum(cue)::BIGINT AS cued, count(*) AS n FROM t GROUP BY label")
 def difficulty_tags(spark, sf_dir):
     docs, gold, _ = tables(spark, sf_dir)
     tagged = synth.difficulty_tags(gold.join(docs.select("doc_id", "text"), "doc_id"))

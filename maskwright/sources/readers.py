@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TEXT_KEYS, SPAN_KEYS, LABEL_KEYS = ("text", "source_text", "full_text", "document"), ("spans", "entities", "privacy_mask", "labels"), ("label", "entity_type", "type", "entity")
 RAW_SPANS = "array<struct<start: string, end: string, label: string, entity_type: string, type: string, entity: string, kind: string, tags: array<string>>>"
@@ -11,9 +12,22 @@ RAW_SPANS = "array<struct<start: string, end: string, label: string, entity_type
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): lines of a file, blank ones left out, numbered from 1 in file order."""
-    lines = spark.read.text(path)
-    numbered = lines.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))  # order in a file has no DataFrame expression
-    return spark.createDataFrame(numbered, "line bigint, value string").where(F.trim("value") != "")
+    low = (1 << 33) - 1  # an id is the partition's number and, in its low 33 bits, the row's in the partition
+    lines = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
+    lines = lines.select(F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit(low)).alias("__at"), "value")
+    sizes = lines.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each part of the input
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
+    return lines.join(before, "__part").select((F.col("__before") + F.col("__at") + 1).alias("line"), "value").where(F.trim("value") != "")
+
+
+def read_note(spark: SparkSession, stream) -> DataFrame:
+    """(doc_id, text) of all that an open stream holds, as one note."""
+    return spark.createDataFrame([("doc1", stream.read())], "doc_id string, text string")
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first n lines of a file that aren't blank, as they are."""
+    return numbered_lines(spark, path).orderBy("line").limit(n)
 
 
 def string_at(value: Column, key: str) -> Column:
@@ -30,7 +44,7 @@ def parse_documents(lines: DataFrame) -> DataFrame:
     """
     text = F.coalesce(*[string_at(F.col("value"), k) for k in TEXT_KEYS])
     raw = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in SPAN_KEYS], F.lit("[]"))
-    spans = F.coalesce(F.from_json(raw, RAW_SPANS), F.expr(f"cast(array() as {RAW_SPANS})"))
+    spans = F.coalesce(F.when(raw.rlike(r"^\s*\["), F.from_json(raw, RAW_SPANS)), F.expr(f"cast(array() as {RAW_SPANS})"))
     number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int"))
     clean = F.transform(spans, lambda s: F.struct(number(s["start"]).alias("start"), F.least(number(s["end"]), F.length("text")).alias("end"), F.coalesce(*[s[k] for k in LABEL_KEYS], F.lit("")).alias("label"), F.coalesce(s["tags"], F.array().cast("array<string>")).alias("tags")))
     out = lines.withColumn("text", text)
@@ -104,6 +118,13 @@ def read_sweep(spark: SparkSession, path: str) -> DataFrame:
 POLICY = "domain string, title string, basis array<struct<cite: string, summary: string>>, identifiers array<struct<category: string, kinds: array<string>, treatment: string>>, strict boolean, caveats array<string>, note string"
 
 
+SCORECARD = "name string, pass boolean, sets array<struct<set: string, system: string, docs: bigint, recall: double, full: double, leak_docs: bigint, leak_rate: double, over_redaction: double, precision: double>>, gates array<struct<gate: string, set: string, system: string, actual: double, limit: double, pass: boolean>>"
+
+
+def read_scorecard(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCORECARD).json(path, multiLine=True)
+
+
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POLICY).json(path, multiLine=True)
 
@@ -120,10 +141,18 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
 
 
-def normal_spans(rows: DataFrame, text: str, spans: str) -> DataFrame:
-    """Foreign datasets' rows as (text, spans): spans as an array or a JSON string, those without label or ends dropped."""
+def normal_spans(rows: DataFrame, text: str | None = None, spans: str | None = None, seed: int = 0, limit: int | None = None) -> DataFrame:
+    """Foreign datasets' rows as (text, spans): spans as an array or a string, those without label or ends dropped.
+
+    Columns are the first that bear a usual name, unless given; a string is read as JSON, or else as Python's notation. With a
+    limit, that many rows are taken in an order by hash of seed and text.
+    """
+    text, spans = text or next(c for c in TEXT_KEYS if c in rows.columns), spans or next(c for c in SPAN_KEYS if c in rows.columns)
+    if limit is not None:
+        rows = rows.orderBy(F.sha2(F.concat(F.lit(f"{seed}|"), text), 256), text).limit(limit)
     kind = rows.schema[spans].dataType.typeName()
-    array = F.from_json(F.regexp_replace(spans, "'", '"'), RAW_SPANS) if kind == "string" else F.from_json(F.to_json(spans), RAW_SPANS)
+    python = F.regexp_replace(F.regexp_replace(spans, r"(?<=[\[{,: ])'((?:[^'\\\\]|\\\\.)*)'(?=\s*[\]},:])", '"$1"'), r"\bNone\b", "null")
+    array = F.coalesce(F.from_json(spans, RAW_SPANS), F.from_json(python, RAW_SPANS)) if kind == "string" else F.from_json(F.to_json(spans), RAW_SPANS)
     label = lambda s: F.coalesce(*[s[k] for k in LABEL_KEYS])
     kept = F.filter(array, lambda s: label(s).isNotNull() & s["start"].isNotNull() & s["end"].isNotNull())
     return rows.select(F.col(text).alias("text"), F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), label(s).alias("label"))).alias("spans"))
