@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, table
+from .common import TABLES, map_rows, table
 
 #: Longer words are merged with a heap.
 SCAN_UP_TO = 64
@@ -148,6 +148,9 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+TABLES[__name__] = lambda: load.cache_clear()
+
+
 def vocabulary() -> str:
     import public_tokenizers
 

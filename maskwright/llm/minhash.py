@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, map_rows, release, table
+from .common import TABLES, begin_task, cut, fresh_path, map_rows, release, remove, table
 from .graph import components
 
 BANDS, ROWS = 32, 6
@@ -41,6 +41,8 @@ SLACK = 5.0
 UNSETTLED = 32
 #: Shingles of a block on the side of the open members and on the other: at first, and once there are MANY blocks.
 OPEN_BLOCK, BLOCK, MANY = (1 << 14, 1 << 20), (1 << 16, 1 << 22), 16
+#: Shingles that a set counts for at least in a block, and pairs that are estimated at a time.
+LEAST_SIZE, PAIRS = 32, 1 << 20
 #: Columns of the matrices whose product counts common shingles, and pairs up to which they are counted singly.
 COLUMNS, SINGLY = 4_096, 64
 #: Words whose hashes a task remembers.
@@ -65,6 +67,9 @@ def hashes() -> Hashes:
     return Hashes()
 
 
+TABLES[__name__] = lambda: hashes.cache_clear()
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit codes of the k-word shingles of text; of all its words, if fewer."""
     known = hashes()
@@ -179,17 +184,20 @@ def links_of(group: list[Member], k: int, similarity: float) -> list[tuple[int,
     ids_x, ids_y = np.array([m[0] for m in x]), np.array([m[0] for m in y])
     main = np.array([m[2] for m in y])
     sig_x, sig_y = (np.array([m[3] for m in side], dtype=np.int64).view(np.uint64) for side in (x, y))
-    wanted = may_link(sig_x, sig_y, similarity) & (ids_x[:, None] != ids_y) & (main | (ids_x[:, None] > ids_y))
-    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
-    if not len(rows):
-        return []
-    sets_x, sets_y = [shingles(x[i][4], k) for i in rows], [shingles(y[j][4], k) for j in columns]
-    out = []
-    linked = linked_pairs(sets_x, sets_y, wanted[np.ix_(rows, columns)], round(similarity * 100))
-    for i, row in zip(rows.tolist(), linked, strict=True):
-        found = columns[row]
-        in_main = found[main[found]][:1]
-        out.extend((int(ids_x[i]), int(ids_y[j])) for j in [*in_main, *found[~main[found]]])
+    out, step = [], max(1, PAIRS // len(y))
+    set_of = lru_cache(maxsize=None)(lambda j: shingles(y[j][4], k))
+    for at in range(0, len(x), step):
+        ids = ids_x[at : at + step]
+        wanted = may_link(sig_x[at : at + step], sig_y, similarity) & (ids[:, None] != ids_y) & (main | (ids[:, None] > ids_y))
+        rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+        if not len(rows):
+            continue
+        sets_x, sets_y = [shingles(x[at + i][4], k) for i in rows], [set_of(j) for j in columns.tolist()]
+        linked = linked_pairs(sets_x, sets_y, wanted[np.ix_(rows, columns)], round(similarity * 100))
+        for i, row in zip(rows.tolist(), linked, strict=True):
+            found = columns[row]
+            in_main = found[main[found]][:1]
+            out.extend((int(ids[i]), int(ids_y[j])) for j in [*in_main, *found[~main[found]]])
     return out
 
 
@@ -200,8 +208,8 @@ def blocks(total: Column, sizes: tuple[int, int]) -> Column:
 
 def compared(x: DataFrame, y: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (a, b) of the members x(g, id, n) of each group g with the members y(g, id, n, main) of the same group."""
-    counts = x.groupBy("g").agg(F.sum("n").alias("n")).select("g", blocks(F.col("n"), OPEN_BLOCK).alias("xs"))
-    counts = counts.join(y.groupBy("g").agg(F.sum("n").alias("n")).select("g", blocks(F.col("n"), BLOCK).alias("ys")), "g")
+    size = F.sum(F.greatest("n", F.lit(LEAST_SIZE)))
+    counts = x.groupBy("g").agg(blocks(size, OPEN_BLOCK).alias("xs")).join(y.groupBy("g").agg(blocks(size, BLOCK).alias("ys")), "g")
     one = lambda count: F.pmod(F.xxhash64("id", F.lit(3)), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     open_ = x.join(counts, "g").select("g", one("xs").alias("xb"), every("ys").alias("yb"), F.lit(True).alias("open"), F.lit(False).alias("main"), "id")
@@ -209,6 +217,7 @@ def compared(x: DataFrame, y: DataFrame, texts: DataFrame, k: int, similarity: f
     rows = open_.union(other).join(texts, "id").select("g", "xb", "yb", "id", "open", "main", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         now, group = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -245,7 +254,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs(doc_id, text)."""
+    """(doc_id, spot, n_shingles, component_id) of every row of docs(doc_id, text); spot is xxhash64(text)."""
     spark = docs.sparkSession
     rows = cut(signatures(docs, k))
     known = rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -260,11 +269,12 @@ def near_duplicates(docs: DataFrame, k: int, similarity: float = 0.8) -> DataFra
     texts = spark.read.parquet(path)
     release(spark)
     named = components(settle(members, lambda x, y: compared(x, y, texts, k, similarity), similarity))
+    remove(spark, path)  # links and components are written by now
     least = named.join(classes.select("id", "one.doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     alone = classes.select(F.col("id").alias("node"), F.col("one.doc_id").alias("first_id"))
     joined = named.join(least, "component").select(F.col("id").alias("node"), "component_id")
-    whole = rows.select("doc_id", "n", "node").join(alone.join(joined, "node", "left"), "node", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id", "doc_id").alias("component_id"))
+    whole = rows.select("doc_id", "spot", "n", "node").join(alone.join(joined, "node", "left"), "node", "left")
+    return whole.select("doc_id", "spot", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first_id", "doc_id").alias("component_id"))
 
 
 def settle(members: DataFrame, compare: Callable[[DataFrame, DataFrame], DataFrame], similarity: float) -> DataFrame:
