@@ -9,9 +9,9 @@ language is the share of its n-grams in that language's filter, corrected for th
 Training reads a bounded sample: about SAMPLE_ROWS rows of each language, by hash of doc_id. Texts are used whole, in
 training and prediction. Prediction reads nothing but the text.
 
-Defined results: null text, or text without a letter, is "und" with score 0; a text none of whose n-grams is known is
-"und" too; equal scores go to the language first in order. Without any training row, all is "und". Repeated rows and extra
-columns change nothing.
+Defined results: null text, or text without a letter, is "und" with score 0; a text with letters none of whose n-grams is
+known has score 0 and the language with the most rows to learn from; equal scores go to the language first in order. Without
+any training row, all is "und". Repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import begin_task, map_rows, small_batches, table, texts_of
 
 #: Training rows of each language, about: what fitting may gather.
 SAMPLE_ROWS = 2_000
@@ -92,6 +92,7 @@ class Filters:
     languages: list[str]
     rows: np.ndarray  #: bitmask of languages at each bit position, an array for each word of it
     false: np.ndarray  #: false positive rate of each language
+    common: str = UNKNOWN  #: the language with the most rows to learn from
 
     def positions(self, codes: np.ndarray, k: int) -> np.ndarray:
         return ((mixed(codes) * MULTIPLIERS[k]) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -113,25 +114,31 @@ class Filters:
             return UNKNOWN, 0.0
         codes = grams(letters_of(text))
         if not len(codes):
-            return UNKNOWN, 0.0
+            return self.common, 0.0
         masks, n = [self.masks(codes, w) for w in range(len(self.rows))], len(codes)
         hits = np.array([np.count_nonzero(masks[i // WORD_LANGUAGES] & bit(i)) for i in range(len(self.languages))])
         share = np.clip((hits - n * self.false) / (n * (1 - self.false)), 0, 1)
         best = int(share.argmax())
-        return (self.languages[best], float(share[best])) if share[best] > 0 else (UNKNOWN, 0.0)
+        return (self.languages[best], float(share[best])) if share[best] > 0 else (self.common, 0.0)
 
 
-def build(counts: dict[str, dict[int, int]]) -> Filters:
-    """Filters of each language's typical grams, from its counts by gram code."""
+def typical(counts: dict[str, dict[int, int]]) -> dict[str, np.ndarray]:
+    """The grams of each language that its filter holds, from its counts by gram code."""
     languages = sorted(counts)
     total = {x: max(1, sum(counts[x].values())) for x in languages}
     most: Counter = Counter()
     for x in languages:
         for g, n in counts[x].items():
             most[g] = max(most[g], n / total[x])
-    held = {x: np.array([g for g, n in counts[x].items() if n / total[x] >= max(LEAST_SHARE, LEAST_RATIO * most[g])], dtype=np.uint64) for x in languages}
+    return {x: np.array([g for g, n in counts[x].items() if n / total[x] >= max(LEAST_SHARE, LEAST_RATIO * most[g])], dtype=np.uint64) for x in languages}
+
+
+def build(counts: dict[str, dict[int, int]], common: str = UNKNOWN) -> Filters:
+    """Bit-sliced filters of each language's typical grams."""
+    held = typical(counts)
+    languages = sorted(held)
     size = 1 << max(10, int(BITS_PER_GRAM * max((len(h) for h in held.values()), default=1) - 1).bit_length())
-    f = Filters(languages, np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), size), dtype=np.int64), np.zeros(len(languages)))
+    f = Filters(languages, np.zeros((max(1, -(-len(languages) // WORD_LANGUAGES)), size), dtype=np.int64), np.zeros(len(languages)), common)
     for i, x in enumerate(languages):
         word = f.rows[i // WORD_LANGUAGES]
         for k in range(HASHES):
@@ -140,14 +147,22 @@ def build(counts: dict[str, dict[int, int]]) -> Filters:
     return f
 
 
+#: Values of a column up to which their counts are broadcast.
+FEW_VALUES = 10_000
+
+
 def sample(rows: DataFrame, by: str, per: int, key: str = "doc_id") -> DataFrame:
     """About `per` rows of each value of `by`, by hash of the key: a share of each, from one count by value."""
-    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).limit(10_000).collect()}
-    fraction = F.lit(1.0)
-    for value, n in sizes.items():
-        if n > per:
-            fraction = F.when(F.col(by) == value, F.lit(per / n)).otherwise(fraction)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) < fraction * (1 << 20))
+    sizes = sizes_of(rows, by)
+    known = sizes.limit(FEW_VALUES + 1).collect()
+    if len(known) <= FEW_VALUES:  # then they are sent to every task; else no value is frequent enough to skew a join on it
+        sizes = F.broadcast(rows.sparkSession.createDataFrame(known, sizes.schema))
+    return rows.join(sizes.select(by, (F.lit(per << 20) / F.col("rows")).alias("most")), by).where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 20)) < F.col("most")).select(*rows.columns)
+
+
+def sizes_of(rows: DataFrame, by: str) -> DataFrame:
+    """(by, rows): how many rows hold each value."""
+    return rows.groupBy(by).agg(F.count("*").alias("rows"))
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
@@ -156,7 +171,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
     def count(batches):
         counts: dict[str, Counter] = {}
         for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, lang in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 found, n = np.unique(grams(letters_of(text)), return_counts=True)
                 own = counts.setdefault(lang, Counter())
                 for g, k in zip(found.view(np.int64).tolist(), n.tolist(), strict=True):
@@ -167,14 +182,16 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Filters:
                 part = items[at : at + 10_000]
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(part), "gram": [g for g, _ in part], "n": [k for _, k in part]}, schema=pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]))
 
-    rows = sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), "lang", sample_rows)
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = sample(labelled, "lang", sample_rows)
     sums = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = sums.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = sums.join(F.broadcast(totals), "lang").where(F.col("n") >= LEAST_SHARE * F.col("total"))  # at most 1 / LEAST_SHARE grams a language
     counts: dict[str, dict[int, int]] = {}
     for r in kept.select("lang", "gram", "n").toArrow().to_pylist():
         counts.setdefault(r["lang"], {})[r["gram"] & (2**64 - 1)] = r["n"]
-    return build(counts)
+    common = sizes_of(labelled, "lang").orderBy(F.desc("rows"), "lang").limit(1).collect()
+    return build(counts, common[0]["lang"] if common else UNKNOWN)
 
 
 def part_of(doc_id: Column, modulus: int) -> Column:
@@ -196,18 +213,20 @@ def predictions(docs: DataFrame, filters: Filters) -> DataFrame:
 
 def rejected(filters: Filters, text: str | None, least: float) -> bool:
     """Whether a text has no language, or too small a share of known n-grams."""
-    lang, score = filters.predict(text)
-    return lang == UNKNOWN or score < least
+    score = filters.predict(text)[1]
+    return not score or score < least
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least: float) -> DataFrame:
     """Rows of docs whose language is identified with a score of `least` or more."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(filters)
     spot = docs.columns.index("text")
 
     def run(batches):
+        begin_task(__name__)
         for b in batches:
-            yield b.filter(pa.array([not rejected(held.value, t, least) for t in b.column(spot).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not rejected(held.value, t, least) for t in texts_of(b.column(spot))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
