@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, map_rows, table
+from .common import TABLES, begin_task, cut, map_rows, small_batches, table, texts_of
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -48,6 +48,8 @@ WORD = re.compile(r"[^\W\d_]{3,40}")
 #: Hosts in web and mail addresses, and their bits; signs between words, and theirs.
 HOST, HOST_BITS = re.compile(r"(?:https?://|@)[a-z0-9-]+(?:\.[a-z0-9-]+)+", re.IGNORECASE | re.ASCII), 10.0
 SIGNS, SIGN_BITS = "-_./", 3.0
+#: Longest value whose bits a task remembers.
+REMEMBERED_LENGTH = 64
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LOOKALIKE = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
@@ -83,7 +85,8 @@ def alphabet(value: str) -> int:
 
 
 def bits_of(value: str, ranks: dict[str, int], longest: int) -> float:
-    """Bits of the cheapest segmentation of value; linear in its length but for matches of bounded length."""
+    """Bits of the cheapest segmentation of value, in time linear in its length: words have a bounded length, and how far a
+    block of each width comes again is found in one pass from the end."""
     n, low = len(value), value.lower()
     plain = low.translate(LOOKALIKE)
     per_char = math.log2(alphabet(value))
@@ -104,6 +107,13 @@ def bits_of(value: str, ranks: dict[str, int], longest: int) -> float:
             if i - walk_start >= 4:
                 runs.setdefault(walk_start, []).append((i, math.log2(47 * 8) + (i - walk_start)))
             walk_start = i
+    again = []  # for each width, how many characters from each position on equal the one a width behind
+    for width in range(2, 9):
+        equal = [0] * (n + 1)
+        for i in range(n - width - 1, -1, -1):
+            if value[i] == value[i + width]:
+                equal[i] = equal[i + 1] + 1
+        again.append((width, equal))
     for i in range(n):
         step(i, i + 1, per_char)  # a brute-force span grows by characters
         for j, bits in runs.get(i, ()):
@@ -118,11 +128,9 @@ def bits_of(value: str, ranks: dict[str, int], longest: int) -> float:
             step(i, m.end(), HOST_BITS)
         if value[i].isdigit() and (m := DATE.match(value, i)):
             step(i, m.end(), math.log2(365 * 100 if m.end() - i > 4 else 100))
-        for width in range(2, min(8, (n - i) // 2) + 1):  # a short block that comes again and again
-            if value[i : i + width] == value[i + width : i + 2 * width]:
-                k = 2
-                while value[i + k * width : i + (k + 1) * width] == value[i : i + width]:
-                    k += 1
+        for width, equal in again:  # a short block that comes again and again
+            if equal[i] >= width:
+                k = 1 + equal[i] // width
                 step(i, i + k * width, width * per_char + math.log2(k) + 1)
     return best[n]
 
@@ -135,7 +143,8 @@ class Guesser:
         for k, w in enumerate(corpus):
             ranks[w] = min(k + 1, ranks.get(w, k + 1))
         longest = max(map(len, ranks))
-        self.bits = lru_cache(maxsize=65_536)(lambda value: bits_of(value, ranks, longest))
+        remembered = lru_cache(maxsize=65_536)(lambda value: bits_of(value, ranks, longest))
+        self.bits = lambda value: remembered(value) if len(value) <= REMEMBERED_LENGTH else bits_of(value, ranks, longest)
 
 
 @lru_cache(maxsize=1)
@@ -143,6 +152,14 @@ def fixed() -> Guesser:
     return Guesser([])
 
 
+def forget() -> None:
+    fixed.cache_clear()
+    fixed_ranks.cache_clear()
+
+
+TABLES[__name__] = forget
+
+
 def guess_bits(value: str) -> float:
     return fixed().bits(value)
 
@@ -184,9 +201,10 @@ def corpus_words(docs: DataFrame) -> list[str]:
         def rows():
             return pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
+        begin_task(__name__)
         counts: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in texts_of(b.column(0)):
                 counts.update(set(WORD.findall(CONTEXT.sub(" ", text or "").lower())))
                 if len(counts) >= COUNTED:
                     yield rows()
@@ -220,15 +238,17 @@ def redact(text: str, mark: str = "[SECRET]", guesser: Guesser | None = None) ->
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with the secrets in text replaced; every other column but n_chars, the new length, as it was."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     spot = names.index("text")
     schema = docs.limit(0).toArrow().schema
     words = known_words(docs)
 
     def run(batches):
+        begin_task(__name__)
         guesser = words()
         for b in batches:
-            texts = [None if t is None else redact(t, guesser=guesser) for t in b.column(spot).to_pylist()]
+            texts = [None if t is None else redact(t, guesser=guesser) for t in texts_of(b.column(spot))]
             columns = list(b.columns)
             columns[spot] = pa.array(texts, b.schema.field(spot).type)
             if "n_chars" in names:
