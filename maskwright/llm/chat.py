@@ -7,7 +7,8 @@ ancestors) and the intervals of the packed text that it may attend to (its ances
 written again in the next pack, which bounds a pack without any cap on the conversations below a turn.
 
 Template: "### " role ":\n" text "</turn>\n". Inside roles and texts, "\\", "#" and "</turn>" get a "\\" before them, inside
-roles ":" too; that is reversible and leaves no bare control string.
+roles ":" too; that is reversible and leaves no bare control string. The loss mask of a turn is the interval of its escaped
+text alone: neither role nor control strings are under it. Positions and intervals count characters.
 
 Defined results: null role or text counts as empty; turns go by turn, role, text with null turns first; repeated rows
 are turns of their own; rows with a null conv_id form one conversation. Only assistant turns are under the loss mask.
@@ -42,8 +43,13 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def parts_of_turn(role: str, text: str) -> tuple[str, str, str]:
+    """What stands before a turn's escaped text, that text, and what stands after it."""
+    return f"### {escape(role, ROLE_CONTROL)}:\n", escape(text), "</turn>\n"
+
+
 def format_turn(role: str, text: str) -> str:
-    return f"### {escape(role, ROLE_CONTROL)}:\n{escape(text)}</turn>\n"
+    return "".join(parts_of_turn(role, text))
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -57,10 +63,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-NODE = pa.struct([("parent", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("loss", pa.bool_())])
+SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+NODE = pa.struct([("parent", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(SPAN)), ("loss", SPAN)])
 LEAF = pa.struct([("conv_key", pa.string()), ("node", pa.int32())])
 PACKS = pa.schema([("text", pa.string()), ("nodes", pa.list_(NODE)), ("leaves", pa.list_(LEAF))])
-PACKS_DDL = "text string, nodes array<struct<parent: int, start: int, end: int, position: int, attends: array<struct<start: int, end: int>>, loss: boolean>>, leaves array<struct<conv_key: string, node: int>>"
+PACKS_DDL = "text string, nodes array<struct<parent: int, start: int, end: int, position: int, attends: array<struct<start: int, end: int>>, loss: struct<start: int, end: int>>>, leaves array<struct<conv_key: string, node: int>>"
 
 
 def pack(pack_chars: int):
@@ -87,12 +94,13 @@ def pack(pack_chars: int):
                 del path[shared:]
                 for turn in turns[shared:]:
                     parent = path[-1][1] if path else -1
-                    written = format_turn(*turn)
+                    head, body, tail = parts_of_turn(*turn)
+                    written = head + body + tail
                     above = nodes[parent] if path else None
                     attends = [*above["attends"], {"start": above["start"], "end": above["end"]}] if above else []
                     if len(attends) > 1 and attends[-2]["end"] == attends[-1]["start"]:
                         attends[-2:] = [{"start": attends[-2]["start"], "end": attends[-1]["end"]}]
-                    nodes.append({"parent": parent, "start": size, "end": size + len(written), "position": above["position"] + above["end"] - above["start"] if above else 0, "attends": attends, "loss": turn[0] == "assistant"})
+                    nodes.append({"parent": parent, "start": size, "end": size + len(written), "position": above["position"] + above["end"] - above["start"] if above else 0, "attends": attends, "loss": {"start": size + len(head), "end": size + len(head) + len(body)} if turn[0] == "assistant" else None})
                     path.append((turn, len(nodes) - 1))
                     parts.append(written)
                     size += len(written)
@@ -117,7 +125,7 @@ def prefix_packs(convs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
 
 
 def unpack(packs: DataFrame, of, schema: pa.Schema, ddl: str) -> DataFrame:
-    """Each conversation of packs, its formatted text gathered along its path: of(conv_key, formatted, loss intervals) -> row."""
+    """Each conversation of packs, its formatted text gathered along its path: of(conv_key, formatted, intervals of it under the loss mask) -> row."""
 
     def setup():
         def rows(text, nodes, leaves):
@@ -127,7 +135,7 @@ def unpack(packs: DataFrame, of, schema: pa.Schema, ddl: str) -> DataFrame:
                     path.append(nodes[at])
                     at = nodes[at]["parent"]
                 path.reverse()
-                yield of(leaf["conv_key"], "".join(text[n["start"] : n["end"]] for n in path), [(n["position"], n["position"] + n["end"] - n["start"]) for n in path if n["loss"]])
+                yield of(leaf["conv_key"], "".join(text[n["start"] : n["end"]] for n in path), [(n["position"] + n["loss"]["start"] - n["start"], n["position"] + n["loss"]["end"] - n["start"]) for n in path if n["loss"]])
 
         return rows
 
@@ -136,7 +144,7 @@ def unpack(packs: DataFrame, of, schema: pa.Schema, ddl: str) -> DataFrame:
 
 def digest_row(key: str, formatted: str, loss: list[tuple[int, int]]) -> tuple:
     turns = read_turns(formatted)
-    masked = "".join(text for a, b in loss for _, text in read_turns(formatted[a:b]))
+    masked = "".join(unescape(formatted[a:b]) for a, b in loss)
     whole = "".join(f"{role}\n{text}\n" for role, text in turns)
     return key, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(formatted)
 
