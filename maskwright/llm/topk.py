@@ -11,7 +11,8 @@ one task's work. Nothing is broadcast.
 Defined results: vectors that are null, empty of meaning (null or non-finite components) take no part; vectors of unequal
 length are compared as if padded with zeros; equal scores go to the smaller vec_id; a query's own vec_id is no candidate,
 however often it occurs; repeated rows are candidates of their own, but a query whose vec_id comes repeatedly is asked
-once, with its lowest vector. Components too large for exact arithmetic in doubles go through Python's integers.
+once, with its lowest vector. Components too large for exact arithmetic in doubles go through Python's integers; a
+score beyond 64 bits counts as the nearest long. A component whose 256-fold is beyond a double's range is not finite. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import table
 
 #: Queries of a block, and rows of a shard (by hash of the vector).
-BLOCK, SHARD = 2_048, 8_192
+BLOCK, SHARD = 16_384, 8_192
 #: Share of a query's bound that its essential terms hold at first.
 ESSENTIAL = 0.5
 
@@ -41,7 +42,8 @@ def matrix(rows: pd.Series) -> np.ndarray:
 def plain(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
     """Scores by Python's integers, for components beyond exact doubles."""
     q = [int(x) for x in q]
-    scored = [(-sum(a * int(b) for a, b in zip(q, v, strict=True)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != own]
+    exact = ((sum(a * int(b) for a, b in zip(q, v, strict=True)), int(i)) for i, v in zip(ids, vectors, strict=True) if i != own)
+    scored = [(-max(-(2**63), min(2**63 - 1, s)), i) for s, i in exact]
     return [(i, -s) for s, i in sorted(scored)[:k]]
 
 
@@ -116,7 +118,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK, sh
 def integer_vectors(rows: DataFrame) -> DataFrame:
     """Rows whose vectors are whole and finite, components turned into floor(256 x)."""
     x = F.transform("embedding", lambda c: c.cast("double"))
-    good = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * 256) != float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select("vec_id", F.transform(x, lambda c: F.rint(c * 256 - F.pmod(c * 256, F.lit(1.0)))).alias("v"))
 
 
