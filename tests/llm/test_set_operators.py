@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -234,8 +235,11 @@ def test_chat_packs(spark):
                 assert n.position == seen and all(a.end <= n.start for a in n.attends)
     shared = sum(len(p.text) for p in chat.prefix_packs(convs, 10**6).collect())
     assert shared < sum(len(chat.format_turn(r[2] or "", r[3] or "")) for r in rows)
-    import pyarrow as pa
-
+    for p in chat.prefix_packs(convs, 60).collect():  # the mask holds assistants' texts and nothing else
+        for n in p.nodes:
+            role, text = chat.read_turns(p.text[n.start : n.end])[0]
+            assert (n.loss is not None) == (role == "assistant")
+            assert n.loss is None or chat.unescape(p.text[n.loss.start : n.loss.end]) == text
     schema = pa.schema([("conv_key", pa.string()), ("formatted", pa.string())])
     got = {r.conv_key: r.formatted for r in chat.unpack(chat.prefix_packs(convs, 60), lambda k, f, loss: (k, f), schema, "conv_key string, formatted string").collect()}
     for r in convs.collect():
@@ -300,6 +304,8 @@ def test_top_k_against_brute_force(spark):
     for x in topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5, block=3, shard=100).orderBy("query_id", "rank").collect():
         got[x.query_id].append((-x.score, x.vec_id))
     assert got == want
+    huge = topk.integer_vectors(spark.createDataFrame([(i, [s * 3e7] * 384) for i, s in ((0, 1.0), (1, 2.0), (2, 3.0), (3, -1.0), (4, 1e308))], "vec_id long, embedding array<double>"))
+    assert [(x.vec_id, x.score) for x in topk.top_k(huge.where("vec_id = 0"), huge, 5).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63))]
     few = vectors.where("vec_id < 3")
     assert topk.top_k(few, few, 5).count() == 6
     assert topk.top_k(vectors.limit(0), vectors, 5).count() == 0 and topk.top_k(few, vectors.limit(0), 5).count() == 0

@@ -75,6 +75,54 @@ def test_language_filters(spark):
     assert langid.train(rows.limit(0)).predict("the") == ("und", 0.0)
 
 
+def plain_language(counts, common, text):
+    """The language with the greatest share of the text's n-grams among its typical ones, and that share."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    pieces = re.findall(r"[^\W\d_]+", text.lower())
+    grams = [g for p in pieces for w in [f" {p} "] for n in langid.SIZES for g in (w[i : i + n] for i in range(len(w) - n + 1))]
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    most = {g: max(c[g] / total[x] for x, c in counts.items()) for c in counts.values() for g in c}
+    held = {x: {g for g in c if c[g] / total[x] >= max(langid.LEAST_SHARE, langid.LEAST_RATIO * most[g])} for x, c in counts.items()}
+    share = {x: sum(g in held[x] for g in grams) / len(grams) for x in sorted(counts)}
+    best = max(share, key=lambda x: share[x])
+    return (best, share[best]) if share[best] else (common, 0.0)
+
+
+def test_languages_against_plain_counts(spark):
+    r = random.Random(21)
+    stock = {x: ["".join(r.choice(letters) for _ in range(r.randrange(2, 8))) for _ in range(60)] for x, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "äöüabij"))}
+    make = lambda x: " ".join(r.choice(stock[x] if r.random() < 0.8 else stock["aa"]) for _ in range(r.randrange(3, 40)))
+    rows = [(i, make(x), x, "s", 1) for i, x in enumerate(["aa", "bb", "cc", "cc"] * 30)]
+    filters = langid.train(spark.createDataFrame(rows, DOCS))
+    counts = {x: defaultdict(int) for x in stock}
+    for _, t, x, *_ in rows:
+        for w in (f" {p} " for p in t.split()):
+            for n in langid.SIZES:
+                for i in range(len(w) - n + 1):
+                    counts[x][w[i : i + n]] += 1
+    for text in [*(make(x) for x in stock for _ in range(60)), "", "12 !!", "日本 語", "x", "1a2", "Ä", None]:
+        want, share = plain_language(counts, "cc", text)
+        got, score = filters.predict(text)
+        assert got == want and abs(score - share) < 0.05, text
+    assert filters.predict("東京は日本の首都です") == ("cc", 0.0)
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark):
+    long = "the old man and the garden " * 40_000
+    names = "doc_id long, text string, lang string, score double, n long, toxic int, rows long, most double, word string"
+    rows = spark.createDataFrame([(1, long, "en", 0.0, 1, 1, 1, 0.0, "w"), (1, long, "en", 0.0, 1, 1, 1, 0.0, "w"), (2, "der alte mann", "de", 0.0, 1, 0, 1, 0.0, "w"), (3, None, None, None, None, None, None, None, None), (4, "", "de", 0.0, 1, 0, 1, 0.0, "w")], names)
+    out = [r.lang_pred for r in langid.predictions(rows, langid.train(rows)).orderBy("doc_id").collect()]
+    assert out == ["en", "en", "de", "und", "und"]
+    m = toxicity.train(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert [r.doc_id for r in toxicity.scored(rows, m).orderBy("doc_id").collect()] == [1, 1, 2, 3, 4]
+    assert toxicity.scored(rows.limit(0), m).count() == 0
+    assert [r.base for r in secrets.scan(rows).orderBy("doc_id").collect()] == [""] * 5 and secrets.scan(rows.limit(0)).count() == 0
+    bench = spark.createDataFrame([(1, "the old man and the garden the old man and")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(rows.withColumn("item_id", rows.n), bench).collect()) == [(1, 1), (1, 1)]
+    assert len(bpe.encode(rows, bpe.vocabulary()).orderBy("doc_id").first().ids) == 6 * 40_000
+
+
 def test_language_masks_hold_every_language():
     f = langid.build({"a": {11: 5, 12: 5}, "b": {12: 5, 13: 5}})
     assert f.masks(np.array([11, 12, 13, 999_999], dtype=np.uint64)).tolist()[:3] == [1, 3, 2]
@@ -142,6 +190,47 @@ def test_base_secrets(x):
     assert secrets.base_spans(x) == plain_secrets(x)
 
 
+def plain_bits(value, ranks):
+    """The cheapest of all segmentations, each segment's kinds told by their definitions."""
+    plain, low = value.lower().translate(secrets.LOOKALIKE), value.lower()
+    per = np.log2(secrets.alphabet(value))
+
+    def costs(i, j):
+        part, n = value[i:j], j - i
+        if n == 1:
+            yield per
+            if part in secrets.SIGNS:
+                yield secrets.SIGN_BITS
+        whole_run = n >= 3 and len(set(low[i:j])) == 1 and (i == 0 or low[i - 1] != low[i]) and (j == len(value) or low[j] != low[i])
+        if whole_run:
+            yield per + np.log2(n) + 1
+        walk = lambda k: low[k] in secrets.NEAR.get(low[k - 1], ())
+        if n >= 4 and all(walk(k) for k in range(i + 1, j)) and (i == 0 or not walk(i)) and (j == len(value) or not walk(j)):
+            yield np.log2(47 * 8) + n
+        if n >= 3 and plain[i:j] in ranks:
+            changed = sum(a != b for a, b in zip(part, plain[i:j]))
+            yield np.log2(ranks[plain[i:j]]) + 1 + min(changed, n - changed + 1)
+        if (m := secrets.DATE.match(value, i)) and m.end() == j:
+            yield np.log2(36_500 if n > 4 else 100)
+        if part[0] in "hH@" and (m := secrets.HOST.match(value, i)) and m.end() == j:
+            yield secrets.HOST_BITS
+        for width in range(2, 9):
+            k = n // width
+            if k >= 2 and n == k * width and part == part[:width] * k and value[j : j + width] != part[:width]:
+                yield width * per + np.log2(k) + 1
+
+    best = [0.0] + [np.inf] * len(value)
+    for j in range(1, len(value) + 1):
+        best[j] = min([best[i] + c for i in range(j) for c in costs(i, j)], default=np.inf)
+    return best[-1]
+
+
+@given(st.lists(st.sampled_from(["ab", "a", "aaa", "1", "qwer", "asdf", "2020-01-01", "1999", "password", "p4ss", "-", "x9", "@a.b", "Key", "abab", "123123", "Z"]), min_size=1, max_size=7).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_guess_bits_against_every_segmentation(value):
+    assert abs(secrets.guess_bits(value) - plain_bits(value, secrets.fixed_ranks())) < 1e-6
+
+
 def test_guess_costs_and_spans():
     bits = secrets.guess_bits
     assert bits("password") < bits("password123") < bits("x9$Kq!2mZr") and bits("aaaaaaaaaaaa") < 15 and bits("qwertyuiop") < 25
