@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from ..functions import validators as v
 from . import names
+from .starts import prefixes
 
 # Building blocks of the patterns.
 MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?|JAN(?:UARY)?|FEB(?:RUARY)?|MAR(?:CH)?|APR(?:IL)?|MAY|JUNE?|JULY?|AUG(?:UST)?|SEP(?:T(?:EMBER)?)?|OCT(?:OBER)?|NOV(?:EMBER)?|DEC(?:EMBER)?)"
@@ -51,9 +52,11 @@ class Rule:
     cased: tuple[str, ...] = ()  #: one of these must stand in the text as it is
     capitals: bool = False  #: two capitals must stand together, or with a hyphen or apostrophe between them
     regex: re.Pattern = field(init=False, repr=False, compare=False)
+    heads: frozenset[str] | None = field(init=False, repr=False, compare=False)  #: first letters of all matches, if known
 
     def __post_init__(self):
         object.__setattr__(self, "regex", re.compile(self.pattern))
+        object.__setattr__(self, "heads", prefixes(self.pattern))
 
     def may_match(self, text: str, low: str, n_digits: int, has_capitals: bool) -> bool:
         if n_digits < self.digits or (self.capitals and not has_capitals):
