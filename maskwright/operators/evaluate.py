@@ -7,8 +7,6 @@ All joins are equi-joins on doc_id; a document's spans meet its text once, as ar
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,23 +105,24 @@ def leaking(scored: DataFrame) -> DataFrame:
 def over_redaction(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: clean_chars, clean_redacted, over_redaction (0 without clean characters).
 
-    Clean is what isn't blank and outside every gold span; the measure is of (predictions minus gold), never by character:
-    gold spans of a document are made disjoint, and lengths without blanks are added and taken away.
+    Clean is what isn't blank and outside every gold span; the measure is of (predictions minus gold), never by character: a
+    document's gold spans are made disjoint beside its text, and lengths without blanks are added and taken away. Predictions
+    are disjoint.
     """
-    from .intervals import merge
-
     ink = lambda s, e: F.length(F.regexp_replace(between(F.col("text"), s, e), r"(?U)\s", ""))
-    texts = docs.select("doc_id", "text")
-    disjoint = merge(gold.select("doc_id", "start", "end", F.col("gold_id").alias("seq"), F.lit(0).alias("score")), "doc_id")
-    total = texts.agg(F.sum(F.length(F.regexp_replace("text", r"(?U)\s", ""))).alias("n"))
-    marked = disjoint.join(texts, "doc_id").agg(F.coalesce(F.sum(ink(F.col("start"), F.col("end"))), F.lit(0)).alias("n"))
-    redacted = predicted.select("doc_id", "start", "end").join(texts, "doc_id").agg(F.coalesce(F.sum(ink(F.col("start"), F.col("end"))), F.lit(0)).alias("n"))
-    g = disjoint.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    both = predicted.select("doc_id", "start", "end").join(g, (F.col("doc_id") == F.col("d")) & overlap(F.col("start"), F.col("end"), F.col("s"), F.col("e"))).join(texts, "doc_id")
-    shared = both.agg(F.coalesce(F.sum(ink(F.greatest("start", "s"), F.least("end", "e"))), F.lit(0)).alias("n"))
-    parts = reduce(lambda a, b: a.unionByName(b), (f.select(F.lit(k).alias("k"), "n") for k, f in (("total", total), ("marked", marked), ("redacted", redacted), ("shared", shared))))
-    one = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0))
-    row = parts.agg((one("total") - one("marked")).alias("clean_chars"), (one("redacted") - one("shared")).alias("clean_redacted"))
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    ends = lambda df, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(name))
+    x = docs.select("doc_id", "text").join(ends(gold, "g"), "doc_id", "left").join(ends(predicted, "p"), "doc_id", "left")
+    x = x.select("text", F.coalesce("g", none).alias("g"), F.coalesce("p", none).alias("p"))
+    start = F.expr("named_struct('at', 0, 'kept', cast(array() as array<struct<start: int, end: int>>))")
+    rest = lambda acc, s: F.struct(F.greatest(acc["at"], s["start"]).alias("start"), s["end"].alias("end"))
+    step = lambda acc, s: F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["kept"], F.array(rest(acc, s))).alias("kept"))).otherwise(acc)
+    x = x.select("text", "p", F.aggregate("g", start, step, lambda acc: acc["kept"]).alias("g"))
+    total = lambda spans: F.aggregate(spans, F.lit(0), lambda n, s: n + ink(s["start"], s["end"]))
+    hit = lambda p: F.filter("g", lambda g: overlap(g["start"], g["end"], p["start"], p["end"]))
+    both = F.aggregate("p", F.lit(0), lambda n, p: n + F.aggregate(hit(p), F.lit(0), lambda k, g: k + ink(F.greatest(g["start"], p["start"]), F.least(g["end"], p["end"]))))
+    row = x.select((F.length(F.regexp_replace("text", r"(?U)\s", "")) - total("g")).alias("clean"), (total("p") - both).alias("redacted"))
+    row = row.agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("clean_chars"), F.coalesce(F.sum("redacted"), F.lit(0)).alias("clean_redacted"))
     return row.withColumn("over_redaction", F.coalesce(F.try_divide("clean_redacted", "clean_chars"), F.lit(0.0)))
 
 
