@@ -22,7 +22,7 @@ COUNTED = {"d": DIGITS, "D": DIGITS[1:], "L": LOWER.upper(), "l": LOWER, "x": DI
 SINGLE = {"yyyy": "(?:19|20)[0-9]{2}", "yy": "[0-9]{2}", "mm": "(?:0[1-9]|1[0-2])", "dd": "(?:0[1-9]|1[0-9]|2[0-8])", "Month": "(?:" + "|".join(MONTHS) + ")", "Mon": "(?:" + "|".join(m[:3] for m in MONTHS) + ")", "do": "(?:[1-9]|1[0-9]|2[0-8])(?:st|nd|rd|th)", "fn": "[A-Z][a-z]+", "ln": "[A-Z][a-z]+", "fi": "[A-Z]", "c": "[A-Z0-9]", "a": "[A-Za-z]", "n": "[1-9][0-9]*"}
 TOKEN = re.compile(r"\{(?:([dDLlxwh])([0-9]*)|(yyyy|yy|mm|dd|Month|Mon|do|fn|ln|fi|c|a|n))\}")
 GIVEN = "Adela Anton Birgit Bruno Carla Cedric Dagmar Dorian Edda Elias Fabia Fergus Gesa Gideon Helma Hugo".split()
-FAMILY = "Achterberg Balogun Cardwell Dahlgren Ellingson Farkas Gerritsen Holloway Isakov Jankowski Kettering Lundberg Mahoney Nakagawa Oyelaran Pemberton".split()
+FAMILY = "Achterberg Balogun Cardwell Dahlgren Ellingson Farkas Gerritsen Holloway Isakov Jankowski Kettering Lundberg Mahoney Nakagawa Oyelaran Pemberton Rose Page Marks Bell".split()  # the last four are words as well
 
 
 def ordinal(day: int) -> str:

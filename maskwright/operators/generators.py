@@ -46,28 +46,63 @@ SUFFIX = {"full": "", "last": "_LAST", "first": "_FIRST", "initial": "_INIT", "l
 ROADS, PLACES = "Birch Cedar Elder Hazel Maple Poplar Rowan Willow".split(), "Ashmere Bellhaven Dunwick Foxglove Greywater Ivywood Lowmoor Westerby".split()
 
 
-def kinds(*rows: tuple[str, str, str]) -> list[tuple[str, str, tuple[Part, ...]]]:
+Forms = tuple[tuple[Part, ...], ...]
+
+
+def kinds(*rows: tuple) -> list[tuple[str, str, tuple[Part, ...]]]:
     return [(kind, label, parts_of(pattern)) for kind, label, pattern in rows]
 
 
+def deck(*rows: tuple) -> list[tuple[str, str, Forms]]:
+    """(kind, label, forms) of rows (kind, label, patterns or parts …)."""
+    return [(kind, label, tuple(parts_of(f) if isinstance(f, str) else f for f in forms)) for kind, label, *forms in rows]
+
+
+def routing_numbers(n: int) -> tuple[str, ...]:
+    """Routing numbers whose check digit is right."""
+    bodies = (f"{110_000_00 + 7919 * i:08}" for i in range(n))
+    return tuple(b + str(-sum(w * int(d) for w, d in zip((3, 7, 1, 3, 7, 1, 3, 7), b)) % 10) for b in bodies)
+
+
 _road = (Part(tuple(str(n) for n in range(1, 300)), "n"), lit(" "), Part(tuple(ROADS), "r"), lit(" Street"))
 _place, _age = (Part(tuple(PLACES), "p"),), (Part(tuple(str(a) for a in range(90, 104)), "a"),)
-#: (kind, label, parts) of the test deck, and of the deck for training: other formats for the same labels.
-DECK = [
-    *kinds(("date", "DATE", "{mm}/{dd}/{yyyy}"), ("date_named", "DATE", "{Mon} {do}, {yyyy}"), ("dob", "DATE", "{dd}.{mm}.{yyyy}"), ("phone", "PHONE", "({d3}) 555-{d4}"), ("email", "EMAIL", "{l6}.{l4}@mail.example.org")),
-    ("address", "ADDRESS", _road),
+_months, _days = ("{Month}", "{Mon}"), ("{dd}", "{do}")
+#: (kind, label, forms) of the test deck; a value is of one of its kind's forms.
+DECK = deck(
+    ("date", "DATE", "{mm}/{dd}/{yyyy}", "{mm}-{dd}-{yy}", "{dd}.{mm}.{yyyy}", *(f"{m} {d}, {{yyyy}}" for m in _months for d in _days), "{dd} {Mon} {yyyy}", "{Month} {yyyy}"),
+    ("dob", "DATE", "{mm}/{dd}/{yyyy}", "{dd} {Month} {yyyy}"),
+    ("phone", "PHONE", "({d3}) 555-{d4}", "{d3}-555-{d4}", "{d3} 555 {d4}", "+1 {d3} 555 {d4}", "1-{d3}-555-{d4}", "({d3})555-{d4}"),
+    ("email", "EMAIL", "{l6}.{l4}@mail.example.org", "{l5}{d2}@post.example.net"),
+    ("address", "ADDRESS", _road, (*_road, lit(", Apt "), *parts_of("{d1}{L1}"))),
     ("city", "LOCATION", _place),
-    *kinds(("zip", "ZIP", "{D1}{d4}"), ("mrn", "MRN", "{d8}")),
-    ("org", "ORG", (*_place, lit(" Clinic"))),
+    ("zip", "ZIP", "{D1}{d4}"),
+    ("mrn", "MRN", "{d8}", "{L2}{d6}"),
+    ("org", "ORG", (*_place, lit(" Clinic")), (*_place, lit(" Partners"))),
     ("old_age", "AGE", _age),
-    *kinds(("fax", "FAX", "{d3}-555-{d4}"), ("ssn", "SSN", "{D1}{d2}-{d2}-{d4}"), ("plan", "PLAN", "{L3}{d6}{L1}"), ("account", "ACCOUNT", "{d10}"), ("accession", "ACCOUNT", "{L2}-{d2}-{d5}"), ("license", "LICENSE", "{L1}{d7}"), ("device", "DEVICE", "{L3}-{d6}"), ("vin", "VEHICLE", "1{L2}{h2}{d5}{L1}{d6}"), ("plate", "VEHICLE", "{L3} {d4}"), ("url", "URL", "https://portal.example.org/{l8}"), ("ip", "IP", "10.{n}.{n}.{n}")),
-]
+    ("fax", "FAX", "{d3}-555-{d4}"),
+    ("ssn", "SSN", "{D1}{d2}-{d2}-{d4}"),
+    ("plan", "PLAN", "{L3}{d6}{L1}", "{d4}-{d4}"),
+    ("account", "ACCOUNT", "{d10}"),
+    ("accession", "ACCOUNT", "{L2}-{d2}-{d5}"),
+    ("routing", "ACCOUNT", (Part(routing_numbers(40), "b"),)),
+    ("claim", "ACCOUNT", "CLM{d7}"),
+    ("license", "LICENSE", "{L1}{d7}"),
+    ("passport", "LICENSE", "{L1}{d8}"),
+    ("device", "DEVICE", "{L3}-{d6}"),
+    ("employee", "ID", "E-{d5}"),
+    ("docket", "ID", "{d1}:{d2}-cv-{d5}"),
+    ("vin", "VEHICLE", "1{L2}{h2}{d5}{L1}{d6}"),
+    ("plate", "VEHICLE", "{L3} {d4}"),
+    ("url", "URL", "https://portal.example.org/{l8}"),
+    ("ip", "IP", "10.{n}.{n}.{n}"),
+)
+#: The deck for training: other forms for the same labels.
 TRAIN_DECK = [
     *kinds(("date", "DATE", "{yyyy}-{mm}-{dd}"), ("phone", "PHONE", "{d3}.555.{d4}"), ("mrn", "MRN", "M-{d6}"), ("zip", "ZIP", "{D1}{d4}-{d4}"), ("plan", "PLAN", "{d3}-{L2}-{d4}"), ("account", "ACCOUNT", "{d4} {d4} {d4}"), ("license", "LICENSE", "{L2}{d6}"), ("device", "DEVICE", "SN{d7}")),
     ("old_age", "AGE", _age),
 ]
 PLATES = kinds(("plate", "VEHICLE", "{L2}-{d3}-{L2}"), ("vin", "VEHICLE", "2{L3}{h2}{d4}{L1}{d6}"))
-SPOKEN = kinds(("phone", "PHONE", "{d1} {d1} {d1} 5 5 5 {d1} {d1} {d1} {d1}"), ("mrn", "MRN", "{d2} {d2} {d2} {d2}"), ("email", "EMAIL", "{l5} dot {l6} at example dot org"), ("date", "DATE", "{Month} {do} {yyyy}"))
+SPOKEN = kinds(("phone", "PHONE", "{d1} {d1} {d1} 5 5 5 {d1} {d1} {d1} {d1}"), ("mrn", "MRN", "{d2} {d2} {d2} {d2}"), ("email", "EMAIL", "{l5} dot {l6} at example dot org"), ("date", "DATE", "{Month} {do} {yyyy}"), ("date", "DATE", "the {do} of {Month}"), ("date", "DATE", "{Month} the {do}"))
 STYLES = [("letter", "a formal letter"), ("notes", "short notes"), ("email", "a thread of messages"), ("dictated", "a dictated memo"), ("chat", "a chat, in lower case"), ("form", "a form with labels"), ("narrative", "a story without labels"), ("ocr", "a scanned page")]
 LENGTHS = ["3-5 sentences", "1-2 short paragraphs", "2-3 paragraphs"]
 #: Clusters of the training spec with their weights in percent, and what each asks of the writer; the rest is mixed.
@@ -146,11 +181,11 @@ def plant_specs(ids: DataFrame, seed: int) -> DataFrame:
         value = case(form, [value_of(literal(FORMS[f]), F.concat(F.col("s"), F.lit(f"|{role}"))) for f in forms])
         return F.struct(F.lit(slot).alias("slot"), case(form, [F.lit(f"NAME_{number}{SUFFIX[f]}") for f in forms]).alias("ph"), value.alias("value"), F.lit("NAME").alias("label"), F.lit("name").alias("kind"), F.lit(role).alias("role"))
 
-    deck = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label"), literal(p).alias("parts")) for k, label, p in DECK])
+    deck = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(label).alias("label"), F.array(*[literal(p) for p in forms]).alias("forms")) for k, label, forms in DECK])
 
     def other(d: Column) -> Column:
         of = F.element_at(deck, ((F.col("doc_id") * 7 + d) % len(DECK)).cast("int") + 1)
-        return F.struct((d + FIRST_DECK).alias("slot"), F.concat(of["label"], F.lit("_"), (d + FIRST_DECK).cast("string")).alias("ph"), value_of(of["parts"], F.concat(F.col("s"), F.lit("|"), d.cast("string"))).alias("value"), of["label"].alias("label"), of["kind"].alias("kind"), of["kind"].alias("role"))
+        return F.struct((d + FIRST_DECK).alias("slot"), F.concat(of["label"], F.lit("_"), (d + FIRST_DECK).cast("string")).alias("ph"), value_of(F.element_at(of["forms"], (draw(F.size(of["forms"]), F.concat(F.col("s"), F.lit("|"), d.cast("string")), "of")).cast("int") + 1), F.concat(F.col("s"), F.lit("|"), d.cast("string"))).alias("value"), of["label"].alias("label"), of["kind"].alias("kind"), of["kind"].alias("role"))
 
     given = F.array_compact(F.array(*[F.when(F.col(f"has{k}"), name(slot, role, number, forms)) for k, (slot, role, number, _, forms) in enumerate(NAME_SLOTS)]))
     rest = F.when(F.col("more") > 0, F.transform(F.sequence(F.lit(0), F.col("more") - 1), other)).otherwise(F.slice(F.transform(F.sequence(F.lit(0), F.lit(0)), other), 1, 0))
@@ -171,7 +206,7 @@ def plant_specs_sql(ids: str, seed: int) -> str:
         rows.append(f"SELECT doc_id, {slot} AS slot, {case_sql(form, [f"'NAME_{number}{SUFFIX[f]}'" for f in forms])} AS ph, {value} AS value, 'NAME' AS label, 'name' AS kind, '{role}' AS role FROM docs WHERE {hit(slot, chance)}")
     turn, own = f"((doc_id * 7 + d) % {len(DECK)})", f"concat({s}, '|', CAST(d AS VARCHAR))"
     label, kind = case_sql(turn, [f"'{x}'" for _, x, _ in DECK]), case_sql(turn, [f"'{k}'" for k, _, _ in DECK])
-    rows.append(f"SELECT doc_id, (d + {FIRST_DECK})::INT AS slot, {label} || '_' || CAST(d + {FIRST_DECK} AS VARCHAR) AS ph, {case_sql(turn, [value_sql(p, own) for *_, p in DECK])} AS value, {label} AS label, {kind} AS kind, {kind} AS role FROM docs, range(0, {MOST_DECK}) r(d) WHERE d < 3 + {draw_sql(10, s, 'target', False)} - ({names})")
+    rows.append(f"SELECT doc_id, (d + {FIRST_DECK})::INT AS slot, {label} || '_' || CAST(d + {FIRST_DECK} AS VARCHAR) AS ph, {case_sql(turn, [case_sql(draw_sql(len(forms), own, 'of', False), [value_sql(p, own) for p in forms]) for *_, forms in DECK])} AS value, {label} AS label, {kind} AS kind, {kind} AS role FROM docs, range(0, {MOST_DECK}) r(d) WHERE d < 3 + {draw_sql(10, s, 'target', False)} - ({names})")
     style = draw_sql(len(STYLES), s, "style", False)
     twice = draw_sql(100, f"concat({s}, '|', CAST(slot AS VARCHAR))", "twice", False)
     return f"WITH docs AS ({ids}), items AS ({' UNION ALL '.join(rows)}) SELECT *, CASE WHEN {twice} < {REPEATED} AND length(value) >= 4 THEN 2 ELSE 1 END AS count, {case_sql(style, [f"'{m}'" for m, _ in STYLES])} AS mode, {case_sql(style, [f"'{t}'" for _, t in STYLES])} AS style, {case_sql(draw_sql(len(LENGTHS), s, 'length', False), [f"'{x}'" for x in LENGTHS])} AS length FROM items"
@@ -297,7 +332,7 @@ class Piece:
 def pieces_of_template(template: str) -> list[Piece]:
     import re
 
-    by_kind = {k: (label, p) for k, label, p in DECK}
+    by_kind = {k: (label, forms[0]) for k, label, forms in DECK}
     said = {k: p for k, _, p in SPOKEN}
     out, at = [], 0
     for m in re.finditer(SLOT, template):

@@ -27,8 +27,8 @@ def page_texts(pages: DataFrame) -> DataFrame:
 def words(pages: DataFrame) -> DataFrame:
     """(doc_id, page, line, word, start, end, box, line_box, line_start, line_len, width, height) in positions of the page text.
 
-    A word's stated place is taken if it holds the word, else the word's first place in its line; lines may name their box
-    `bbox` or `box`.
+    A word's stated place is taken if it holds the word, else the place of the word in its line that is nearest to it; lines
+    may name their box `bbox` or `box`.
     """
     p = pages.select("doc_id", F.posexplode("pages").alias("page", "p")).select("doc_id", "page", "p.width", "p.height", F.col("p.lines").alias("lines"))
     sizes = F.transform("lines", lambda x: F.length(F.coalesce(x["text"], F.lit(""))) + 1)
@@ -36,8 +36,11 @@ def words(pages: DataFrame) -> DataFrame:
     x = p.select("doc_id", "page", "width", "height", "starts", F.posexplode("lines").alias("line", "l"))
     x = x.select("doc_id", "page", "line", "width", "height", F.get("starts", F.col("line")).alias("line_start"), F.col("l.text").alias("line_text"), F.coalesce("l.bbox", "l.box").alias("line_box"), F.posexplode("l.words").alias("word", "w"))
     stated = F.substr("line_text", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")) == F.col("w.text")
-    first = F.instr(F.col("line_text"), F.col("w.text")) - 1
-    at = F.when(stated, F.col("w.start")).when(first >= 0, first)
+    gaps = F.split("line_text", F.concat(F.lit(r"\Q"), F.replace(F.col("w.text"), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    place = lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda n, g: n + F.length(g)) + (k - 1) * F.length("w.text")
+    places = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda k: F.struct(F.abs(place(k) - F.coalesce("w.start", F.lit(0))), place(k).alias("at")))
+    nearest = F.when((F.size(gaps) > 1) & (F.length("w.text") > 0), F.array_min(places)["at"])
+    at = F.when(stated, F.col("w.start")).otherwise(nearest)
     return x.withColumn("at", at).where("at IS NOT NULL").select("doc_id", "page", "line", "word", (F.col("line_start") + F.col("at")).alias("start"), (F.col("line_start") + F.col("at") + F.length("w.text")).alias("end"), F.col("w.box").alias("box"), "line_box", "line_start", F.length("line_text").alias("line_len"), "width", "height")
 
 

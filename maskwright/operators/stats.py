@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import touching
+
 
 def leak_vector(responses: DataFrame) -> DataFrame:
     """(doc, system, leaked) of responses(item, system, outcome); an item is "<doc>#<number>", split at the last #."""
@@ -209,6 +211,14 @@ def gates(scores: DataFrame, baseline_leak: float = 0.0) -> DataFrame:
     return scores.select("set", "system", F.explode(F.filter(all_, lambda g: g.isNotNull())).alias("g")).select("set", "system", "g.gate", "g.actual", "g.limit", "g.pass")
 
 
+def touch_recall(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row: gold entities (doc_id, start, end), those that a predicted one overlaps, and their share."""
+    g = gold.select("doc_id", "start", "end").distinct()
+    hit = touching(g, predicted.select("doc_id", "start", "end").distinct())
+    rows = g.select(F.lit(1).alias("gold"), F.lit(0).alias("touched")).union(hit.select(F.lit(0), F.lit(1)))
+    return rows.agg(F.coalesce(F.sum("gold"), F.lit(0)).alias("gold"), F.coalesce(F.sum("touched"), F.lit(0)).alias("touched")).withColumn("recall", F.try_divide("touched", "gold"))
+
+
 def entity_scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """One row: exact precision, recall and F1 of entities identified by keys."""
     g, p = gold.select(*keys).distinct(), predicted.select(*keys).distinct()

@@ -222,6 +222,30 @@ def mix(sources: dict[str, DataFrame], shares: dict[str, float], total: int, key
     return out
 
 
+def shared_by_pools(pools: dict[str, DataFrame], column: str = "value") -> DataFrame:
+    """(a, b, value): values that two of some pools hold, in lower case; none where pools are kept apart."""
+    all_ = None
+    for name, df in pools.items():
+        one = df.select(F.lit(name).alias("pool"), F.lower(column).alias("value")).where("value IS NOT NULL").distinct()
+        all_ = one if all_ is None else all_.unionByName(one)
+    held = all_.groupBy("value").agg(F.array_sort(F.collect_set("pool")).alias("p")).where(F.size("p") > 1)
+    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter("p", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return held.select("value", F.inline(pairs)).select("a", "b", "value")
+
+
+def trainable(rows: DataFrame, column: str = "split") -> DataFrame:
+    """rows, failing at one whose split is known and isn't train."""
+    sound = F.assert_true(F.coalesce(F.col(column), F.lit("train")) == "train", F.concat(F.lit("split must not be trained on: "), F.col(column)))
+    return rows.where(sound.isNull())
+
+
+def refuse_sealed(paths: list[str]) -> None:
+    """ValueError for a path that names sealed documents anywhere."""
+    for p in paths:
+        if "sealed" in p:
+            raise ValueError(f"{p} is sealed")
+
+
 def refuse_paths(paths: list[str], banned: tuple[str, ...] = ("sealed", "dev", "clin_test", "clin_novel")) -> None:
     """ValueError for a path whose file name says that it must not be trained on."""
     for p in paths:

@@ -308,10 +308,10 @@ def tag_agreement(spark, sf_dir):
     return r.select("tag", "tp", "fp", "fn", F.round("agreement", 9).alias("agreement"))
 
 
-@query("WITH s AS (SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'clin' ELSE 'tpl' END || n_regionkey AS set_, n_name AS system, (n_nationkey % 10) / 1000.0 AS leak, (n_nationkey % 15) / 1000.0 AS over FROM nation) SELECT set_ AS set_name, system, 'over_redaction' AS gate, over <= 0.01 AS pass FROM s UNION ALL SELECT set_, system, 'leak_rate', leak <= 0.005 FROM s WHERE set_ LIKE 'clin%' UNION ALL SELECT set_, system, 'int8_recall', true FROM s")
+@query("WITH s AS (SELECT CASE WHEN n_regionkey % 2 = 0 THEN 'clin' ELSE 'tpl' END || n_regionkey AS set_, n_name AS system, (n_nationkey % 10) / 1000.0 AS leak, (n_nationkey % 15) / 1000.0 AS over, n_nationkey AS k FROM nation) SELECT set_ AS set_name, system, 'over_redaction' AS gate, over <= 0.01 AS pass FROM s UNION ALL SELECT set_, system, 'leak_rate', leak <= 0.005 FROM s WHERE set_ LIKE 'clin%' UNION ALL SELECT set_, system, 'int8_recall', k % 10 <= 5 FROM s")
 def release_gates(spark, sf_dir):
     n = read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
-    s = n.select(F.concat(F.when(F.col("n_regionkey") % 2 == 0, "clin").otherwise("tpl"), F.col("n_regionkey").cast("string")).alias("set"), F.col("n_name").alias("system"), (F.col("n_nationkey") % 10 / 1000.0).alias("leak_rate"), (F.col("n_nationkey") % 15 / 1000.0).alias("over_redaction"), F.lit(0.9).alias("int8_recall"), F.lit(0.901).alias("fp32_recall"))
+    s = n.select(F.concat(F.when(F.col("n_regionkey") % 2 == 0, "clin").otherwise("tpl"), F.col("n_regionkey").cast("string")).alias("set"), F.col("n_name").alias("system"), (F.col("n_nationkey") % 10 / 1000.0).alias("leak_rate"), (F.col("n_nationkey") % 15 / 1000.0).alias("over_redaction"), F.lit(0.9).alias("int8_recall"), (0.9 + F.col("n_nationkey") % 10 / 1000.0).alias("fp32_recall"))
     return stats.gates(s).select(F.col("set").alias("set_name"), "system", "gate", "pass")
 
 

@@ -433,3 +433,37 @@ def reading_order(spark, sf_dir):
     lines = ids(spark, sf_dir).select("doc_id", F.lit(0).alias("page"), F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<bigint>")).alias("i"))
     lines = lines.select("doc_id", "page", "i", ((F.col("doc_id") * 3 + F.col("i") * 11) % 40).cast("double").alias("y"), ((F.col("doc_id") * 5 + F.col("i") * 37) % 1009).alias("x"))
     return ocr.reading_order(lines).select("doc_id", "i", "n")
+
+
+@query("SELECT n_nationkey AS doc_id, 1 AS seq, greatest(10.0 + 8 * (9 + length(n_name)) - 2, 0)::DOUBLE AS x, (length(n_name) * 8 + 4)::DOUBLE AS w FROM nation")
+def misplaced_words(spark, sf_dir):
+    """A word whose stated place doesn't hold it stands at the nearest of its places in the line."""
+    n = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    line = F.concat("n_name", F.lit(" or not "), "n_name")
+    second = F.length("n_name") + 8
+    place = F.struct(F.col("n_name").alias("text"), (second + 2).alias("start"), (second + 2 + F.length("n_name")).alias("end"), F.array(10.0 + 8 * (second + 1), F.lit(20.0), (F.length("n_name") * 8).cast("double"), F.lit(10.0)).alias("box"))
+    page = F.struct(F.lit(6000).alias("width"), F.lit(800).alias("height"), F.array(F.struct(line.alias("text"), F.array(place).alias("words"))).alias("lines"))
+    pages = ocr.parse(n.select(F.col("n_nationkey").alias("doc_id"), "n_name", F.to_json(F.struct(F.array(page).alias("pages"))).alias("json")))
+    spans = n.select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(1).alias("seq"), second.alias("start"), (second + F.length("n_name")).alias("end"))
+    return ocr.boxes(ocr.words(pages), spans).select("doc_id", "seq", "x", "w")
+
+
+@query("WITH p AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'sealed' ELSE 'train' END AS pool, lower(p_brand) AS value FROM part) SELECT a.pool AS a, b.pool AS b, a.value FROM p a JOIN p b ON a.value = b.value AND a.pool < b.pool")
+def pools_apart(spark, sf_dir):
+    p = read(spark, sf_dir, "part", "p_partkey", "p_brand")
+    return synth.shared_by_pools({name: p.where(f"p_partkey % 3 = {k}") for k, name in enumerate(["dev", "sealed", "train"])}, "p_brand")
+
+
+@query(f"{WITH_NOTES} SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM gold g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.note_id = g.note_id AND p.start < g.end_ AND g.start < p.end_)) AS touched")
+def touched_entities(spark, sf_dir):
+    _, gold, pred = tables(spark, sf_dir)
+    return stats.touch_recall(gold, pred).select("gold", "touched")
+
+
+@query("SELECT o_orderkey AS doc_id, n, p >= 0.35 AS hit, p >= 0.08 AND p < 0.35 AS maybe FROM (SELECT o_orderkey, n, ((o_orderkey * 7 + n * 13) % 100) / 100.0 AS p FROM orders, range(0, 4) r(n)) WHERE p >= 0.08")
+def token_hits(spark, sf_dir):
+    """Tokens by their identifier mass: hits from the threshold, maybes from the floor, gaps below."""
+    x = read(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("n"))
+    t = x.select("doc_id", (F.col("n") * 2).alias("tok"), (F.col("n") * 5).alias("start"), (F.col("n") * 5 + 4).alias("end"), F.lit(" ").alias("gap"), F.lit("NAME").alias("category"), ((F.col("doc_id") * 7 + F.col("n") * 13) % 100 / 100.0).alias("p"))
+    out = windows.decode(t, 0.35, 0.08)
+    return out.select("doc_id", (F.col("start") / 5).cast("bigint").alias("n"), (F.col("kind") == "hit").alias("hit"), (F.col("kind") == "maybe").alias("maybe"))
