@@ -153,3 +153,34 @@ def test_reports(spark):
     assert json.loads(sinks.report_json(counts))["overall"]["recall"] == 0.75
     assert evaluate.overall(counts).collect()[0].gold == 4
     assert readers.read_note(spark, io.StringIO("all of it\n")).collect()[0].text == "all of it\n"
+
+
+def test_item_fit_is_a_maximum():
+    import numpy as np
+
+    patterns = np.array([[1.0, 0, 0, 1], [1, 1, 0, np.nan], [0, 1, 1, 0], [1, 1, 1, 0]])
+    counts = np.array([10.0, 7, 3, 5])
+    a, b, theta, _ = stats.fit_2pl(patterns, counts, rounds=2_000, tol=1e-10)
+
+    def goal(la, b, theta):
+        p = 1 / (1 + np.exp(-np.exp(la)[:, None] * (theta[None, :] - b[:, None])))
+        fit = np.where(np.isnan(patterns), 0, np.nan_to_num(patterns) * np.log(p) + (1 - np.nan_to_num(patterns)) * np.log(1 - p)).sum(1)
+        return (counts * (fit - (la**2 + b**2) / 2)).sum() - (theta**2).sum() / 2
+
+    best, la = goal(np.log(a), b, theta), np.log(a)
+    for part in range(3):
+        for i in range(4):
+            for step in (-0.02, 0.02):
+                moved = [la.copy(), b.copy(), theta.copy()]
+                moved[part][i] += step
+                assert goal(*moved) < best + 1e-6
+
+
+def test_redacted_documents_are_spliced(spark):
+    texts = ["MRN: 00482913 and (217) 555-2368.", "", None, "nothing here", "Dr. Karen Whitfield, DOB: 02/11/1961; Whitfield agreed 😀 MRN: 00482913"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in render.tag_redacted(detect.detect(rows), "doc_id").collect():
+        want, at = "", 0
+        for start, end, category, *_ in detect.detect_text(texts[r.doc_id])[0]:
+            want, at = f"{want}{texts[r.doc_id][at:start]}[{category}]", end
+        assert r.redacted == want + (texts[r.doc_id] or "")[at:]
