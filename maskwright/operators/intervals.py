@@ -7,6 +7,8 @@ lists, for use inside an Arrow stage that already holds a document.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,7 +110,9 @@ def fold_merge(spans: list[tuple]) -> list[tuple]:
 
 
 def fold_subtract(a: list[tuple], b: list[tuple]) -> list[tuple]:
-    return [x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
+    """Spans of a that overlap none of b, which are disjoint and sorted."""
+    ends = [y[1] for y in b]
+    return [x for x in a if (k := bisect_right(ends, x[0])) == len(b) or b[k][0] >= x[1]]
 
 
 def reviewed(spans: DataFrame, manual: DataFrame, off: DataFrame, key: str = "doc_id") -> DataFrame:

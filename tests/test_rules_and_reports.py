@@ -146,6 +146,15 @@ def test_chunks_are_pieces_of_the_text(spark):
         windows.word_windows(spark.createDataFrame([(1, [9])], "doc_id long, sizes array<int>"), 5, 1).collect()
 
 
+def test_guards(spark):
+    rows = spark.createDataFrame([(1, "train"), (2, None)], "id int, split string")
+    assert synth.trainable(rows).count() == 2
+    with pytest.raises(Exception, match="must not be trained on: dev"):
+        synth.trainable(rows.union(spark.createDataFrame([(3, "dev")], rows.schema))).collect()
+    with pytest.raises(ValueError, match="sealed"):
+        synth.refuse_sealed(["/data/sealed-2/notes.jsonl"])
+
+
 def test_reports(spark):
     counts = spark.createDataFrame([("NAME", 4, 3, 2, 40, 30, 5, 4), ("MRN", 0, 0, 0, 0, 0, 1, 0)], "category string, gold long, caught long, full long, gold_chars long, covered_chars long, predicted long, predicted_correct long")
     lines = sinks.report_lines(counts)
