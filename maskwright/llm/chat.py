@@ -8,7 +8,8 @@ written again in the next pack, which bounds a pack without any cap on the conve
 
 Template: "### " role ":\n" text "</turn>\n". Inside roles and texts, "\\", "#" and "</turn>" get a "\\" before them, inside
 roles ":" too; that is reversible and leaves no bare control string. The loss mask of a turn is the interval of its escaped
-text alone: neither role nor control strings are under it. Positions and intervals count characters.
+text alone: neither role nor control strings are under it. Positions and intervals count characters; tokenised() gives the
+same packs in token ids, with all of them counted in tokens.
 
 Defined results: null role or text counts as empty; turns go by turn, role, text with null turns first; repeated rows
 are turns of their own; rows with a null conv_id form one conversation. Only assistant turns are under the loss mask.
@@ -19,12 +20,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import map_rows, table
 
 #: Characters after which a pack is closed.
@@ -70,6 +72,16 @@ PACKS = pa.schema([("text", pa.string()), ("nodes", pa.list_(NODE)), ("leaves",
 PACKS_DDL = "text string, nodes array<struct<parent: int, start: int, end: int, position: int, attends: array<struct<start: int, end: int>>, loss: struct<start: int, end: int>>>, leaves array<struct<conv_key: string, node: int>>"
 
 
+def ancestors(above: dict | None) -> list[dict]:
+    """Intervals of a node's ancestors: its parent's, and the parent itself; adjoining ones are one."""
+    if above is None:
+        return []
+    before, last = above["attends"], {"start": above["start"], "end": above["end"]}
+    if before and before[-1]["end"] == last["start"]:
+        return [*before[:-1], {"start": before[-1]["start"], "end": last["end"]}]
+    return [*before, last]
+
+
 def pack(pack_chars: int):
     """Arrow function over sorted (conv_key, turns): packs with the tree of each."""
 
@@ -97,10 +109,7 @@ def pack(pack_chars: int):
                     head, body, tail = parts_of_turn(*turn)
                     written = head + body + tail
                     above = nodes[parent] if path else None
-                    attends = [*above["attends"], {"start": above["start"], "end": above["end"]}] if above else []
-                    if len(attends) > 1 and attends[-2]["end"] == attends[-1]["start"]:
-                        attends[-2:] = [{"start": attends[-2]["start"], "end": attends[-1]["end"]}]
-                    nodes.append({"parent": parent, "start": size, "end": size + len(written), "position": above["position"] + above["end"] - above["start"] if above else 0, "attends": attends, "loss": {"start": size + len(head), "end": size + len(head) + len(body)} if turn[0] == "assistant" else None})
+                    nodes.append({"parent": parent, "start": size, "end": size + len(written), "position": above["position"] + above["end"] - above["start"] if above else 0, "attends": ancestors(above), "loss": {"start": size + len(head), "end": size + len(head) + len(body)} if turn[0] == "assistant" else None})
                     path.append((turn, len(nodes) - 1))
                     parts.append(written)
                     size += len(written)
@@ -124,6 +133,39 @@ def prefix_packs(convs: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     return distinct.repartitionByRange("turns", "conv_key").sortWithinPartitions("turns", "conv_key").select("conv_key", "turns").mapInArrow(pack(pack_chars), PACKS_DDL)
 
 
+TOKENS = pa.schema([("ids", pa.list_(pa.int32())), ("nodes", pa.list_(NODE)), ("leaves", pa.list_(LEAF))])
+TOKENS_DDL = PACKS_DDL.replace("text string", "ids array<int>")
+
+
+def in_tokens(encode: Callable[[str], list[int]], text: str, nodes: list[dict], leaves: list[dict]) -> tuple:
+    """A pack with token ids for its text: each node's tokens once, all places and intervals counted in tokens.
+
+    What stands before, in and after a masked text is encoded by itself, so the mask falls between tokens.
+    """
+    ids: list[int] = []
+    out: list[dict] = []
+    for n in nodes:
+        start, mask = len(ids), n["loss"]
+        cuts = [n["start"], mask["start"], mask["end"], n["end"]] if mask else [n["start"], n["end"]]
+        ends = []
+        for a, b in zip(cuts, cuts[1:]):
+            ids += encode(text[a:b])
+            ends.append(len(ids))
+        above = out[n["parent"]] if n["parent"] >= 0 else None
+        out.append({"parent": n["parent"], "start": start, "end": len(ids), "position": above["position"] + above["end"] - above["start"] if above else 0, "attends": ancestors(above), "loss": {"start": ends[0], "end": ends[1]} if mask else None})
+    return ids, out, leaves
+
+
+def tokenised(packs: DataFrame, vocabulary: str) -> DataFrame:
+    """(ids, nodes, leaves) of packs by the BPE vocabulary at a path; shared turns are encoded once, as they stand once."""
+
+    def setup():
+        encode = bpe.load(vocabulary).encode
+        return lambda text, nodes, leaves: [in_tokens(encode, text, nodes, leaves)]
+
+    return map_rows(packs, ["text", "nodes", "leaves"], TOKENS, TOKENS_DDL, setup, 16)
+
+
 def unpack(packs: DataFrame, of, schema: pa.Schema, ddl: str) -> DataFrame:
     """Each conversation of packs, its formatted text gathered along its path: of(conv_key, formatted, intervals of it under the loss mask) -> row."""
 

@@ -183,6 +183,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return done.unionByName(parts.groupBy("origin").applyInPandas(reassemble, COLUMNS))
 
 
+def with_payloads(records: DataFrame) -> DataFrame:
+    """records of read_archives() in which a revisit has the payload of the response that it refers to (null if that is missing)."""
+    held = records.where("record_type = 'response' AND page_id IS NOT NULL").groupBy(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest")).agg(F.first("payload").alias("__payload"))
+    same = (F.col("refers_to") == F.col("__id")) & (F.col("payload_digest") == F.col("__digest"))
+    return records.join(held, same, "left").withColumn("payload", F.coalesce("payload", "__payload")).select(*records.columns)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
