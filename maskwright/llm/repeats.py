@@ -3,7 +3,8 @@
 Of the suffixes of all texts (by words), only those at minimisers are kept: the positions whose GRAM-word hash is the least
 in some window of the passage length. Equal passages select equal positions, so every passage of LEAST words holds a kept
 suffix. Kept suffixes are sorted by their words over a range partitioning, with ties by document and position, so a
-passage that a third of all documents share is dealt over many tasks. Neighbours (NEIGHBOURS on each side) are compared and their match extended to
+passage that a third of all documents share is dealt over many tasks; a sample of about SAMPLE_DOCS documents tells where
+the ranges part, and nothing else. Neighbours (NEIGHBOURS on each side) are compared and their match extended to
 the right and to the left; where both together reach LEAST words, the passage is a repeat. The farthest neighbour bounds
 the match to the right with every suffix not compared. Windows of LEAST words that this bound leaves open (all windows of a
 suffix near the ends of a partition) are hashed and counted over all partitions, and those that come more than once are
@@ -19,7 +20,9 @@ ends exclusive. Extra columns are not looked at. Repeated doc_ids are told apart
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -38,8 +41,10 @@ WINDOW = LEAST - GRAM + 1
 LEFT = WINDOW - 1
 
 #: low and high: the least and most words to the left of a window that has its minimiser here.
-SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("low", pa.int8()), ("high", pa.int8())])
-SUFFIX_DDL = "key bigint, right binary, left binary, doc_id bigint, at int, low tinyint, high tinyint"
+SUFFIX = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("at", pa.int32()), ("low", pa.int8()), ("high", pa.int8())])
+#: Documents that the ranges are told from, about; suffixes of a range, about, at least where cores are free, and ranges at most.
+SAMPLE_DOCS, RANGE, LEAST_RANGE, MOST_RANGES = 2_000, 100_000, 5_000, 5_000
+SUFFIX_DDL = "part int, key bigint, right binary, left binary, doc_id bigint, at int, low tinyint, high tinyint"
 FOUND = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("open", pa.int64())])
 FOUND_DDL = "kind tinyint, doc_id bigint, start int, end int, key bigint, hash bigint, n bigint, open bigint"
 #: Suffixes before and after it that each is compared with.
@@ -62,8 +67,14 @@ def minimisers(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, at - first - n + 1, at - first
 
 
-def suffixes(doc_id: int, text: str | None) -> list[tuple]:
-    """Rows of SUFFIX of one text."""
+def place(row: tuple) -> tuple:
+    """What a suffix is sorted by."""
+    key, right, left, doc_id, at = row[1:6]
+    return key, right, left, -(1 << 63) if doc_id is None else doc_id, at
+
+
+def suffixes(doc_id: int, text: str | None, ranges: list[tuple] = ()) -> list[tuple]:
+    """Rows of SUFFIX of one text; a suffix's part is the range that holds it."""
     known = hashes()
     h = np.array([known[w] for w in (text or "").encode().split()], dtype=np.uint64)
     n = len(h)
@@ -81,8 +92,21 @@ def suffixes(doc_id: int, text: str | None) -> list[tuple]:
     for p, low, high in zip(*(x.tolist() for x in minimisers(code)), strict=True):
         right = raw[2 * (LEFT + p) : 2 * (LEFT + p + LEAST)]
         b = len(short) - (LEFT + p)
-        out.append((int(keys[p]), right, back[2 * b : 2 * (b + LEFT)], doc_id, p, low, high))
-    return out
+        out.append((0, int(keys[p]), right, back[2 * b : 2 * (b + LEFT)], doc_id, p, low, high))
+    return [(bisect_right(ranges, place(row)), *row[1:]) for row in out] if ranges else out
+
+
+def ranges_of(docs: DataFrame) -> list[tuple]:
+    """First places of the second and later ranges, from the suffixes of a sample of documents."""
+    n = docs.count()
+    share = min(1.0, SAMPLE_DOCS / max(1, n))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = map_rows(chosen, ["doc_id", "text"], SUFFIX, SUFFIX_DDL, lambda: suffixes).toArrow()
+    seen = sorted(map(place, zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+    every = len(seen) / share
+    count = max(every / RANGE, min(docs.sparkSession.sparkContext.defaultParallelism, every / LEAST_RANGE), 1)
+    count = int(min(count, MOST_RANGES, len(seen) // 8 + 1))
+    return [seen[k * len(seen) // count] for k in range(1, count)]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,9 +153,9 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ready <= done:
             held = whole if n else None
             continue
-        key, doc_id, at = (whole.column(k).to_numpy() for k in (0, 3, 4))
+        key, doc_id, at = (whole.column(k).to_numpy() for k in (1, 4, 5))
         at = at.astype(np.int64)
-        right, left = matrix(whole.column(1), LEAST), matrix(whole.column(2), LEFT)
+        right, left = matrix(whole.column(2), LEAST), matrix(whole.column(3), LEFT)
         # The most words to the left and right shared with a neighbour, and to the right with a suffix not compared.
         l_most, r_most, beyond = (np.zeros(n, dtype=np.int64) for _ in range(3))
         for d in range(1, min(NEIGHBOURS, n - 1) + 1):
@@ -153,7 +177,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (own >= done) & (own < ready)
         k = np.flatnonzero(own & (r_most > 0))
         yield found_rows(REPEAT, doc_id=doc_id[k], start=at[k] - l_most[k], end=at[k] + r_most[k])
-        low, high = (whole.column(c).to_numpy().astype(np.int64) for c in (5, 6))
+        low, high = (whole.column(c).to_numpy().astype(np.int64) for c in (6, 7))
         low = np.maximum(low, LEAST - beyond)
         todo = np.flatnonzero(own & (low <= high))
         for c in range(0, len(todo), 4_096):
@@ -183,9 +207,11 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word) of every passage of LEAST or more words that comes more than once."""
-    rows = map_rows(docs, ["doc_id", "text"], SUFFIX, SUFFIX_DDL, lambda: suffixes)
+    docs = docs.select("doc_id", "text")
+    ranges = ranges_of(docs)
+    rows = map_rows(docs, ["doc_id", "text"], SUFFIX, SUFFIX_DDL, lambda: partial(suffixes, ranges=ranges))
     order = ["key", "right", "left", "doc_id", "at"]
-    found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*SUFFIX.names).mapInArrow(compare, FOUND_DDL))
+    found = cut(rows.repartitionById(len(ranges) + 1, F.col("part")).sortWithinPartitions(*order).select(*SUFFIX.names).mapInArrow(compare, FOUND_DDL))
     again = found.where(F.col("kind") == COUNT).groupBy("key", "hash").agg(F.sum("n").alias("n"), F.sum("open").alias("open")).where("n > 1 AND open > 0").select("key", "hash")
     farther = found.where(F.col("kind") == OPEN).select("doc_id", "start", "end", "key", "hash").join(again, ["key", "hash"])
     return merged(found.where(F.col("kind") == REPEAT).select("doc_id", "start", "end").union(farther.select("doc_id", "start", "end")))
