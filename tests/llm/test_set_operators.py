@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, graph, minhash, repeats, topk, warc
+from maskwright.llm import bpe, chat, graph, minhash, repeats, topk, warc
 from maskwright.llm.common import fresh_path
 
 
@@ -178,16 +178,16 @@ def with_one_minimiser(r, sizes, least, most):
     while True:
         parts = [some_words(r, n) for n in sizes]
         kept = repeats.suffixes(0, " ".join(w for p in parts for w in p))
-        if len(kept) == 1 and least <= kept[0][4] <= most:
+        if len(kept) == 1 and least <= kept[0][5] <= most:
             return parts
 
 
 def in_context(r, words):
     """words with 60 words of their own on both sides, so that no other minimiser within them shows what they share."""
-    only = repeats.suffixes(0, " ".join(words))[0][4]
+    only = repeats.suffixes(0, " ".join(words))[0][5]
     while True:
         text = " ".join(some_words(r, 60) + words + some_words(r, 60))
-        if [k[4] - 60 for k in repeats.suffixes(0, text) if 60 <= k[4] < 60 + len(words) - repeats.GRAM + 1] == [only]:
+        if [k[5] - 60 for k in repeats.suffixes(0, text) if 60 <= k[5] < 60 + len(words) - repeats.GRAM + 1] == [only]:
             return text
 
 
@@ -207,6 +207,17 @@ def test_repeats_among_recombined_lines(spark):
     assert len(check_repeats(spark, texts)) == 3
 
 
+def test_repeats_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "RANGE", 12)
+    r = random.Random(12)
+    hot, line = some_words(r, 70), some_words(r, 55)
+    texts = [" ".join(some_words(r, 40) + (hot if i % 3 == 0 else some_words(r, 20)) + (line if i % 4 == 0 else []) + some_words(r, 30)) for i in range(80)]
+    texts += ["again " * 200, texts[0], None, ""]
+    ranges = repeats.ranges_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(ranges) > 8 and ranges == sorted(ranges)
+    assert len(check_repeats(spark, texts)) > 40
+
+
 def test_lead_in_of_hot_passage(spark):
     r = random.Random(6)
     lead, passage = with_one_minimiser(r, (30, 55), 36, 42)
@@ -240,6 +251,14 @@ def test_chat_packs(spark):
             role, text = chat.read_turns(p.text[n.start : n.end])[0]
             assert (n.loss is not None) == (role == "assistant")
             assert n.loss is None or chat.unescape(p.text[n.loss.start : n.loss.end]) == text
+    encode = bpe.load(bpe.vocabulary()).encode
+    packs = chat.prefix_packs(convs, 10**6)
+    for p, t in zip(packs.collect(), chat.tokenised(packs, bpe.vocabulary()).collect(), strict=True):
+        assert len(t.ids) < sum(len(encode(chat.format_turn(r[2] or "", r[3] or ""))) for r in rows) and t.leaves == p.leaves
+        for a, b in zip(p.nodes, t.nodes, strict=True):
+            assert b.parent == a.parent and b.position == sum(x.end - x.start for x in b.attends) and (a.loss is None) == (b.loss is None)
+            assert a.loss is None or t.ids[b.loss.start : b.loss.end] == encode(p.text[a.loss.start : a.loss.end])
+            assert a.loss is not None or t.ids[b.start : b.end] == encode(p.text[a.start : a.end])
     schema = pa.schema([("conv_key", pa.string()), ("formatted", pa.string())])
     got = {r.conv_key: r.formatted for r in chat.unpack(chat.prefix_packs(convs, 60), lambda k, f, loss: (k, f), schema, "conv_key string, formatted string").collect()}
     for r in convs.collect():
@@ -273,6 +292,8 @@ def test_archives(spark):
         want[p, "revisit" if again else "response", first[h] if again else None, len(body), hashlib.sha256(body).hexdigest()] += 1
     assert got == want
     assert {bytes(r.payload).decode() for r in rows if r.record_type == "response"} == {h or "" for _, _, h in pages}
+    back = warc.with_payloads(warc.read_archives(spark, path)).collect()
+    assert len(back) == len(rows) and all(hashlib.sha256(bytes(r.payload)).hexdigest() == r.payload_digest for r in back)
     empty = fresh_path(spark, "test-warc")
     warc.write_archives(frame.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
