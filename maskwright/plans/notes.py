@@ -99,10 +99,9 @@ def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     pieces = k.select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for _, e in PIECES]).alias("p"))
     k3, k4 = F.col("doc_id") % 3 == 0, F.col("doc_id") % 4 == 0
     docs = pieces.select("doc_id", F.when(k3, "legal").otherwise("clinical").alias("domain"), F.when(k4, "chat").otherwise("written").alias("mode"), F.array_join("p", "").alias("text"))
-    labels = F.array(*[F.lit(label) for label, _ in PIECES])
-    end = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, label: string>>)").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["p"])).alias("at"), F.when(x["label"].isNotNull(), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x["p"])).alias("end"), x["label"].alias("label"))))).otherwise(acc["out"]).alias("out"))
-    spans = F.aggregate(F.zip_with("p", labels, lambda a, b: F.struct(a.alias("p"), b.alias("label"))), end, step, lambda acc: acc["out"])
+    ends = F.aggregate(F.transform("p", F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    pieces = pieces.select("doc_id", ends.alias("at"))
+    spans = F.array(*[F.struct(F.get("at", F.lit(i)).alias("start"), F.get("at", F.lit(i + 1)).alias("end"), F.lit(label).alias("label")) for i, (label, _) in enumerate(PIECES) if label])
     gold = pieces.select("doc_id", F.posexplode(spans).alias("gold_id", "g")).select("doc_id", "gold_id", "g.start", "g.end", "g.label")
     i = F.col("doc_id") + F.col("gold_id")
     moved = F.when(i % 5 == 0, F.col("end") - 1).when(i % 11 == 0, F.col("end") + 1).otherwise(F.col("end"))
