@@ -133,19 +133,15 @@ def text_chunks(docs: DataFrame, limit: int, lap: int | None = None) -> DataFram
     step = limit - (max(1, limit // 7) if lap is None else lap)
     tokens = F.regexp_extract_all("text", F.lit(f"(?U)(?:{SPLITTER})"), F.lit(0))
     gaps = F.split("text", f"(?U)(?:{SPLITTER})")
-    start = F.expr("named_struct('at', 0, 'k', 0, 'spans', cast(array() as array<struct<s: int, e: int>>))")
-    x = docs.select("doc_id", "text", tokens.alias("__t"), gaps.alias("__g"))
-
-    def put(acc: Column, t: Column) -> Column:
-        s = (acc["at"] + F.length(F.get(F.col("__g"), acc["k"]))).cast("int")
-        e = (s + F.length(t)).cast("int")
-        return F.struct(e.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("spans"))
-
-    x = x.withColumn("__w", F.aggregate("__t", start, put, lambda acc: acc["spans"])).where(F.size("__w") > 0)
+    # Each word behind the gap before it, once a text: windows are joined from these, so a text costs what its windows hold.
+    x = docs.select("doc_id", F.zip_with(gaps, tokens, lambda g, t: F.struct(g.alias("g"), t.alias("t"))).alias("__z"))
+    x = x.select("doc_id", F.filter("__z", lambda z: z["t"].isNotNull()).alias("__w"))
     last = F.greatest(F.ceil((F.size("__w") - limit) / step), F.lit(0)).cast("int")
-    w = x.select("doc_id", "text", "__w", F.explode(F.sequence(F.lit(0), last)).alias("win"))
-    first, end = F.get("__w", F.col("win") * step), F.get("__w", F.least(F.col("win") * step + limit, F.size("__w")) - 1)
-    return w.select("doc_id", "win", first["s"].alias("start"), F.substr("text", first["s"] + 1, end["e"] - first["s"]).alias("chunk"))
+    joined = lambda words: F.array_join(F.transform(words, lambda z: F.concat(z["g"], z["t"])), "")
+    w = x.select("doc_id", F.posexplode(F.transform(F.when(F.size("__w") > 0, F.sequence(F.lit(0), last)), lambda i: F.slice("__w", i * step + 1, F.lit(limit)))).alias("win", "__s"), F.col("__w"))
+    first = F.get("__s", F.lit(0))["g"]
+    start = F.length(joined(F.slice("__w", F.lit(1), F.col("win") * step))) + F.length(first)
+    return w.select("doc_id", "win", start.alias("start"), F.substr(joined(F.col("__s")), F.length(first) + 1).alias("chunk"))
 
 
 def repeated_mention(spans: DataFrame, value: Column) -> DataFrame:
