@@ -1,7 +1,8 @@
 """Interval algebra over half-open spans: union of overlaps, subtraction, coverage, overlap semi- and anti-joins.
 
 Long form: one row per span with a document key. All joins are equi-joins on the key with the overlap as a further
-condition, so Catalyst hashes or sorts on the key and AQE may split a hot one. `fold_*` are the same operators on Python
+condition, sorted on the key by hint, as sizes of spans that are made from other columns are estimated far too low and would be
+sent through the driver; AQE may split a hot key. `fold_*` are the same operators on Python
 lists, for use inside an Arrow stage that already holds a document.
 """
 
@@ -48,28 +49,28 @@ def merge(spans: DataFrame, key: str = "doc_id", start: str = "start", end: str
 
 def subtract(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans of a that overlap no span of b (whole spans; nothing is clipped)."""
-    x, y = a.alias("a"), b.alias("b")
+    x, y = a.alias("a"), b.alias("b").hint("merge")
     return x.join(y, (F.col(f"a.{key}") == F.col(f"b.{key}")) & overlap(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")), "left_anti")
 
 
 def touching(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans of a that overlap any span of b."""
-    x, y = a.alias("a"), b.alias("b")
+    x, y = a.alias("a"), b.alias("b").hint("merge")
     return x.join(y, (F.col(f"a.{key}") == F.col(f"b.{key}")) & overlap(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")), "left_semi")
 
 
 def contained(a: DataFrame, b: DataFrame, key: str = "doc_id", keep: bool = False) -> DataFrame:
     """Spans of a that lie inside none (or, with keep, any) of b."""
     inside = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
-    return a.alias("a").join(b.alias("b"), inside, "left_semi" if keep else "left_anti")
+    return a.alias("a").join(b.alias("b").hint("merge"), inside, "left_semi" if keep else "left_anti")
 
 
 def coverage(gold: DataFrame, predicted: DataFrame, key: str = "doc_id", gold_id: str = "gold_id") -> DataFrame:
     """gold with `covered`: positions of each span that disjoint predictions cover."""
     p = predicted.select(F.col(key).alias("__k"), F.col("start").alias("__s"), F.col("end").alias("__e"))
     hit = (F.col(key) == F.col("__k")) & overlap(F.col("start"), F.col("end"), F.col("__s"), F.col("__e"))
-    sums = gold.select(key, gold_id, "start", "end").join(p, hit).groupBy(key, gold_id).agg(F.sum(F.least("end", "__e") - F.greatest("start", "__s")).alias("covered"))
-    return gold.join(sums, [key, gold_id], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    sums = gold.select(key, gold_id, "start", "end").join(p.hint("merge"), hit).groupBy(key, gold_id).agg(F.sum(F.least("end", "__e") - F.greatest("start", "__s")).alias("covered"))
+    return gold.join(sums.hint("merge"), [key, gold_id], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -137,7 +138,7 @@ def fold_subtract(a: list[tuple], b: list[tuple]) -> list[tuple]:
 def reviewed(spans: DataFrame, manual: DataFrame, off: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans after a review: those switched off (key, start, end) are left out, marked ones (key, start, end, category) come
     in with the highest standing and take in whatever they overlap."""
-    kept = spans.join(off.select(key, "start", "end"), [key, "start", "end"], "left_anti").select(key, "start", "end", "category", "source", "confidence")
+    kept = spans.join(off.select(key, "start", "end").hint("merge"), [key, "start", "end"], "left_anti").select(key, "start", "end", "category", "source", "confidence")
     marked = manual.select(key, "start", "end", "category", F.lit("manual").alias("source"), F.lit(1.0).alias("confidence"))
     both = kept.unionByName(marked).withColumn("seq", F.xxhash64("category", "source"))
     return merge(both, key, score=rank(F.col("source"), F.col("confidence")), carry=["category", "source", "confidence"])

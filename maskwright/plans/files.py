@@ -13,7 +13,7 @@ from ..operators import detect, evaluate, ocr, stats, synth, windows
 from ..operators.formats import format_column, format_regex, format_sql
 from ..sources import readers, sinks
 from ..sources.paths import fresh_path
-from .catalogue import SCORED, query, read, scored
+from .catalogue import SCORED, dealt, query, read, scored
 from .notes import WITH_NOTES, tables
 
 
@@ -25,7 +25,7 @@ def written(spark, name, values):
 
 
 def keys(spark, sf_dir):
-    return read(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "k")
+    return dealt(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "k")
 
 
 # --- documents and predictions ---------------------------------------------------------------------------------------
