@@ -38,13 +38,15 @@ def measured(gold: DataFrame, predicted: DataFrame, docs: DataFrame) -> DataFram
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
 
     def measure(g: Column) -> Column:
-        part = between(F.col("text"), g["start"], g["end"])
+        part = g["__part"]
         hits = F.filter(F.coalesce("made", none), lambda p: overlap(g["start"], g["end"], p["start"], p["end"]))
         covered = F.aggregate(hits, F.lit(0), lambda n, p: n + F.octet_length(between(F.col("text"), F.greatest(g["start"], p["start"]), F.least(g["end"], p["end"]))))
-        old = F.coalesce(F.regexp_replace(part, "[^0-9]", "").try_cast("long") >= 90, F.lit(False))
+        old = F.when(g["category"] == "AGE", F.coalesce(F.regexp_replace(part, "[^0-9]", "").try_cast("long") >= 90, F.lit(False)))
         return F.struct(*[g[n].alias(n) for n in names], F.octet_length(part).alias("size"), F.octet_length(F.regexp_replace(part, r"(?U)\s", "")).alias("body"), covered.alias("covered"), old.alias("old"))
 
-    out = x.select("doc_id", F.inline(F.transform("g", measure)))
+    # An inner inline is optimised to test the size of what is measured first, for which all would be measured twice; g is never empty.
+    parts = F.transform("g", lambda g: g.withField("__part", between(F.col("text"), g["start"], g["end"])))
+    out = x.select("doc_id", F.inline_outer(F.transform(parts, measure)))
     return out.where("category <> 'AGE' OR old").drop("old")
 
 
@@ -137,7 +139,8 @@ def misses(scored: DataFrame, docs: DataFrame, n: int, around: int = 30) -> Data
 
 def response_matrix(scored_by_system: DataFrame, systems: list[str]) -> DataFrame:
     """item with one outcome column for each system, null where a system has none."""
-    return scored_by_system.groupBy("item").pivot("system", systems).agg(F.first("outcome"))
+    of = lambda s: F.first(F.when(F.col("system") == s, F.col("outcome")), ignorenulls=True).alias(s)
+    return scored_by_system.groupBy("item").agg(*map(of, systems))
 
 
 def sweep(gold: DataFrame, hits: DataFrame, docs: DataFrame, thresholds: DataFrame, strict: bool = False) -> DataFrame:

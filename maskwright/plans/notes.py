@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.detect import spread
+from ..operators.detect import dealt_by
 
 
 def digits(expr: str, width: int) -> str:
@@ -96,8 +96,8 @@ WITH_NOTES = f"WITH notes AS ({NOTES_SQL}), gold AS ({GOLD_SQL}), pred AS ({PRED
 
 
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(docs, gold, predictions) with doc_id, start and end: the same rows as the SQL above, each from one scan, dealt over all cores."""
-    k = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
+    """(docs, gold, predictions) with doc_id, start and end: the same rows as the SQL above, each from one scan, dealt by document."""
+    k = dealt_by(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     pieces = k.select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for _, e in PIECES]).alias("p"))
     k3, k4 = F.col("doc_id") % 3 == 0, F.col("doc_id") % 4 == 0
     docs = pieces.select("doc_id", F.when(k3, "legal").otherwise("clinical").alias("domain"), F.when(k4, "chat").otherwise("written").alias("mode"), F.array_join("p", "").alias("text"))
