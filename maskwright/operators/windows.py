@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,30 +66,49 @@ def allowed(previous: str, tag: str) -> bool:
 
 def viterbi(scores: np.ndarray, tags: list[str], biases: dict[str, float] | None = None) -> list[str]:
     """Best legal BIOES path for scores (tokens x tags); each tag's first letter may have a bias."""
-    if not len(scores):
-        return []
+    return [tags[i] for i in viterbi_places(np.asarray(scores)[None], tags, biases)[0]] if len(scores) else []
+
+
+def viterbi_places(scores: np.ndarray, tags: list[str], biases: dict[str, float] | None = None) -> np.ndarray:
+    """Places in tags along the best legal paths of sequences of one length: scores (sequences x tokens x tags), at least one token."""
     scores = scores + np.array([(biases or {}).get(t[:1], 0.0) for t in tags])
     move = np.array([[0.0 if allowed(a, b) else NEVER for b in tags] for a in tags])
-    best, back = scores[0] + np.array([0.0 if allowed("", t) else NEVER for t in tags]), []
-    for row in scores[1:]:
-        paths = best[:, None] + move
-        back.append(paths.argmax(axis=0))
-        best = paths.max(axis=0) + row
-    at = int((best + np.array([0.0 if allowed(t, "") else NEVER for t in tags])).argmax())
-    path = [at]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return [tags[i] for i in reversed(path)]
+    best, back = scores[:, 0] + np.array([0.0 if allowed("", t) else NEVER for t in tags]), []
+    for k in range(1, scores.shape[1]):
+        paths = best[:, :, None] + move
+        back.append(paths.argmax(axis=1))
+        best = paths.max(axis=1) + scores[:, k]
+    out = np.empty(scores.shape[:2], dtype=np.int64)
+    out[:, -1] = (best + np.array([0.0 if allowed(t, "") else NEVER for t in tags])).argmax(axis=1)
+    for k in range(scores.shape[1] - 2, -1, -1):
+        out[:, k] = np.take_along_axis(back[k], out[:, k + 1 : k + 2], axis=1)[:, 0]
+    return out
 
 
 def decode_paths(tokens: DataFrame, tags: list[str], biases: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, tok, tag) along the best legal path of tokens(doc_id, tok, scores array<double>); one document a group."""
+    """(doc_id, tok, tag) along the best legal path of tokens(doc_id, tok, scores array<double>).
 
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tok")
-        return pd.DataFrame({"doc_id": rows["doc_id"], "tok": rows["tok"], "tag": viterbi(np.stack(rows["scores"].to_list()), tags, biases)})
+    Scores are gathered by document; those of a batch that have as many tokens as each other go through the recursion together.
+    """
 
-    return tokens.select("doc_id", "tok", "scores").groupBy("doc_id").applyInPandas(path, "doc_id bigint, tok int, tag string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(tags))
+            sizes = np.diff(lists.offsets.to_numpy())
+            firsts, found = np.cumsum(sizes) - sizes, np.empty(len(flat), dtype=np.int64)
+            for n in np.unique(sizes):
+                at = firsts[sizes == n][:, None] + np.arange(n)
+                found[at] = viterbi_places(flat[at], tags, biases)
+            names = pa.DictionaryArray.from_arrays(pa.array(found, pa.int32()), pa.array(tags)).cast(pa.string())
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), names)], names=["doc_id", "toks", "tags"])
+
+    t = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("tok", "scores"))).alias("t"))
+    t = t.select("doc_id", F.col("t.tok").alias("toks"), F.col("t.scores").alias("scores"))
+    kind = tokens.schema["doc_id"].dataType.simpleString(), tokens.schema["tok"].dataType.simpleString()
+    found = t.mapInArrow(run, f"doc_id {kind[0]}, toks array<{kind[1]}>, tags array<string>")
+    return found.select("doc_id", F.inline(F.arrays_zip(F.col("toks").alias("tok"), F.col("tags").alias("tag")))).select("doc_id", F.col("tok").cast("int").alias("tok"), "tag")
 
 
 def chunk_words(words: Iterator[int], limit: int, lap: int) -> list[tuple[int, int]]:
