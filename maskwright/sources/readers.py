@@ -17,7 +17,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = lines.select(F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit(low)).alias("__at"), "value")
     sizes = lines.groupBy("__part").agg(F.count("*").alias("n"))  # a row for each part of the input
     before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))
-    return lines.join(before, "__part").select((F.col("__before") + F.col("__at") + 1).alias("line"), "value").where(F.trim("value") != "")
+    return lines.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__at") + 1).alias("line"), "value").where(F.trim("value") != "")
 
 
 def read_note(spark: SparkSession, stream) -> DataFrame:
@@ -30,9 +30,9 @@ def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
     return numbered_lines(spark, path).orderBy("line").limit(n)
 
 
-def string_at(value: Column, key: str) -> Column:
-    """A JSON object's member, if it is a string."""
-    v = F.variant_get(F.try_parse_json(value), f"$.{key}", "variant")
+def string_at(parsed: Column, key: str) -> Column:
+    """A member of a JSON object that try_parse_json() gave, if it is a string."""
+    v = F.variant_get(parsed, f"$.{key}", "variant")
     return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
 
 
@@ -42,17 +42,18 @@ def parse_documents(lines: DataFrame) -> DataFrame:
     A line without text fails. Spans come from the first key present, as an array or as JSON in a string; spans need whole
     numbers and start < end; an id that is no string, or empty, is "doc" and the line's number.
     """
-    text = F.coalesce(*[string_at(F.col("value"), k) for k in TEXT_KEYS])
-    raw = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in SPAN_KEYS], F.lit("[]"))
+    lines = lines.withColumn("__v", F.try_parse_json("value"))  # once for all members
+    text = F.coalesce(*[string_at(F.col("__v"), k) for k in TEXT_KEYS])
+    raw = F.col("__raw")
     spans = F.coalesce(F.when(raw.rlike(r"^\s*\["), F.from_json(raw, RAW_SPANS)), F.expr(f"cast(array() as {RAW_SPANS})"))
     number = lambda c: F.when(c.rlike("^[0-9]+$"), c.cast("int"))
     clean = F.transform(spans, lambda s: F.struct(number(s["start"]).alias("start"), F.least(number(s["end"]), F.length("text")).alias("end"), F.coalesce(*[s[k] for k in LABEL_KEYS], F.lit("")).alias("label"), F.coalesce(s["tags"], F.array().cast("array<string>")).alias("tags")))
-    out = lines.withColumn("text", text)
+    out = lines.withColumns({"text": text, "__raw": F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in SPAN_KEYS], F.lit("[]"))})
     sound = F.assert_true(F.col("text").isNotNull(), F.concat(F.lit("line "), F.col("line").cast("string"), F.lit(": no text field")))
-    own = string_at(F.col("value"), "id")
+    own = string_at(F.col("__v"), "id")
     doc_id = F.when(F.coalesce(own, F.lit("")) != "", own).otherwise(F.concat(F.lit("doc"), F.col("line").cast("string")))
     kept = F.filter(clean, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & (s["start"] < s["end"]))
-    return out.where(sound.isNull()).select(doc_id.alias("doc_id"), "line", "text", F.coalesce(string_at(F.col("value"), "domain"), F.lit("")).alias("domain"), F.coalesce(string_at(F.col("value"), "mode"), F.lit("")).alias("mode"), kept.alias("gold"))
+    return out.where(sound.isNull()).select(doc_id.alias("doc_id"), "line", "text", F.coalesce(string_at(F.col("__v"), "domain"), F.lit("")).alias("domain"), F.coalesce(string_at(F.col("__v"), "mode"), F.lit("")).alias("mode"), kept.alias("gold"))
 
 
 def read_documents(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
