@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import validators
+from .categories import SPANS
 from .labels import label_sql, map_label
 
 CHECKS = {"valid_luhn": validators.luhn, "valid_ssn": validators.valid_ssn, "valid_vin": validators.valid_vin, "valid_aba": validators.valid_aba, "valid_iban": validators.valid_iban}
@@ -18,7 +20,7 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 
 @F.udtf(returnType=SPAN)
 class DetectSpans:
-    """Spans of a text, one row each."""
+    """Spans of a text, one row each, for single texts: it goes to Python row by row, deid_spans(text) in batches."""
 
     def eval(self, text: str):
         from ..operators.detect import detect_text
@@ -34,16 +36,17 @@ def check_udf(f):
     return check
 
 
-@F.pandas_udf(T.StringType())
-def tag_text(v: pd.Series) -> pd.Series:
-    from ..operators.detect import detect_text
+@F.arrow_udf(T.StructType([T.StructField("tagged", T.StringType()), T.StructField("spans", T.ArrayType(SPAN))]))
+def scanned_text(v: pa.Array) -> pa.Array:
+    """A text with tags and its spans, of one detection."""
+    from ..operators.detect import FIELDS, as_rows, detect_text
     from ..operators.render import Vault
 
-    def one(text):
-        spans = detect_text(text)[0]
-        return Vault("").render(text or "", ((s[0], s[1], s[2], s[5]) for s in spans))[0]
-
-    return v.map(one)
+    texts = [t or "" for t in v.to_pylist()]
+    found = [detect_text(t)[0] for t in texts]
+    tagged = [Vault("").render(t, ((s[0], s[1], s[2], s[5]) for s in spans))[0] for t, spans in zip(texts, found, strict=True)]
+    spans = pa.array([as_rows(spans) for spans in found], pa.list_(pa.struct(FIELDS)))
+    return pa.StructArray.from_arrays([pa.array(tagged, pa.string()), spans], names=["tagged", "spans"])
 
 
 @F.pandas_udf(T.StringType())
@@ -63,7 +66,9 @@ def year_of(v: pd.Series, now: pd.Series) -> pd.Series:
 def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION map_label(label STRING) RETURNS STRING RETURN {label_sql('label', 'rlike')}")
     spark.udtf.register("deid_detect", DetectSpans)
-    spark.udf.register("deid_tag", tag_text)
+    spark.udf.register("deid_scan", scanned_text)
+    for name, kind, part in (("deid_tag", "STRING", "tagged"), ("deid_spans", SPANS, "spans")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS {kind} RETURN deid_scan(text).{part}")
     spark.udf.register("shift_date", shift_date)
     spark.udf.register("year_of", year_of)
     for name, f in CHECKS.items():

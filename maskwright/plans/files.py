@@ -286,14 +286,19 @@ def redaction_report(spark, sf_dir):
 # --- SQL functions, chunks, formats ------------------------------------------------------------------------------------
 
 
+#: Rows of orders, each worth one short text, that a task gets at most.
+ORDERS_A_TASK = 100_000
+
+
 @query(f"SELECT o_orderkey, right(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), 4) <> '0000' AND left(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), 3) NOT IN ('000', '666') AND lpad(CAST(o_orderkey AS VARCHAR), 9, '0')[4:5] <> '00' AS ssn, {labels.label_sql('o_orderpriority')} AS label, year(o_orderdate::DATE)::INT AS year, 'MRN: [MRN_1].' AS tagged, 1::BIGINT AS n_spans FROM orders")
 def sql_calls(spark, sf_dir):
     """The engine's functions called from SQL."""
     sql_functions.register(spark)
-    read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderdate").createOrReplaceTempView("maskwright_orders")
+    orders = detect.dealt_by(read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_orderdate"), "o_orderkey", rows=ORDERS_A_TASK)
+    orders.createOrReplaceTempView("maskwright_orders")
     return spark.sql("""SELECT o_orderkey, valid_ssn(lpad(CAST(o_orderkey AS STRING), 9, '0')) AS ssn, map_label(o_orderpriority) AS label,
-        year_of(date_format(o_orderdate, 'MM/dd/yyyy'), 2025) AS year, deid_tag(concat('MRN: 00', lpad(CAST(o_orderkey AS STRING), 8, '0'), '.')) AS tagged, n_spans
-        FROM maskwright_orders JOIN (SELECT o_orderkey, count(*) AS n_spans FROM maskwright_orders, LATERAL deid_detect(concat('MRN: 00', lpad(CAST(o_orderkey AS STRING), 8, '0'), '.')) GROUP BY o_orderkey) USING (o_orderkey)""")
+        year_of(date_format(o_orderdate, 'MM/dd/yyyy'), 2025) AS year, deid_tag(text) AS tagged, CAST(size(deid_spans(text)) AS BIGINT) AS n_spans
+        FROM (SELECT *, concat('MRN: 00', lpad(CAST(o_orderkey AS STRING), 8, '0'), '.') AS text FROM maskwright_orders)""")
 
 
 @query("WITH w AS (SELECT c_custkey AS doc_id, i, 'w' || CAST((c_custkey + i) % 50 AS VARCHAR) AS t FROM customer, range(0, 30) r(i)), c AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY i) AS chunk FROM w, range(0, 3) s(k) WHERE i >= k * 12 AND i < k * 12 + 14 GROUP BY doc_id, k) SELECT doc_id, k::INT AS win, chunk FROM c")
