@@ -208,7 +208,7 @@ def results_by_domain(spark, sf_dir):
 def report_text(spark, sf_dir):
     """A report in columns of fixed width, read back by its columns."""
     s, docs, gold, pred = scored(spark, sf_dir)
-    lines = sinks.report_lines(evaluate.by_category(s, gold, pred).cache())[1:]
+    lines = sinks.report_lines(evaluate.by_category(s, gold, pred))[1:]
     x = spark.createDataFrame([(v,) for v in lines], "value string")
     part = lambda i, n: F.trim(F.substring("value", i, n))
     return x.select(part(1, 12).alias("category"), part(13, 11).cast("bigint").alias("gold"), part(24, 11).cast("bigint").alias("caught"), part(46, 11).cast("bigint").alias("predicted"))

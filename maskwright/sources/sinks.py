@@ -85,8 +85,14 @@ def results_markdown(tables: dict[str, DataFrame], systems: list[str]) -> str:
     return "\n\n".join(f"## By {by}\n\n{markdown(comparison(counts, by, systems), [by])}" for by, counts in tables.items())
 
 
+def counted(by_category: DataFrame) -> DataFrame:
+    """The counts by category, made once: what a report asks of them is a row for each category."""
+    return by_category.sparkSession.createDataFrame(by_category.collect(), by_category.schema)
+
+
 def report_lines(by_category: DataFrame, misses: DataFrame | None = None) -> list[str]:
     """A report in columns of fixed width: categories, all of them together, and what was missed."""
+    by_category = counted(by_category)
     names = ["gold", "caught", "full", "predicted"]
     rates = ["recall", "full_recall", "char_recall", "precision"]
     rows = [(r["category"], r) for r in ratios(by_category).orderBy("category").collect()] + [("ALL", overall(by_category).collect()[0])]
@@ -99,6 +105,7 @@ def report_lines(by_category: DataFrame, misses: DataFrame | None = None) -> lis
 
 def report_json(by_category: DataFrame, misses: DataFrame | None = None) -> str:
     rows = lambda df: [{k: None if isinstance(v, float) and math.isnan(v) else v for k, v in r.asDict().items()} for r in df.collect()]
+    by_category = counted(by_category)
     return json.dumps({"overall": rows(overall(by_category))[0], "categories": rows(ratios(by_category).orderBy("category")), "misses": rows(misses.orderBy("doc_id", "gold_id")) if misses is not None else []}, indent=1)
 
 
