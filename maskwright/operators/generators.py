@@ -1,20 +1,27 @@
-"""Specs of documents to be written and whole synthetic notes, natively: a document is a function of (seed, id) alone.
+"""Specs of documents to be written and whole synthetic notes: a document is a function of (seed, id) alone.
 
 Whatever is drawn is a part: a list of choices and the name of its draw, so the same rows come from Catalyst, where parts are
-literals under higher-order functions, and from `*_sql`, which spells them out for another engine. Nothing is shuffled, and
-no document depends on another.
+literals under higher-order functions (whole notes from templates: from an Arrow stage), and from `*_sql`, which spells them out
+for another engine. Nothing is shuffled, and no document depends on another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .formats import FAMILY, GIVEN, draw_sql, pick_sql, pieces_of
 
+try:
+    from _sha2 import sha256  # for short strings about twice as fast as hashlib's, which looks the method up each time
+except ImportError:
+    from hashlib import sha256
+
 
 @dataclass(frozen=True)
 class Part:
@@ -316,7 +323,7 @@ FILLERS: dict[str, list[str]] = {
 }
 MODES = ["written"] * 6 + ["dictated"] * 2 + ["ocr", "chat"]
 SLOT = r"\{(\w+)(?::(\w+))?(!)?\}"
-MOST_LINES, FILLED = 5, 60
+MOST_LINES, FILLED, MISREAD = 5, 60, 35
 
 
 @dataclass(frozen=True)
@@ -357,49 +364,86 @@ def lines_of(domain: str, universe: str) -> tuple[list[list[Piece]], list[list[P
     return mine, [[Piece((lit(t),))] for i, t in enumerate(FILLERS[domain]) if i % 2 == odd]
 
 
-def noted(value: Column, mode: Column, seed: Column, key: Column) -> Column:
-    """A value as a mode writes it: chats in lower case; of scanned ones 35 of 100 with a 0 read as O."""
-    misread = draw(100, F.concat(seed, F.lit("|"), key), "ocr") < 35
-    return F.when(mode == "chat", F.lower(value)).when((mode == "ocr") & misread, F.regexp_replace(value, "^([^0]*)0", "$1O")).otherwise(value)
+@dataclass(frozen=True)
+class Drawn:
+    """A piece ready to be written: its parts as (key of the draw, number of choices, choices), a single string without key."""
+
+    parts: list[tuple[bytes | None, int, tuple[str, ...]]]
+    spoken: list[tuple[bytes | None, int, tuple[str, ...]]]
+    person: bytes | None
+    label: str | None
+    tags: tuple[str, ...]
+
+
+def ready(p: Piece) -> Drawn:
+    bare = lambda parts: [(f"|{x.draw}".encode() if len(x.choices) > 1 else None, len(x.choices), x.choices) for x in parts]
+    return Drawn(bare(p.parts), bare(p.spoken or p.parts), None if p.seed == "line" else f"|{p.seed}".encode(), p.label, p.tags)
+
+
+def number(key: bytes) -> int:
+    """What draw() takes the remainder of."""
+    return int.from_bytes(sha256(key).digest()[:4])
+
+
+def note_of(s: bytes, mine: list[list[Drawn]], fill: list[list[Drawn]]) -> tuple[str, str, list[tuple[int, int, str, tuple[str, ...]]]]:
+    """(mode, text, spans) of the note with that seed: a span starts where the pieces before it end."""
+    mode, out, spans, at = MODES[number(s + b"|mode") % len(MODES)], [], [], 0
+    dictated, chat, scanned = mode == "dictated", mode == "chat", mode == "ocr"
+    for j in range(2 + number(s + b"|lines") % (MOST_LINES - 1)):
+        own = b"%b|%d" % (s, j)
+        line = mine[number(own + b"|template") % len(mine)]
+        if number(own + b"|filled") % 100 < FILLED:
+            line = line + fill[number(own + b"|filler") % len(fill)]
+        for k, p in enumerate(line):
+            if p.label is None:
+                value = p.parts[0][2][0]
+            else:
+                key = b"%b|%d" % (own, k)
+                value = valued(p.spoken if dictated else p.parts, s + p.person if p.person else key)
+                if scanned and "0" in value and number(key + b"|ocr") % 100 < MISREAD:
+                    value = value.replace("0", "O", 1)
+                spans.append((at, at + len(value), p.label, p.tags))
+            out.append(value)
+            at += len(value)
+    text = "".join(out)
+    return mode, text.lower() if chat else text, spans
+
+
+def valued(parts: list[tuple[bytes | None, int, tuple[str, ...]]], seed: bytes) -> str:
+    return "".join([c[number(seed + k) % n] if k else c[0] for k, n, c in parts])
 
 
 def template_notes(ids: DataFrame, domain: str, universe: str, seed: int) -> DataFrame:
     """(doc_id, domain, mode, universe, text, spans) of notes: 2 to MOST_LINES template lines, each followed by a filler in
-    FILLED of 100 cases; spans hold by construction, with the tags of their slots."""
-    s = F.concat(F.lit(f"{universe}:{domain}:{seed}:"), F.col("doc_id").cast("string"))
-    base = ids.select("doc_id", s.alias("s"), case(draw(len(MODES), s, "mode"), [F.lit(m) for m in MODES]).alias("mode"), (2 + draw(MOST_LINES - 1, s, "lines")).cast("int").alias("lines"))
-    mine, fill = lines_of(domain, universe)
-    none = literal((lit(""),))
-    struct = lambda p: F.struct(literal(p.parts).alias("parts"), (literal(p.spoken) if p.spoken else none).alias("spoken"), F.lit(p.spoken is not None).alias("speaks"), F.lit(p.seed).alias("seed"), F.lit(p.label).cast("string").alias("label"), F.array(*map(F.lit, p.tags)).cast("array<string>").alias("tags"))
-    tables = [F.array(*[F.array(*[struct(p) for p in line]) for line in of]) for of in (mine, fill)]
-
-    def line(j: Column) -> Column:
-        key = j.cast("string")
-        pick = lambda of, n, name: F.element_at(of, (draw(n, F.concat(F.col("s"), F.lit("|"), key), name)).cast("int") + 1)
-        filler = F.when(draw(100, F.concat(F.col("s"), F.lit("|"), key), "filled") < FILLED, pick(tables[1], len(fill), "filler")).otherwise(F.slice(F.element_at(tables[1], 1), 1, 0))
-        return F.transform(F.concat(pick(tables[0], len(mine), "template"), filler), lambda p, k: F.struct(p.alias("p"), F.concat(key, F.lit("|"), k.cast("string")).alias("key")))
+    FILLED of 100 cases; spans hold by construction, with the tags of their slots. Chats are in lower case; of what is scanned,
+    MISREAD of 100 identifiers with a 0 have it read as O."""
+    return notes_by_kind(ids, [(domain, universe)], seed)
 
-    def made(x: Column) -> Column:
-        p = x["p"]
-        seed_ = F.when(p["seed"] == "line", F.concat(F.col("s"), F.lit("|"), x["key"])).otherwise(F.concat(F.col("s"), F.lit("|"), p["seed"]))
-        value = value_of(F.when((F.col("mode") == "dictated") & p["speaks"], p["spoken"]).otherwise(p["parts"]), seed_)
-        plain = F.when(F.col("mode") == "chat", F.lower(value)).otherwise(value)
-        return F.struct(F.when(p["label"].isNull(), plain).otherwise(noted(value, F.col("mode"), F.col("s"), x["key"])).alias("value"), p["label"].alias("label"), p["tags"].alias("tags"))
 
-    pieces = base.select("doc_id", "mode", F.transform(F.flatten(F.transform(F.sequence(F.lit(0), F.col("lines") - 1), line)), made).alias("pieces"))
-    return assembled(pieces).select("doc_id", F.lit(domain).alias("domain"), "mode", F.lit(universe).alias("universe"), "text", "spans")
+def notes_by_kind(ids: DataFrame, kinds: list[tuple[str, str]], seed: int, spans: bool = True) -> DataFrame:
+    """template_notes() of each (domain, universe), from one pass over ids(doc_id); the spans may be left out.
 
-
-def assembled(rows: DataFrame) -> DataFrame:
-    """rows with `text` and `spans` of `pieces` array<struct<value, label, tags>>: spans start where the pieces before them end."""
-    start = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int, label: string, tags: array<string>>>))")
-
-    def step(acc: Column, p: Column) -> Column:
-        end = (acc["at"] + F.length(p["value"])).cast("int")
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), p["label"].alias("label"), p["tags"].alias("tags"))
-        return F.struct(end.alias("at"), F.when(p["label"].isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return rows.withColumn("text", F.array_join(F.transform("pieces", lambda p: p["value"]), "")).withColumn("spans", F.aggregate("pieces", start, step, lambda acc: acc["spans"])).drop("pieces")
+    An Arrow stage: a note is some sixty hashes, which cost less there than as higher-order functions, and no kind is planned or
+    read for itself.
+    """
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("tags", pa.list_(pa.string()))]))
+    lines = {(d, u): [[list(map(ready, line)) for line in of] for of in lines_of(d, u)] for d, u in kinds}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(1).to_pylist()
+            for (domain, universe), (mine, fill) in lines.items():
+                s = f"{universe}:{domain}:{seed}:"
+                made = [(None, None, None) if n is None else note_of((s + n).encode(), mine, fill) for n in names]
+                same = lambda x: pa.array([x] * len(names), pa.string())  # noqa: E731, B023
+                columns = [b.column(0), same(domain), pa.array([m for m, _, _ in made], pa.string()), same(universe), pa.array([t for _, t, _ in made], pa.string())]
+                if spans:
+                    columns.append(pa.array([None if x is None else [{"start": i, "end": e, "label": label, "tags": tags} for i, e, label, tags in x] for _, _, x in made], shape))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "domain", "mode", "universe", "text", "spans"][: len(columns)])
+
+    ddl = f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, domain string, mode string, universe string, text string"
+    more = ", spans array<struct<start: int, end: int, label: string, tags: array<string>>>" if spans else ""
+    return ids.select("doc_id", F.col("doc_id").cast("string").alias("name")).mapInArrow(run, ddl + more)
 
 
 def template_notes_sql(ids: str, domain: str, universe: str, seed: int) -> str:
