@@ -5,7 +5,9 @@ Gold spans hold by construction: a span starts where the pieces before it end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import dealt_by
@@ -95,15 +97,45 @@ UNION ALL SELECT note_id, CAST(length(text) - 5 AS INT), CAST(length(text) - 1 A
 WITH_NOTES = f"WITH notes AS ({NOTES_SQL}), gold AS ({GOLD_SQL}), pred AS ({PRED_SQL})"
 
 
+def width(expr: str) -> int | None:
+    """Length of what a piece's SQL gives for any key, if that is told by literals and padded numbers alone."""
+    n = 0
+    for part in expr.split(" || "):
+        if part.startswith("'"):
+            n += len(part) - 2
+        elif padded := re.fullmatch(r"lpad\(.*, (\d+), '0'\)", part):
+            n += int(padded[1])
+        else:
+            return None
+    return n
+
+
+def places() -> tuple[list[Column], list[Column]]:
+    """Lengths of the pieces that vary, as columns, and where each piece starts (and the last one ends) by these columns.
+
+    The first piece that is no literal counts among those that vary, so that a null key gives no places after it.
+    """
+    varying, at, fixed, seen = [], [F.lit(0)], 0, F.lit(0)
+    for label, expr in PIECES:
+        n = width(expr)
+        if n is None or (label and not varying):
+            varying.append(F.length(F.expr(expr)).alias(f"n{len(varying)}"))
+            seen = seen + F.col(f"n{len(varying) - 1}")
+        else:
+            fixed += n
+        at.append((seen + fixed).cast("int"))
+    return varying, at
+
+
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(docs, gold, predictions) with doc_id, start and end: the same rows as the SQL above, each from one scan, dealt by document."""
     k = dealt_by(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
-    pieces = k.select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for _, e in PIECES]).alias("p"))
     k3, k4 = F.col("doc_id") % 3 == 0, F.col("doc_id") % 4 == 0
+    pieces = k.select(F.col("c_custkey").alias("doc_id"), F.array(*[F.expr(e) for _, e in PIECES]).alias("p"))
     docs = pieces.select("doc_id", F.when(k3, "legal").otherwise("clinical").alias("domain"), F.when(k4, "chat").otherwise("written").alias("mode"), F.array_join("p", "").alias("text"))
-    ends = F.aggregate(F.transform("p", F.length), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    pieces = pieces.select("doc_id", ends.alias("at"))
-    spans = F.array(*[F.struct(F.get("at", F.lit(i)).alias("start"), F.get("at", F.lit(i + 1)).alias("end"), F.lit(label).alias("label")) for i, (label, _) in enumerate(PIECES) if label])
+    varying, at = places()
+    pieces = k.select(F.col("c_custkey").alias("doc_id"), *varying)
+    spans = F.array(*[F.struct(at[i].alias("start"), at[i + 1].alias("end"), F.lit(label).alias("label")) for i, (label, _) in enumerate(PIECES) if label])
     gold = pieces.select("doc_id", F.posexplode(spans).alias("gold_id", "g")).select("doc_id", "gold_id", "g.start", "g.end", "g.label")
     i = F.col("doc_id") + F.col("gold_id")
     moved = F.when(i % 5 == 0, F.col("end") - 1).when(i % 11 == 0, F.col("end") + 1).otherwise(F.col("end"))
